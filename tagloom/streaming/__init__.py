@@ -1,0 +1 @@
+"""Intentionally empty: all inputs are read in batch, so there is no streaming surface."""
