@@ -11,7 +11,6 @@ from tagloom.functions import arithmetic as ar
 from tagloom.functions import dates as dt
 from tagloom.functions import text as tx
 from tagloom.functions.metrics import error_metrics
-from tagloom.functions.tweets import tweet_nodes
 from tagloom.operators import buckets, corpus, counts, diagnostics as dg, forecasts as fc, panel, quality
 from tagloom.operators import ranking as rk
 from tagloom.operators import reshape, splits
@@ -79,13 +78,11 @@ def sql_functions(spark, sf):
     )
 
 
-@query("udf_02_metric_row_over_orders", f"SELECT o_orderpriority, count(*) AS \"rows\", round(avg(abs(p - a)), 4) + 0 AS \"MAE\", round(sqrt(avg((p - a) * (p - a))), 4) + 0 AS \"RMSE\", round(avg(CASE WHEN abs(a) + abs(p) = 0 THEN 0 ELSE 200 * abs(p - a) / (abs(a) + abs(p)) END), 4) + 0 AS \"sMAPE\" FROM (SELECT o_orderpriority, CAST(o_totalprice AS DOUBLE) AS a, CAST(lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DOUBLE) AS p FROM orders) WHERE p IS NOT NULL GROUP BY o_orderpriority")
-def metrics_over_orders(spark, sf):
-    from pyspark.sql import Window as W
-
-    before = F.lag("o_totalprice").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    rows = t.table(spark, sf, "orders").withColumn("last_price", before).where("last_price is not null")
-    return t.rounded(rows.groupBy("o_orderpriority").agg(*error_metrics("o_totalprice", "last_price")), *t.METRICS, digits=4)
+@query("udf_02_metric_row_over_lineitem", "SELECT l_returnflag, count(*) AS \"rows\", round(avg(abs(p - a)), 4) + 0 AS \"MAE\", round(sqrt(avg((p - a) * (p - a))), 4) + 0 AS \"RMSE\", round(avg(CASE WHEN abs(a) + abs(p) = 0 THEN 0 ELSE 200 * abs(p - a) / (abs(a) + abs(p)) END), 4) + 0 AS \"sMAPE\" FROM (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS a, CAST(l_quantity AS DOUBLE) * 1500 AS p FROM lineitem) GROUP BY l_returnflag")
+def metrics_over_lineitem(spark, sf):
+    guess = F.col("l_quantity").cast("double") * 1500
+    rows = t.table(spark, sf, "lineitem").withColumn("guess", guess).groupBy("l_returnflag")
+    return t.rounded(rows.agg(*error_metrics("l_extendedprice", "guess")), *t.METRICS, digits=4)
 
 
 # ---- dates
@@ -235,10 +232,10 @@ def null_tolerant(spark, sf):
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("tweets"), media.alias("with_media"))
 
 
-@query("jsn_03_nested_tweets", JSON_STEPS + "SELECT event_id, count(*) AS nodes, CAST(max(length(CAST(js AS VARCHAR))) > 0 AS BOOLEAN) AS readable FROM nodes GROUP BY event_id")
+@query("jsn_03_nested_tweets", JSON_STEPS + "SELECT event_id, count(*) AS blocks FROM nodes WHERE json_type(js, '$.entities') = 'OBJECT' GROUP BY event_id")
 def nested(spark, sf):
-    nodes = tweet_nodes(F.col("json"))
-    return t.json_tweets(spark, sf).select("event_id", F.size(nodes).cast("long").alias("nodes"), nodes.isNotNull().alias("readable"))
+    rows = corpus.entity_rows(t.json_tweets(spark, sf), keep=("event_id",))
+    return rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("blocks"))
 
 
 @query("jsn_03_tokens_of_nested_tweets", JSON_STEPS + "SELECT kind, token, count(*) AS n, count(DISTINCT event_id) AS tweets FROM raw_tokens GROUP BY kind, token")

@@ -299,7 +299,7 @@ def map_values(spark, sf):
  FROM bucketed b JOIN (SELECT bucket, quantile_cont(row_smape, 0.25) AS q1, quantile_cont(row_smape, 0.5) AS med, quantile_cont(row_smape, 0.75) AS q3 FROM bucketed GROUP BY bucket) q ON b.bucket = q.bucket GROUP BY b.bucket, q1, med, q3"""))
 def box_plot(spark, sf):
     rows = staged(buckets.quantile_buckets(t.evaluated(spark, sf), "actual"), "buckets")
-    plot = buckets.box_plot(rows, "row_smape", ["bucket"])
+    plot = buckets.box_plot(rows, "row_smape", ["bucket"], groups=4)
     return t.rounded(plot.withColumn("bucket", F.col("bucket").cast("long")), "whisker_low", "q1", "median", "q3", "whisker_high")
 
 

@@ -44,7 +44,7 @@ def space_tokens(line: Column) -> Column:
 
 def whitespace_tokens(line: Column) -> Column:
     """Split on runs of whitespace; never yields an empty token."""
-    return F.filter(F.split(line, WHITESPACE_PATTERN), lambda token: token != "")
+    return F.array_remove(F.split(line, WHITESPACE_PATTERN), "")
 
 
 def tag_label(tag_type: Column, tag: Column) -> Column:

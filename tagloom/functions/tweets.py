@@ -14,48 +14,80 @@ ENTITIES_TYPE = (
 )
 
 
+# Tweets nest as retweet and quote; two levels below the tweet cover real input.
+NESTED_KEYS = ("retweeted_status", "quoted_status")
+PARSED_LEVELS = 2
+
+
+def tweet_type(levels: int = PARSED_LEVELS) -> str:
+    """Tweet schema down to ``levels`` nested tweets; what lies deeper stays raw JSON."""
+    nested = "string" if levels == 0 else tweet_type(levels - 1)
+    return f"struct<entities: {ENTITIES_TYPE}, " + ", ".join(f"{k}: {nested}" for k in NESTED_KEYS) + ">"
+
+
+def parse_tweet(json: Column) -> Column:
+    """One pass over the text; anything missing, null or unreadable is null."""
+    return F.from_json(json, tweet_type())
+
+
+def _parsed_nodes(node: Column, levels: int) -> list[Column]:
+    """The tweet and its parsed nested tweets, depth first."""
+    if levels == 0:
+        return [node]
+    return [node] + [n for key in NESTED_KEYS for n in _parsed_nodes(node[key], levels - 1)]
+
+
+def _raw_nodes(node: Column, levels: int) -> list[Column]:
+    """The raw JSON fields below the last parsed level."""
+    if levels == 0:
+        return [node[key] for key in NESTED_KEYS]
+    return [n for key in NESTED_KEYS for n in _raw_nodes(node[key], levels - 1)]
+
+
 def _child(node: Column, key: str) -> Column:
     return F.try_variant_get(node, f"$.{key}", "variant")
 
 
-def tweet_nodes(json: Column) -> Column:
-    """The tweet and every tweet nested in it, own tweet first, as variants.
+def deep_entities(raw: Column) -> Column:
+    """Entity blocks of raw JSON tweets nested to any depth.
 
-    The text is parsed once.  Each step takes one node off the to-do list and
-    puts its retweeted and quoted tweets in front of the rest, so the order is
-    depth first.  A nested tweet needs its key in the text, so the number of
-    keys found bounds the steps: no depth limit is needed.  Escaped key names
-    are covered by counting every opening brace instead.  Unreadable text has
-    no nodes.
+    Each step takes one tweet off the to-do list and puts its nested tweets in
+    front of the rest.  Every nested tweet opens a brace, so the braces of the
+    text bound the steps and no depth limit is needed.
     """
-    keys = F.regexp_extract_all(json, F.lit('_status"'), F.lit(0))
-    braces = F.regexp_extract_all(json, F.lit("[{]"), F.lit(0))
-    steps = F.when(F.contains(json, F.lit("\\u")), F.size(braces)).otherwise(F.size(keys))
-    root = F.filter(F.array(F.try_parse_json(json)), lambda n: n.isNotNull())
-    start = F.struct(root.alias("todo"), F.slice(root, 1, 0).alias("seen"))
+    roots = F.filter(F.transform(raw, F.try_parse_json), lambda n: n.isNotNull())
+    braces = F.regexp_extract_all(F.array_join(raw, ""), F.lit("[{]"), F.lit(0))
+    start = F.struct(
+        roots.alias("todo"), F.array().cast(f"array<{ENTITIES_TYPE}>").alias("seen")
+    )
 
     def visit(state: Column, _: Column) -> Column:
         todo, seen = state["todo"], state["seen"]
         head = F.get(todo, F.lit(0))
         children = F.filter(
-            F.array(_child(head, "retweeted_status"), _child(head, "quoted_status")),
+            F.array(*[_child(head, key) for key in NESTED_KEYS]),
             lambda n: n.isNotNull() & ~F.is_variant_null(n),
         )
-        rest = F.slice(todo, F.lit(2), F.size(todo))
+        entities = F.try_variant_get(head, "$.entities", ENTITIES_TYPE)
         moved = F.struct(
-            F.concat(children, rest).alias("todo"),
-            F.concat(seen, F.array(head)).alias("seen"),
+            F.concat(children, F.slice(todo, F.lit(2), F.size(todo))).alias("todo"),
+            F.concat(seen, F.array(entities)).alias("seen"),
         )
         return F.when(F.size(todo) == 0, state).otherwise(moved)
 
-    walked = F.aggregate(F.sequence(F.lit(0), steps), start, visit)
-    # A null line has no keys to count; it has no nodes either.
-    return F.when(json.isNotNull(), walked["seen"])
+    return F.aggregate(F.sequence(F.lit(0), F.size(braces)), start, visit)["seen"]
+
 
+def entity_blocks(tweet: Column) -> Column:
+    """Entity blocks of a parsed tweet and of all tweets nested in it.
 
-def entities_of(node: Column) -> Column:
-    """The entity block of one tweet; anything missing or null is null."""
-    return F.try_variant_get(node, "$.entities", ENTITIES_TYPE)
+    Absent tweets leave nulls behind.  The slow walk starts only where the text
+    nests deeper than the parsed levels.
+    """
+    parsed = F.array(*[n["entities"] for n in _parsed_nodes(tweet, PARSED_LEVELS)])
+    raw = _raw_nodes(tweet, PARSED_LEVELS)
+    deeper = F.concat(parsed, deep_entities(F.array_compact(F.array(*raw))))
+    return F.when(F.coalesce(*raw).isNull(), parsed).otherwise(deeper)
 
 
 def _non_empty(values: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.arithmetic import at_most
 from tagloom.operators.quantiles import exact_quantiles, global_quantile
+from tagloom.session import broadcast_if_bounded
 
 
 def clip_at_quantile(df: DataFrame, column: str, probability: float = 0.98) -> DataFrame:
@@ -16,42 +17,42 @@ def clip_at_quantile(df: DataFrame, column: str, probability: float = 0.98) -> D
     return df.withColumn(column, at_most(F.col(column), global_quantile(df, column, probability)))
 
 
-def _range_of(df: DataFrame, column: str) -> Column:
-    """One-row subquery: lowest and highest value."""
+def value_range(df: DataFrame, column: str) -> DataFrame:
+    """One row: lowest and highest value; a constant column gets a range of width one."""
     x = F.col(column).cast("double")
-    return df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    found = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    pad = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    return found.select((F.col("lo") - pad).alias("lo"), (F.col("hi") + pad).alias("hi"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """``bin, lo, hi, rows`` of equal-width bins, empty ones included.
 
-    Bins are closed on the left, the last one on both sides; a constant column
-    gets a range of width one around it.
+    Bins are closed on the left, the last one on both sides.
     """
-    found = _range_of(df, column)
-    flat = found["lo"] == found["hi"]
-    lo = F.when(flat, found["lo"] - 0.5).otherwise(found["lo"])
-    hi = F.when(flat, found["hi"] + 0.5).otherwise(found["hi"])
+    limits = value_range(df, column).select(F.struct("lo", "hi")).scalar()
+    x, at, lo, hi = F.col("_x"), F.col("_b"), F.col("_range.lo"), F.col("_range.hi")
     width = (hi - lo) / bins
-    x = F.col("_x")
     guess = F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
     # The division may land one bin off at an edge; the edges themselves decide.
-    down = (x < lo + F.col("_b") * width).cast("int")
-    up = ((x >= lo + (F.col("_b") + 1) * width) & (F.col("_b") < bins - 1)).cast("int")
+    down = (x < lo + at * width).cast("int")
+    up = ((x >= lo + (at + 1) * width) & (at < bins - 1)).cast("int")
     counted = (
         df.select(F.col(column).cast("double").alias("_x"))
         .where("_x is not null")
+        .withColumn("_range", limits)
         .withColumn("_b", guess)
-        .select((F.col("_b") - down + up).alias("bin"))
+        .select((at - down + up).alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     empty = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), F.lit(0).alias("rows"))
     whole = counted.unionByName(empty).groupBy("bin").agg(F.sum("rows").alias("rows"))
-    return whole.select(
+    start = lambda n: lo + n * width
+    return whole.withColumn("_range", limits).select(
         "bin",
-        (lo + F.col("bin") * width).alias("lo"),
-        F.when(F.col("bin") == bins - 1, hi).otherwise(lo + (F.col("bin") + 1) * width).alias("hi"),
+        start(F.col("bin")).alias("lo"),
+        F.when(F.col("bin") == bins - 1, hi).otherwise(start(F.col("bin") + 1)).alias("hi"),
         "rows",
     )
 
@@ -110,8 +111,12 @@ def equal_width_buckets(df: DataFrame, column: str, bins: int = 4, name: str = "
     return _with_bucket(df, column, equal_width_edges(df, column, bins).scalar(), name)
 
 
-def box_plot(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Quartiles and 1.5 IQR whiskers per group; rows beyond the whiskers are only left out of them."""
+def box_plot(df: DataFrame, value: str, by: Sequence[str], groups: int | None = None) -> DataFrame:
+    """Quartiles and 1.5 IQR whiskers per group; rows beyond the whiskers are only left out of them.
+
+    ``groups`` is a proven bound on the number of groups (such as the number of
+    buckets): the quartiles then travel to the rows, not the rows to their group.
+    """
     by = list(by)
     quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75], by).select(
         *by,
@@ -121,7 +126,7 @@ def box_plot(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     x = F.col(value).cast("double")
-    joined = df.select(*by, value).join(quartiles, by)
+    joined = df.select(*by, value).join(broadcast_if_bounded(quartiles, groups), by)
     fenced = joined.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(x >= F.col("q1") - reach, x)).alias("_lo"),
         F.max(F.when(x <= F.col("q3") + reach, x)).alias("_hi"),

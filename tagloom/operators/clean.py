@@ -12,7 +12,7 @@ from tagloom.functions.text import extract_cashtags, extract_hashtags
 
 
 def drop_null_text(tweets: DataFrame, column: str = "text") -> DataFrame:
-    return tweets.dropna(subset=[column])
+    return tweets.where(F.col(column).isNotNull())
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

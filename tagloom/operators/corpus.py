@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.tweets import entities_of, entity_hashtags, entity_urls, tweet_nodes
+from tagloom.functions.text import hash_label
+from tagloom.functions.tweets import entity_blocks, entity_hashtags, entity_urls, parse_tweet
+
+
+def entity_rows(tweets: DataFrame, json: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per entity block: the tweet's own at position 0, then the nested tweets'."""
+    parsed = tweets.select(*keep, parse_tweet(F.col(json)).alias("tweet"))
+    blocks = F.posexplode(entity_blocks(F.col("tweet"))).alias("position", "entities")
+    return parsed.select(*keep, blocks).where(F.col("entities").isNotNull())
 
 
 def tweet_entities(tweets: DataFrame, json: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per tweet or nested tweet with its hashtag and URL lists."""
-    nodes = tweets.select(*keep, F.posexplode(tweet_nodes(F.col(json))).alias("position", "node"))
-    blocks = nodes.select(*keep, "position", entities_of(F.col("node")).alias("entities"))
-    return blocks.select(
+    """The hashtag and URL lists of every entity block."""
+    return entity_rows(tweets, json, keep).select(
         *keep,
         "position",
         entity_hashtags(F.col("entities")).alias("hashtags"),
@@ -21,16 +27,21 @@ def tweet_entities(tweets: DataFrame, json: str = "json", keep: tuple[str, ...]
 
 
 def tweet_tokens(tweets: DataFrame, json: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``kind, token`` of every hashtag and URL.
-
-    Both lists are exploded in one pass, so the tweets are parsed once.
-    """
-
-    def labelled(column: str, kind: str):
-        return F.transform(F.col(column), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
-
-    both = F.concat(labelled("hashtags", "hashtag"), labelled("urls", "url"))
-    return tweet_entities(tweets, json, keep).select(*keep, F.explode(both).alias("t")).select(*keep, "t.*")
+    """``kind, token`` of every hashtag and URL, from one pass over the tweets."""
+    links = F.concat(
+        F.coalesce(F.col("entities.urls.expanded_url"), F.array().cast("array<string>")),
+        F.coalesce(F.col("entities.media.expanded_url"), F.array().cast("array<string>")),
+    )
+    lists = F.inline(
+        F.array(
+            F.struct(F.lit("hashtag").alias("kind"), F.col("entities.hashtags.text").alias("raw")),
+            F.struct(F.lit("url").alias("kind"), links.alias("raw")),
+        )
+    )
+    rows = entity_rows(tweets, json, keep).select(*keep, lists)
+    raw = rows.select(*keep, "kind", F.explode("raw").alias("raw")).where(F.col("raw") != "")
+    token = F.when(F.col("kind") == "hashtag", hash_label(F.col("raw"))).otherwise(F.col("raw"))
+    return raw.select(*keep, "kind", token.alias("token"))
 
 
 def token_totals(tokens: DataFrame) -> DataFrame:

@@ -26,14 +26,12 @@ def daily_counts(tweets: DataFrame, tags: str = "hashtags") -> DataFrame:
 
 def long_daily_counts(tweets: DataFrame) -> DataFrame:
     """Daily counts of both tag types from one pass: ``date, tag, tag_type, count``."""
-
-    def typed(tags: str, tag_type: str) -> Column:
-        return F.transform(
-            F.col(tags), lambda t: F.struct(t.alias("tag"), F.lit(tag_type).alias("tag_type"))
-        )
-
-    both = F.concat(typed("hashtags", "hashtag"), typed("cashtags", "cashtag"))
-    return _count(tweets.select("date", F.inline(both)), "date", "tag", "tag_type")
+    typed = F.array(
+        F.struct(F.lit("hashtag").alias("tag_type"), F.col("hashtags").alias("tags")),
+        F.struct(F.lit("cashtag").alias("tag_type"), F.col("cashtags").alias("tags")),
+    )
+    both = tweets.select("date", F.inline(typed))
+    return _count(exploded_tags(both, "tags", "date", "tag_type"), "date", "tag", "tag_type")
 
 
 def weekly_counts(tweets: DataFrame, tags: str = "hashtags") -> DataFrame:

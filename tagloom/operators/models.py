@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from tagloom.operators.scaling import Scaling, fit_scaling
 from tagloom.sources.tables import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
 
 MAX_CATEGORIES = 100_000
+# Every tree level is a job over all partitions: few rows should not be many tasks.
+ROWS_PER_PARTITION = 20_000
 
 
 @dataclass(frozen=True)
@@ -153,8 +156,13 @@ def fit_models(
     train_rows = modeling.where("split = 'train'")
     preparation = prepare(train_rows)
     prepared = preparation.apply(modeling)
-    train = prepared.where("split = 'train'").select("features", F.col(TARGET).cast("double").alias(TARGET))
-    train = train.persist()
+    parts = max(1, -(-train_rows.count() // ROWS_PER_PARTITION))
+    train = (
+        prepared.where("split = 'train'")
+        .select("features", F.col(TARGET).cast("double").alias(TARGET))
+        .repartition(parts)
+        .persist()
+    )
     try:
         train.count()
 
@@ -188,15 +196,12 @@ def training_times(
 
 
 def category_totals(preparation: Preparation, df: DataFrame, column: str) -> DataFrame:
-    """``category, rows``: how often each one-hot slot of a column is set."""
-    from pyspark.ml.functions import vector_to_array
-
+    """``category, rows``: how often each one-hot slot of a column is set; unknown ones set none."""
     indexer = preparation.encoder.stages[0]
     labels = indexer.labelsArray[list(preparation.categorical).index(column)]
     names = F.array(*[F.lit(label) for label in labels])
-    slots = preparation.apply(df).select(F.posexplode(vector_to_array(f"{column}_slots")).alias("slot", "set"))
-    return (
-        slots.groupBy("slot")
-        .agg(F.sum("set").cast("long").alias("rows"))
-        .select(F.get(names, F.col("slot")).alias("category"), "rows")
+    slot = F.array_position(vector_to_array(f"{column}_slots"), 1.0)
+    counted = preparation.apply(df).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.where("slot > 0").select(
+        F.get(names, F.col("slot").cast("int") - 1).alias("category"), "rows"
     )

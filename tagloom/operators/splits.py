@@ -39,14 +39,11 @@ def add_splits(features: DataFrame, train_dates: int = 55, validation_dates: int
             F.get("dates", F.lit(train_dates + validation_dates)).alias("test"),
         ).alias("first")
     ).scalar()
-    date = F.col("date")
+    date, validation, test = F.col("date"), F.col("_first.validation"), F.col("_first.test")
     before = lambda bound: bound.isNull() | (date < bound)  # noqa: E731 - no such date: all earlier
-    label = (
-        F.when(before(first["validation"]), "train")
-        .when(before(first["test"]), "validation")
-        .otherwise("test")
-    )
-    return features.withColumn("split", F.when(date.isNotNull(), label))
+    label = F.when(before(validation), "train").when(before(test), "validation").otherwise("test")
+    labelled = features.withColumn("_first", first).withColumn("split", F.when(date.isNotNull(), label))
+    return labelled.drop("_first")
 
 
 def join_splits(features: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -30,6 +30,10 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+# Folders of local sessions without spark.checkpoint.dir, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors can reach.
 
@@ -38,12 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
     there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = tempfile.mkdtemp(prefix="tagloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tagloom-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
