@@ -112,7 +112,9 @@ def build_regressor(config: ModelConfig, train: DataFrame):
     """The Spark ML estimator of a configuration."""
     columns = {"featuresCol": "features", "labelCol": TARGET, "predictionCol": "raw_prediction"}
     if config.kind == "linear_regression":
-        return LinearRegression(**columns, regParam=0.0, solver="normal")
+        # One-hot slots sum to one, so the normal equations are singular: Spark then
+        # iterates on the small summed matrix, where tight limits cost nothing.
+        return LinearRegression(**columns, regParam=0.0, solver="normal", tol=1e-12, maxIter=2000)
     if config.kind == "ridge":
         penalty = ridge_penalty(train, float(config.options["alpha"]))
         return LinearRegression(
