@@ -43,6 +43,15 @@ def overall_counts(tweets: DataFrame, tags: str = "hashtags") -> DataFrame:
     return _count(exploded_tags(tweets, tags), "tag")
 
 
+def weekly_from_daily(daily: DataFrame) -> DataFrame:
+    """Weekly counts as sums of daily ones: the tweets need not be read again."""
+    return (
+        daily.withColumn("week", week_start(F.col("date")))
+        .groupBy("week", "tag")
+        .agg(F.sum("count").alias("count"))
+    )
+
+
 def word_count(lines: DataFrame, column: str = "value", tokens: Column | None = None) -> DataFrame:
     """Words of the lines and their counts; splits on single spaces unless told otherwise."""
     words = space_tokens(F.col(column)) if tokens is None else tokens

@@ -162,7 +162,7 @@ def fit_models(
     train = (
         prepared.where("split = 'train'")
         .select("features", F.col(TARGET).cast("double").alias(TARGET))
-        .repartition(parts)
+        .coalesce(parts)
         .persist()
     )
     try:

@@ -5,39 +5,50 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagloom.operators.clean import cleaned_tweets
-from tagloom.operators.counts import daily_counts, overall_counts, weekly_counts
-from tagloom.operators.ranking import by_count, by_date_and_count
+from tagloom.operators.counts import long_daily_counts, totals_by, weekly_from_daily
+from tagloom.operators.ranking import by_date_and_count, top_k
+from tagloom.session import staged
 from tagloom.sinks.writers import write_by_date, write_table
 from tagloom.sources.tweets import read_tweets_csv
 
 
 @dataclass(frozen=True)
 class TagCounts:
-    """Everything derived from one cleaned tweet table."""
+    """All counts, derived from one long table of daily counts.
 
-    cleaned: DataFrame
+    The daily counts are far smaller than the tweets; weeks and totals are sums
+    of them, so the tweets are read once.
+    """
 
-    def daily(self, tags: str = "hashtags") -> DataFrame:
-        return by_date_and_count(daily_counts(self.cleaned, tags))
+    daily_counts: DataFrame
 
-    def weekly(self, tags: str = "hashtags") -> DataFrame:
-        return by_date_and_count(weekly_counts(self.cleaned, tags), "week")
+    def of_type(self, tag_type: str) -> DataFrame:
+        return self.daily_counts.where(F.col("tag_type") == tag_type).select("date", "tag", "count")
 
-    def top(self, k: int = 10, tags: str = "hashtags") -> DataFrame:
-        return by_count(overall_counts(self.cleaned, tags), "tag").limit(k)
+    def daily(self, tag_type: str = "hashtag") -> DataFrame:
+        return by_date_and_count(self.of_type(tag_type))
 
+    def weekly(self, tag_type: str = "hashtag") -> DataFrame:
+        return by_date_and_count(weekly_from_daily(self.of_type(tag_type)), "week")
 
-def tag_counts(tweets: DataFrame) -> TagCounts:
-    return TagCounts(cleaned_tweets(tweets))
+    def top(self, k: int = 10, tag_type: str = "hashtag") -> DataFrame:
+        return top_k(totals_by(self.of_type(tag_type), "tag"), k, [F.desc("count"), "tag"])
+
+
+def tag_counts(cleaned: DataFrame) -> TagCounts:
+    """Count the tags of cleaned tweets once and keep the result."""
+    return TagCounts(staged(long_daily_counts(cleaned), "daily-counts"))
 
 
 def run(spark: SparkSession, csv_path: str, output: str) -> TagCounts:
-    """Read, clean once, write the cleaned table, and derive all counts from the written table."""
-    write_by_date(cleaned_tweets(read_tweets_csv(spark, csv_path)), f"{output}/cleaned_tweets.parquet")
-    counts = TagCounts(spark.read.parquet(f"{output}/cleaned_tweets.parquet"))
-    write_table(counts.daily("hashtags"), f"{output}/daily_hashtag_counts.parquet")
-    write_table(counts.daily("cashtags"), f"{output}/daily_cashtag_counts.parquet")
-    write_table(counts.weekly("hashtags"), f"{output}/weekly_hashtag_counts.parquet")
+    """Read and clean once, write the cleaned table, and count from the written table."""
+    cleaned = f"{output}/cleaned_tweets.parquet"
+    write_by_date(cleaned_tweets(read_tweets_csv(spark, csv_path)), cleaned)
+    counts = tag_counts(spark.read.parquet(cleaned))
+    write_table(counts.daily("hashtag"), f"{output}/daily_hashtag_counts.parquet")
+    write_table(counts.daily("cashtag"), f"{output}/daily_cashtag_counts.parquet")
+    write_table(counts.weekly("hashtag"), f"{output}/weekly_hashtag_counts.parquet")
     return counts

@@ -23,6 +23,22 @@ SESSION_CONF = {
 BROADCAST_ROWS = 100_000
 
 
+MIB = 1024 * 1024
+
+
+def sizing(input_bytes: int, cores: int, task_bytes: int = 192 * MIB) -> dict[str, str]:
+    """Shuffle settings for an input size: tasks that fit in memory, whole waves of cores.
+
+    AQE merges partitions that turn out small, so the number is an upper bound.
+    """
+    waves = max(1, -(-input_bytes // (task_bytes * cores)))
+    return {
+        "spark.sql.shuffle.partitions": str(waves * cores),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(task_bytes),
+        "spark.sql.files.maxPartitionBytes": str(task_bytes),
+    }
+
+
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Apply SESSION_CONF to a session builder."""
     for key, value in SESSION_CONF.items():

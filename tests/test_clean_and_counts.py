@@ -52,6 +52,7 @@ def test_counts_and_null_dates(spark):
 def test_weeks_start_on_monday(spark):
     tweets = clean.add_tags(spark.createDataFrame([("#a", dt.date(2020, 1, 5)), ("#a", dt.date(2020, 1, 6))], "text string, date date"))
     assert rows(counts.weekly_counts(tweets)) == [(dt.datetime(2019, 12, 30), "#a", 1), (dt.datetime(2020, 1, 6), "#a", 1)]
+    assert rows(counts.weekly_from_daily(counts.daily_counts(tweets))) == rows(counts.weekly_counts(tweets))
 
 
 def test_word_counts(spark):
@@ -122,7 +123,7 @@ def test_csv_to_counts(spark, tmp_path):
     tweets = read_tweets_csv(spark, str(path), schema)
     assert tweets.columns == ["id", "created_at", "text", "_corrupt"]
     assert tweets.count() == 4
-    result = tag_counts.tag_counts(tweets)
+    result = tag_counts.tag_counts(clean.cleaned_tweets(tweets))
     first, second = dt.date(2020, 4, 9), dt.date(2020, 4, 10)
     assert [tuple(r) for r in result.daily().collect()] == [(None, "#quote", 1), (first, "#tag", 1), (second, "#tag", 1)]
     assert [tuple(r) for r in result.top(1).collect()] == [("#tag", 2)]

@@ -27,9 +27,10 @@ def con(sf):
 
 @pytest.mark.parametrize("name", QUICK)
 def test_query_matches_sql_and_has_no_bad_operator(name, spark, sf, con):
-    state, detail = check(name, spark, sf, con, checks.QUERIES, checks.ORACLE)
+    df = checks.QUERIES[name](spark, sf)
+    state, detail = check(name, df, con, checks.ORACLE)
     assert state in ("ok", "EMPTY", "rows"), detail
-    plan = checks.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [operator for operator in BAD if operator in plan]
 
 
