@@ -11,7 +11,7 @@ from tagloom.functions import arithmetic as ar
 from tagloom.functions import dates as dt
 from tagloom.functions import text as tx
 from tagloom.functions.metrics import error_metrics
-from tagloom.operators import buckets, corpus, counts, diagnostics as dg, forecasts as fc, panel, quality
+from tagloom.operators import buckets, corpus, counts, diagnostics as dg, forecasts as fc, quality
 from tagloom.operators import ranking as rk
 from tagloom.operators import reshape, splits
 from tagloom.session import staged
@@ -142,9 +142,6 @@ def labels(spark, sf):
     return splits.split_calendar(t.lazy_counts(spark, sf), TRAIN, VALIDATION).select("date", "split")
 
 
-_HIST = """hist AS (SELECT least(CAST(floor((x - lo) / (hi - lo) * {n}) AS INTEGER), {n} - 1) AS g, x, lo, hi, (hi - lo) / {n} AS w FROM {source}, (SELECT min(x) AS lo, max(x) AS hi FROM {source}))"""
-
-
 def _histogram(source: str, n: int) -> str:
     return (
         f"WITH src AS ({source}), rng AS (SELECT min(x) AS lo, max(x) AS hi FROM src),\n"

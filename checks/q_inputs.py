@@ -6,14 +6,11 @@ from pyspark.sql import functions as F
 
 from checks import tables as t
 from checks.registry import query
-from checks.sql import JSON_STEPS, START, rounded, upto
+from checks.sql import JSON_STEPS, rounded, upto
 from tagloom.functions import arithmetic as ar
-from tagloom.functions.text import hash_label, tag_label
+from tagloom.functions.text import tag_label
 from tagloom.operators import clean, counts, forecasts as fc, reshape
-from tagloom.operators.diagnostics import evaluation_rows
-from tagloom.operators.panel import select_top_tags
-from tagloom.operators.reshape import rows_to_map
-from tagloom.plans import tag_counts as tag_plan
+from tagloom.operators.panel import concat_all
 from tagloom.plans.forecasting import run_summary
 from tagloom.session import stage_path, staged
 from tagloom.sinks import writers
@@ -78,7 +75,7 @@ def read_optional(spark, sf):
     rows.write.parquet(f"{base}/parquet")
     read = {fmt: src.read_if_exists(spark, f"{base}/{fmt}", fmt) for fmt in ("csv", "json", "parquet")}
     read["absent"] = src.read_if_exists(spark, f"{base}/absent", "csv")
-    return reshape_union(
+    return concat_all(
         [
             df.agg(F.count(F.lit(1)).alias("found"), F.sum("count").cast("long").alias("total")).withColumn("format", F.lit(fmt))
             for fmt, df in read.items()
@@ -87,12 +84,6 @@ def read_optional(spark, sf):
     )
 
 
-def reshape_union(frames):
-    from tagloom.operators.panel import concat_all
-
-    return concat_all(frames)
-
-
 @query("src_07_first_existing_path", upto("daily_c", "SELECT tag, CAST(sum(count) AS BIGINT) AS total FROM daily_c GROUP BY tag"))
 def first_existing(spark, sf):
     base = stage_path(spark, "candidates")
@@ -108,7 +99,7 @@ def write_lists(spark, sf):
     rows = staged(t.tokens(spark, sf), "tokens")
     paths = writers.write_token_lists(rows, stage_path(spark, "lists"))
     frames = [tw.read_tokens(spark, path).withColumn("list", F.lit(name)) for name, path in paths.items()]
-    return reshape_union(frames).groupBy("list", F.col("value").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    return concat_all(frames).groupBy("list", F.col("value").alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk_02_save_sorted_pairs", "SELECT concat('(', url, ',', CAST(count(*) AS VARCHAR), ')') AS value FROM pages GROUP BY url")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import tables as t
 from checks.registry import query
-from checks.sql import JSON_STEPS, TOP_N, rounded, upto
+from checks.sql import JSON_STEPS, rounded, upto
 from tagloom.functions import metrics as mx
 from tagloom.operators import buckets, corpus, counts, diagnostics as dg, forecasts as fc, panel, quantiles as qt
 from tagloom.operators import ranking as rk
@@ -136,6 +136,12 @@ def weekly_hashtags(spark, sf):
     return rows.withColumn("week", F.col("week").cast("date"))
 
 
+@query("agg_05_weekly_from_daily_counts", upto("weekly_h", "SELECT week, tag, count FROM weekly_h"))
+def weekly_rollup(spark, sf):
+    rows = counts.weekly_from_daily(t.daily(spark, sf))
+    return rows.withColumn("week", F.col("week").cast("date"))
+
+
 @query("agg_05_weekly_cashtag_counts", upto("weekly_c", "SELECT week, tag, count FROM weekly_c"))
 def weekly_cashtags(spark, sf):
     rows = counts.weekly_counts(t.cleaned(spark, sf), "cashtags")
@@ -222,9 +228,6 @@ def by_type(spark, sf):
     return t.rounded(fc.metrics_by_type(t.predictions(spark, sf)), *t.METRICS)
 
 
-_ALL = 'level, split, tag_type, tag, model, "rows", "MAE", "RMSE", "sMAPE"'
-
-
 @query("agg_20_all_metrics_in_one_pass", upto("by_tag", f"""SELECT level, split, tag_type, tag, model, "rows", {METRICS} FROM (
  SELECT 'overall' AS level, split, CAST(NULL AS VARCHAR) AS tag_type, CAST(NULL AS VARCHAR) AS tag, model, "rows", "MAE", "RMSE", "sMAPE" FROM overall
  UNION ALL SELECT 'by_type', split, tag_type, NULL, model, "rows", "MAE", "RMSE", "sMAPE" FROM by_type

@@ -8,14 +8,12 @@ from checks import tables as t
 from checks.q_windows_sorts import HISTORY, history
 from checks.registry import query
 from checks.sql import rounded, upto
-from tagloom.functions.metrics import error_metrics
 from tagloom.operators import forecasts as fc
 from tagloom.operators import models as ml
-from tagloom.operators import reshape, scaling, splits
+from tagloom.operators import scaling, splits
 from tagloom.operators.panel import concat_all
 from tagloom.plans import forecasting
 from tagloom.session import staged
-from tagloom.sources.tables import NUMERIC_FEATURES
 
 METRICS = rounded("MAE", "RMSE", "sMAPE")
 
@@ -76,6 +74,21 @@ def _fit(spark, sf, *kinds: str):
     return ml.fit_models(rows, [c for c in ml.MODEL_CONFIGS if c.kind in kinds])
 
 
+@query("ml_04_linear_regression_keeps_tag_means", upto("modeling", "SELECT tag_type, tag, count(*) AS \"rows\", round(avg(target_next_count), 3) + 0 AS mean_target, round(avg(target_next_count), 3) + 0 AS mean_prediction FROM modeling WHERE split = 'train' GROUP BY tag_type, tag"))
+def linear_means(spark, sf):
+    """Least squares with one slot per tag leaves no residual per tag: its train means are exact."""
+    rows = t.stored_features(spark, sf).where("modeling_ready")
+    train = rows.where("split = 'train'")
+    prepared = staged(ml.prepare(train).apply(train), "prepared")
+    model = ml.build_regressor(ml.MODEL_CONFIGS[0], prepared).fit(prepared)
+    means = model.transform(prepared).groupBy("tag_type", "tag").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.avg(fc.TARGET).alias("mean_target"),
+        F.avg("raw_prediction").alias("mean_prediction"),
+    )
+    return t.rounded(means, "mean_target", "mean_prediction", digits=3)
+
+
 def _scores(predictions):
     return t.rounded(fc.overall_metrics(predictions), *t.METRICS, digits=3)
 

@@ -12,7 +12,7 @@ import checks
 from checks.compare import TABLES, check
 
 # Fits take long; tests/test_models.py covers them on a small table.
-SLOW = ("ml_04", "ml_05", "ml_06", "ml_07", "ml_08", "ml_13", "forecast_run")
+SLOW = ("ml_04_linear_regression", "ml_05", "ml_06", "ml_07", "ml_08", "ml_13", "forecast_run")
 QUICK = [name for name in checks.QUERIES if not name.startswith(SLOW)]
 BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups")
 
