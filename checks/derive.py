@@ -8,7 +8,7 @@ from __future__ import annotations
 
 TWEET_TEXT = """CASE WHEN props = '{"k": 0}' THEN NULL ELSE
  concat('Saw #', upper(event_type), ' and #u', CAST(user_id AS STRING), ' near #Señal_', event_type,
-  ' on $', substr('abcdefghijklmnopqrstuvwxyz', CAST(user_id % 26 + 1 AS INT), 1), 'x or $', event_type,
+  ' on $', translate(CAST(user_id AS STRING), '0123456789', 'abcdefghij'), ' or $', event_type,
   ' at http://t.test/', event_type, '#top ', props) END"""
 
 CREATED_AT = """CASE WHEN props = '{"k": 1}' THEN 'garbage' ELSE

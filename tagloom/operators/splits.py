@@ -25,14 +25,19 @@ def split_calendar(df: DataFrame, train_dates: int = 55, validation_dates: int =
     return date_positions(df).withColumn("split", name)
 
 
-def add_splits(features: DataFrame, train_dates: int = 55, validation_dates: int = 11) -> DataFrame:
-    """Label rows by the calendar of their own table.
+def add_splits(
+    features: DataFrame,
+    train_dates: int = 55,
+    validation_dates: int = 11,
+    dates_of: DataFrame | None = None,
+) -> DataFrame:
+    """Label rows by the calendar of their own table, or of ``dates_of``.
 
     A date's position decides its split, so the first validation date and the
     first test date say it all: they come from a one-row subquery and the table
     is labelled in place, without a join.  Rows without a date get no split.
     """
-    dates = date_spine(features)
+    dates = date_spine(features if dates_of is None else dates_of)
     first = dates.select(
         F.struct(
             F.get("dates", F.lit(train_dates)).alias("validation"),

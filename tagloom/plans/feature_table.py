@@ -44,11 +44,12 @@ def panel_from_counts(counts: DataFrame, settings: PanelSettings) -> DataFrame:
 def feature_table(counts: DataFrame, settings: PanelSettings) -> DataFrame:
     """Long daily counts to features.
 
-    ``counts`` is read three times (ranking, date list, panel): pass a staged or
-    stored table.  The panel is staged, because its dates also decide the splits.
+    ``counts`` is read for the ranking, the date list and the panel: pass a staged
+    or stored table.  The panel spans the dates of all counts, so their calendar
+    decides the splits and the panel itself is built once.
     """
-    panel = staged(panel_from_counts(counts, settings), "panel")
-    split = add_splits(panel, settings.train_dates, settings.validation_dates)
+    panel = panel_from_counts(counts, settings)
+    split = add_splits(panel, settings.train_dates, settings.validation_dates, dates_of=counts)
     return add_modeling_ready(add_features(split))
 
 

@@ -32,16 +32,32 @@ class ForecastRun:
     summary: DataFrame
 
 
-def baseline_tables(modeling: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Wide predictions, overall, per-tag (official baseline) and per-type metrics."""
-    wide = fc.baseline_forecasts(modeling)
-    long = fc.long_forecasts(wide)
-    return (
-        wide,
-        fc.sorted_overall(fc.overall_metrics(long, "baseline"), "baseline"),
-        fc.sorted_by_tag(fc.metrics_by_tag(long, fc.OFFICIAL_BASELINE, "baseline")),
-        fc.metrics_by_type(long, "baseline").orderBy("split", "tag_type", "MAE", "baseline"),
-    )
+@dataclass(frozen=True)
+class MetricTables:
+    """Error tables cut from one small table of all metrics."""
+
+    metrics: DataFrame
+    model: str
+
+    def _level(self, level: str, *keys: str) -> DataFrame:
+        rows = self.metrics.where(F.col("level") == level)
+        return rows.select(*keys, self.model, "rows", "MAE", "RMSE", "sMAPE")
+
+    def overall(self) -> DataFrame:
+        return self._level("overall", "split")
+
+    def by_type(self) -> DataFrame:
+        return self._level("by_type", "split", "tag_type")
+
+    def by_tag(self, chosen: str) -> DataFrame:
+        """Test errors of one model per tag."""
+        rows = self._level("by_tag", "split", "tag_type", "tag")
+        return rows.where((F.col("split") == "test") & (F.col(self.model) == chosen)).drop("split")
+
+
+def metric_tables(predictions: DataFrame, model: str = "model") -> MetricTables:
+    """All levels of metrics from one pass over the predictions, written once."""
+    return MetricTables(staged(fc.all_metrics(predictions, model), "metrics"), model)
 
 
 def run_summary(
@@ -81,12 +97,14 @@ def run(
 ) -> ForecastRun:
     """Baselines, model fits, comparison and summary over a stored feature table."""
     modeling = modeling_rows(features)
-    wide, base_overall, base_by_tag, base_by_type = baseline_tables(modeling)
+    wide = fc.baseline_forecasts(modeling)
+    baselines = metric_tables(fc.long_forecasts(wide), "baseline")
     fitted = fit_models(modeling, configs)
     predictions = staged(fc.add_official_baseline(fitted.predictions, wide), "predictions")
     scored_rows = fc.scored(modeling).count()
     require_row_total(predictions, scored_rows * (len(configs) + 1), "predictions")
-    overall = staged(fc.overall_metrics(predictions), "metrics")
+    metrics = metric_tables(predictions)
+    overall = metrics.overall()
     learned = [c.name for c in configs]
     best = fc.best_learned(overall).first()["model"]
     times = training_times(
@@ -95,13 +113,13 @@ def run(
     return ForecastRun(
         run_label,
         wide,
-        base_overall,
-        base_by_tag,
-        base_by_type,
+        fc.sorted_overall(baselines.overall(), "baseline"),
+        fc.sorted_by_tag(baselines.by_tag(fc.OFFICIAL_BASELINE)),
+        baselines.by_type().orderBy("split", "tag_type", "MAE", "baseline"),
         predictions,
         fc.sorted_overall(overall),
-        fc.sorted_by_tag(fc.metrics_by_tag(predictions, best)),
-        fc.sorted_by_type(fc.metrics_by_type(predictions)),
+        fc.sorted_by_tag(metrics.by_tag(best)),
+        fc.sorted_by_type(metrics.by_type()),
         times,
         run_summary(overall, times, run_label, features_path, learned),
     )

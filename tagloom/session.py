@@ -69,8 +69,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a staged table."""
-    return f"{shared_folder(spark)}/tagloom/{label}-{uuid4().hex}"
+    """A fresh path for a staged table, below a folder of this application."""
+    return f"{shared_folder(spark)}/tagloom/{spark.sparkContext.applicationId}/{label}-{uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

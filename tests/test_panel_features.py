@@ -137,3 +137,25 @@ def test_quality_checks(spark):
     assert quality.all_null(df.withColumn("x", F.lit(None)), "x") and not quality.all_null(df, "count")
     broken = ft.add_features(df).withColumn("target_next_count", F.lit(7.0))
     assert rows(quality.target_mismatches(broken), "tag", "expected") == [("#a", 2.0), ("#a", None), ("#b", None)]
+
+
+def test_features_equal_pandas_on_random_counts(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(17)
+    series = {f"#t{i}": (rng.integers(0, 6, 40) * rng.integers(0, 2, 40)).tolist() for i in range(4)}
+    got = ft.add_features(panel_of(spark, series, gap=2)).orderBy("tag", "date").toPandas()
+    for tag, rows_ in got.groupby("tag"):
+        c = pd.Series(series[tag], dtype=float)
+        want = {f"count_lag_{k}": c.shift(k) for k in (1, 2, 3, 7)}
+        want |= {f"rolling_mean_{n}": c.rolling(n, min_periods=n).mean() for n in (3, 7)}
+        want |= {f"rolling_std_{n}": c.rolling(n, min_periods=n).std() for n in (3, 7)}
+        want["target_next_count"] = c.shift(-1)
+        want["count_diff_1"] = c - c.shift(1)
+        change = (c - c.shift(1)) / c.shift(1)
+        want["count_pct_change_1"] = change.where(c.shift(1) != 0, 0.0).where(c.shift(1).notna())
+        std = c.rolling(7, min_periods=7).std()
+        want["anomaly_z_ready_7"] = ((c - want["rolling_mean_7"]) / std).where(std > 1e-9)
+        for column, values in want.items():
+            np.testing.assert_allclose(rows_[column].to_numpy(dtype=float), values.to_numpy(), atol=1e-6, err_msg=column)
