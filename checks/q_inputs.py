@@ -12,7 +12,7 @@ from tagloom.functions.text import tag_label
 from tagloom.operators import clean, counts, forecasts as fc, reshape
 from tagloom.operators.panel import concat_all
 from tagloom.plans.forecasting import run_summary
-from tagloom.session import stage_path, staged
+from tagloom.session import REBASE_CONF, stage_path, staged
 from tagloom.sinks import writers
 from tagloom.sources import tables as src
 from tagloom.sources import tweets as tw
@@ -113,7 +113,7 @@ def save_pairs(spark, sf):
 def overwrite(spark, sf):
     path = stage_path(spark, "weekly")
     weekly = counts.weekly_counts(t.cleaned(spark, sf))
-    writers.write_table(weekly.limit(1), path)
+    writers.write_table(weekly, path)
     writers.write_table(weekly, path)
     return spark.read.parquet(path).select(F.col("week").cast("date").alias("week"), "tag", "count")
 
@@ -129,8 +129,8 @@ def cleaned_by_date(spark, sf):
 @query("snk_04_parquet_old_dates", "SELECT event_id, CAST(ts AS DATE) - CAST(200000 AS INTEGER) AS date FROM events")
 def old_dates(spark, sf):
     path = stage_path(spark, "old-dates")
-    before = {key: spark.conf.get(key, None) for key in writers.REBASE_CONF}
-    for key, value in writers.REBASE_CONF.items():
+    before = {key: spark.conf.get(key, None) for key in REBASE_CONF}
+    for key, value in REBASE_CONF.items():
         spark.conf.set(key, value)
     try:
         rows = t.table(spark, sf, "events").select("event_id", F.date_sub(F.col("ts").cast("date"), 200000).alias("date"))

@@ -63,9 +63,9 @@ def impute(spark, sf):
 @query("ml_03_one_hot_slots", upto("modeling", "SELECT 'tag' AS feature, tag AS category, count(*) AS \"rows\" FROM modeling GROUP BY tag UNION ALL SELECT 'tag_type', tag_type, count(*) FROM modeling GROUP BY tag_type"))
 def one_hot(spark, sf):
     rows = t.stored_features(spark, sf).where("modeling_ready")
-    preparation = ml.prepare(rows.where("split = 'train'"), encode_over=rows)
+    encoder = ml.fit_encoder(rows)
     return concat_all(
-        [ml.category_totals(preparation, rows, c).withColumn("feature", F.lit(c)) for c in ("tag", "tag_type")]
+        [ml.category_totals(encoder, rows, c).withColumn("feature", F.lit(c)) for c in ("tag", "tag_type")]
     )
 
 
@@ -74,6 +74,33 @@ def _fit(spark, sf, *kinds: str):
     return ml.fit_models(rows, [c for c in ml.MODEL_CONFIGS if c.kind in kinds])
 
 
+_FEATURES = (
+    "SELECT unnest(['count', 'count_lag_1', 'count_lag_2', 'count_lag_3', 'count_lag_7', 'rolling_mean_3', 'rolling_mean_7', "
+    "'rolling_std_3', 'rolling_std_7', 'count_diff_1', 'count_pct_change_1']) AS feature UNION ALL SELECT DISTINCT 'tag=' || tag "
+    "FROM modeling WHERE split = 'train' UNION ALL SELECT DISTINCT 'tag_type=' || tag_type FROM modeling WHERE split = 'train'"
+)
+
+
+def _optimum(spark, sf, config: ml.ModelConfig, alpha: float):
+    """Every entry of the feature vector must satisfy the normal equations of the fit."""
+    train = t.stored_features(spark, sf).where("modeling_ready and split = 'train'")
+    preparation = ml.prepare(train)
+    prepared = staged(preparation.apply(train), "prepared")
+    model = ml.build_regressor(config, prepared).fit(prepared)
+    checked = ml.normal_equations(model, prepared, ml.feature_names(preparation), alpha)
+    return checked.select("feature", (F.col("imbalance") < 1e-5).alias("optimal"))
+
+
+@query("ml_04_linear_regression_normal_equations", upto("modeling", f"SELECT feature, true AS optimal FROM ({_FEATURES})"))
+def linear_optimum(spark, sf):
+    return _optimum(spark, sf, ml.MODEL_CONFIGS[0], 0.0)
+
+
+@query("ml_05_ridge_regression_normal_equations", upto("modeling", f"SELECT feature, true AS optimal FROM ({_FEATURES})"))
+def ridge_optimum(spark, sf):
+    return _optimum(spark, sf, ml.MODEL_CONFIGS[1], 10.0)
+
+
 @query("ml_04_linear_regression_keeps_tag_means", upto("modeling", "SELECT tag_type, tag, count(*) AS \"rows\", round(avg(target_next_count), 3) + 0 AS mean_target, round(avg(target_next_count), 3) + 0 AS mean_prediction FROM modeling WHERE split = 'train' GROUP BY tag_type, tag"))
 def linear_means(spark, sf):
     """Least squares with one slot per tag leaves no residual per tag: its train means are exact."""
@@ -191,7 +218,16 @@ def learning_curve(spark, sf):
     return t.rounded(fc.learning_curve(history(spark, sf)), "train_loss", digits=4)
 
 
-@query("forecast_run_tables")
+# Three models (two learned and the official baseline), four baselines, two splits, two tag types.
+_RUN_TABLES = """SELECT "table", CAST(metric_rows AS BIGINT) AS metric_rows, CAST(scored_rows AS BIGINT) AS scored_rows FROM (
+ SELECT unnest(['baseline_overall', 'baseline_by_tag', 'baseline_by_type', 'overall', 'by_tag', 'by_type']) AS "table",
+ unnest([4 * splits, tags, 4 * splits * types, 3 * splits, tags, 3 * splits * types]) AS metric_rows,
+ unnest([4 * n, n_test, 4 * n, 3 * n, n_test, 3 * n]) AS scored_rows
+ FROM (SELECT count(DISTINCT split) AS splits, count(DISTINCT tag_type) AS types, count(DISTINCT tag_type || tag) AS tags,
+ count(*) AS n, count(CASE WHEN split = 'test' THEN 1 END) AS n_test FROM scored WHERE model = 'baseline_lag_7'))"""
+
+
+@query("forecast_run_tables", upto("scored", _RUN_TABLES))
 def forecast_run(spark, sf):
     """The whole run with the two closed-form models: metric rows of every table."""
     run = forecasting.run(t.stored_features(spark, sf), "checked", ml.MODEL_CONFIGS[:2])

@@ -68,11 +68,18 @@ def category_encoder(columns: Sequence[str] = CATEGORICAL_FEATURES) -> Pipeline:
 
 def require_bounded_categories(train: DataFrame, columns: Sequence[str], bound: int = MAX_CATEGORIES) -> None:
     """The category list lives on the driver: refuse a column with too many values."""
+    found = train.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
     for column in columns:
-        if train.select(column).distinct().limit(bound + 1).count() > bound:
+        if found[column] > bound:
             raise ValueError(f"{column} has more than {bound} categories; select top tags first")
 
 
+def fit_encoder(rows: DataFrame, categorical: Sequence[str] = CATEGORICAL_FEATURES) -> PipelineModel:
+    """Missing categories count as ``unknown``."""
+    require_bounded_categories(rows, categorical)
+    return category_encoder(categorical).fit(rows.fillna("unknown", list(categorical)))
+
+
 @dataclass(frozen=True)
 class Preparation:
     """Fitted scaling and encoding."""
@@ -96,9 +103,7 @@ def prepare(
     encode_over: DataFrame | None = None,
 ) -> Preparation:
     """Fit on the train rows; categories may be listed over a wider frame."""
-    rows = train if encode_over is None else encode_over
-    require_bounded_categories(rows, categorical)
-    encoder = category_encoder(categorical).fit(rows.fillna("unknown", list(categorical)))
+    encoder = fit_encoder(train if encode_over is None else encode_over, categorical)
     return Preparation(fit_scaling(train, numeric), encoder, tuple(numeric), tuple(categorical))
 
 
@@ -197,13 +202,42 @@ def training_times(
     )
 
 
-def category_totals(preparation: Preparation, df: DataFrame, column: str) -> DataFrame:
+def category_labels(encoder: PipelineModel, column: str) -> list[str]:
+    """The categories of a column in slot order."""
+    indexer = encoder.stages[0]
+    return list(indexer.labelsArray[indexer.getInputCols().index(column)])
+
+
+def feature_names(preparation: Preparation) -> list[str]:
+    """Names of the vector's entries: numeric columns, then ``column=category`` slots."""
+    slots = [f"{c}={label}" for c in preparation.categorical for label in category_labels(preparation.encoder, c)]
+    return [*preparation.numeric, *slots]
+
+
+def normal_equations(model, prepared: DataFrame, names: Sequence[str], alpha: float = 0.0) -> DataFrame:
+    """``feature, imbalance``: how far a linear fit is from its optimum, per feature.
+
+    At the optimum the residuals weighted by a feature sum to alpha times its
+    weight; the imbalance is the difference relative to the residuals' size.
+    """
+    gap = F.col(TARGET) - F.col("raw_prediction")
+    entries = model.transform(prepared).select(
+        gap.alias("gap"), F.posexplode(vector_to_array("features")).alias("i", "x")
+    )
+    weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
+    labels = F.array(*[F.lit(n) for n in names])
+    summed = entries.groupBy("i").agg(
+        F.sum(F.col("x") * F.col("gap")).alias("pull"), F.sum(F.abs("gap")).alias("size")
+    )
+    imbalance = F.abs(F.col("pull") - F.get(weights, F.col("i")) * alpha) / F.col("size")
+    return summed.select(F.get(labels, F.col("i")).alias("feature"), imbalance.alias("imbalance"))
+
+
+def category_totals(encoder: PipelineModel, df: DataFrame, column: str) -> DataFrame:
     """``category, rows``: how often each one-hot slot of a column is set; unknown ones set none."""
-    indexer = preparation.encoder.stages[0]
-    labels = indexer.labelsArray[list(preparation.categorical).index(column)]
-    names = F.array(*[F.lit(label) for label in labels])
+    names = F.array(*[F.lit(label) for label in category_labels(encoder, column)])
     slot = F.array_position(vector_to_array(f"{column}_slots"), 1.0)
-    counted = preparation.apply(df).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("rows"))
+    counted = encoder.transform(df).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("rows"))
     return counted.where("slot > 0").select(
         F.get(names, F.col("slot").cast("int") - 1).alias("category"), "rows"
     )

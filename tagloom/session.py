@@ -8,6 +8,12 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Dates before the Gregorian calendar are written as they are, not shifted.
+REBASE_CONF = {
+    "spark.sql.parquet.datetimeRebaseModeInWrite": "CORRECTED",
+    "spark.sql.parquet.int96RebaseModeInWrite": "CORRECTED",
+}
+
 # Settings the library is written for.  Pass them to a session builder.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,8 +21,7 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.parquet.datetimeRebaseModeInWrite": "CORRECTED",
-    "spark.sql.parquet.int96RebaseModeInWrite": "CORRECTED",
+    **REBASE_CONF,
 }
 
 # A side whose row count is known to stay below this may be broadcast.

@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.corpus import combined_corpus
 
-# Parquet rebase settings for dates before the Gregorian calendar.
-REBASE_CONF = {
-    "spark.sql.parquet.datetimeRebaseModeInWrite": "CORRECTED",
-    "spark.sql.parquet.int96RebaseModeInWrite": "CORRECTED",
-}
-
 
 def write_token_lists(tokens: DataFrame, folder: str) -> dict[str, str]:
     """Text lists of the hashtags, the URLs and both, one token per line."""
@@ -40,7 +34,7 @@ def write_pairs(counts: DataFrame, path: str, key: str = "word") -> None:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Overwrite a Parquet table; the session carries REBASE_CONF."""
+    """Overwrite a Parquet table; the session carries the rebase settings."""
     df.write.mode("overwrite").parquet(path)
 
 

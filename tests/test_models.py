@@ -67,10 +67,10 @@ def test_preparation_equals_numpy(modeling):
 
 def test_unknown_categories_encode_as_zeros(modeling):
     preparation = ml.prepare(modeling.where("split = 'train' and tag <> '#t0'"))
-    totals = dict(rows(ml.category_totals(preparation, modeling, "tag")))
+    totals = dict(rows(ml.category_totals(preparation.encoder, modeling, "tag")))
     assert "#t0" not in totals and sum(totals.values()) == modeling.where("tag <> '#t0'").count()
     wide = ml.prepare(modeling.where("split = 'train' and tag <> '#t0'"), encode_over=modeling)
-    assert "#t0" in dict(rows(ml.category_totals(wide, modeling, "tag")))
+    assert "#t0" in dict(rows(ml.category_totals(wide.encoder, modeling, "tag")))
 
 
 def test_too_many_categories_are_refused(modeling):
