@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagloom.session import staged
+from tagloom.session import broadcast_if_bounded, staged
 
 RANGES = 256
 
@@ -99,6 +99,9 @@ def exact_quantiles(
         .agg(F.collect_list(F.struct("i", "end", "rank", "_fraction")).alias("_ranks"))
     )
 
+    # Without groups there are two ranks per probability, so the list is broadcast.
+    wanted = broadcast_if_bounded(wanted, None if by else 2 * len(probabilities))
+
     # Only the ranges that hold a wanted rank are sorted.
     inside = W.partitionBy(*by, "_r").orderBy("_v")
     hit = (

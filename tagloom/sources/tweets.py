@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.operators.quality import require_columns
+
 TWEET_CSV_SCHEMA = T.StructType(
     [T.StructField("created_at", T.StringType()), T.StructField("text", T.StringType())]
 )
@@ -37,23 +39,23 @@ def read_tweets_csv(
     schema: T.StructType | None = TWEET_CSV_SCHEMA,
     multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with a header row.
+    """CSV with a header row; other columns than those of the schema are ignored.
 
-    With a schema the file is read once and malformed rows are kept in
-    ``_corrupt``; ``schema=None`` infers the types in an extra pass.
-    ``multi_line=False`` cuts records at every line break, and lets Spark split
-    big files into many tasks.
+    Columns are found by their header name.  Malformed rows keep their text in
+    ``_corrupt``.  ``schema=None`` reads every column and infers the types in an
+    extra pass.  ``multi_line=False`` cuts records at every line break, and lets
+    Spark split big files into many tasks.
     """
-    reader = (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    )
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
     if schema is None:
-        return reader.option("inferSchema", True).csv(path)
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT_COLUMN, T.StringType())])
+        return spark.read.options(**options, inferSchema=True).csv(path)
+    # Spark matches a given schema by position, so name the file's own columns first.
+    header = require_columns(spark.read.options(**options).csv(path), schema.fieldNames()).columns
+    typed = {field.name: field.dataType for field in schema.fields}
+    fields = [T.StructField(name, typed.get(name, T.StringType())) for name in header]
     return (
-        reader.schema(with_corrupt)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
-        .option("enforceSchema", True)
+        spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT_COLUMN)
+        .schema(T.StructType([*fields, T.StructField(CORRUPT_COLUMN, T.StringType())]))
         .csv(path)
+        .select(*schema.fieldNames(), CORRUPT_COLUMN)
     )

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import arithmetic as ar
@@ -117,11 +118,8 @@ def test_csv_to_counts(spark, tmp_path):
     )
     path = tmp_path / "tweets.csv"
     path.write_text(body)
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "created_at", "text")])
-    tweets = read_tweets_csv(spark, str(path), schema)
-    assert tweets.columns == ["id", "created_at", "text", "_corrupt"]
+    tweets = read_tweets_csv(spark, str(path))
+    assert tweets.columns == ["created_at", "text", "_corrupt"]
     assert tweets.count() == 4
     result = tag_counts.tag_counts(clean.cleaned_tweets(tweets))
     first, second = dt.date(2020, 4, 9), dt.date(2020, 4, 10)
@@ -133,6 +131,19 @@ def test_csv_to_counts(spark, tmp_path):
     assert split.count() > 4
 
 
+def test_csv_columns_are_found_by_name_and_bad_rows_kept(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    path = tmp_path / "tweets.csv"
+    path.write_text("text,likes,other,created_at\n#a,3,x,2020-04-09\n#b,many,y,2020-04-10\n")
+    schema = T.StructType([T.StructField("created_at", T.StringType()), T.StructField("text", T.StringType()), T.StructField("likes", T.IntegerType())])
+    got = rows(read_tweets_csv(spark, str(path), schema))
+    assert got == [("2020-04-09", "#a", 3, None), ("2020-04-10", "#b", None, "#b,many,y,2020-04-10")]
+    with pytest.raises(ValueError, match="created_at"):
+        path.write_text("text\n#a\n")
+        read_tweets_csv(spark, str(path))
+
+
 def test_tag_count_job_writes_all_tables(spark, tmp_path):
     path = tmp_path / "tweets.csv"
     path.write_text("created_at,text\n2020-04-09,#a $b\n2020-04-09,#a $b\n2020-04-10,#a #c\nbad,#d\n")
