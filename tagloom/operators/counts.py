@@ -67,11 +67,15 @@ def totals_by(df: DataFrame, *keys: str, value: str = "count", name: str | None
     return df.groupBy(*keys).agg(F.sum(value).alias(name or value))
 
 
-def tag_summary(counts: DataFrame) -> DataFrame:
-    """Total count and number of observed days per tag."""
+def tag_summary(counts: DataFrame, unique_days: bool = False) -> DataFrame:
+    """Total count and number of observed days per tag.
+
+    ``unique_days`` promises one row per tag and date, as counting gives: days
+    are then counted in each task, and only one row per tag is shuffled.
+    """
+    days = F.count("date") if unique_days else F.count_distinct("date")
     return counts.groupBy("tag_type", "tag").agg(
-        F.sum("count").alias("total_count"),
-        F.count_distinct("date").alias("observed_days"),
+        F.sum("count").alias("total_count"), days.alias("observed_days")
     )
 
 

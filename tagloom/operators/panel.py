@@ -28,9 +28,11 @@ def load_counts(hashtags: DataFrame, cashtags: DataFrame, start: str, end: str)
     return between_dates(union_counts(hashtags, cashtags), start, end)
 
 
-def select_top_tags(counts: DataFrame, top_n: int = 15, min_observed_days: int = 60) -> DataFrame:
+def select_top_tags(
+    counts: DataFrame, top_n: int = 15, min_observed_days: int = 60, unique_days: bool = False
+) -> DataFrame:
     """The ``top_n`` tags of each type among those seen on enough days."""
-    frequent = tag_summary(counts).where(F.col("observed_days") >= min_observed_days)
+    frequent = tag_summary(counts, unique_days).where(F.col("observed_days") >= min_observed_days)
     order = [F.desc("total_count"), F.desc("observed_days"), "tag"]
     return top_per_group(frequent, top_n, ["tag_type"], order)
 
@@ -54,8 +56,12 @@ def date_positions(df: DataFrame) -> DataFrame:
 
 
 def date_spine(df: DataFrame) -> DataFrame:
-    """One row: the sorted array of observed dates, at most one per calendar day."""
-    return df.agg(F.array_sort(F.collect_set("date")).alias("dates"))
+    """One row: the sorted array of observed dates, at most one per calendar day.
+
+    The dates are made distinct first: that aggregate is compiled, the one that
+    builds the array is not.
+    """
+    return df.select("date").distinct().agg(F.array_sort(F.collect_set("date")).alias("dates"))
 
 
 def panel_grid(counts: DataFrame, selected: DataFrame) -> DataFrame:

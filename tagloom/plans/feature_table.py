@@ -37,7 +37,8 @@ class PanelSettings:
 
 
 def panel_from_counts(counts: DataFrame, settings: PanelSettings) -> DataFrame:
-    selected = select_top_tags(counts, settings.top_n, settings.min_observed_days)
+    """``counts`` has one row per date, tag and type; ``validate`` finds it if not."""
+    selected = select_top_tags(counts, settings.top_n, settings.min_observed_days, unique_days=True)
     return build_panel(counts, selected, settings.selected_rows)
 
 

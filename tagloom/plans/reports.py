@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.dates import iso_day
 from tagloom.functions.text import tag_label
 from tagloom.operators import buckets, counts, diagnostics as dg, forecasts as fc, ranking as rk, reshape
 from tagloom.operators.panel import canonical_order, concat_all
+from tagloom.operators.quantiles import describe_columns
 from tagloom.operators.splits import SPLIT_ORDER
 from tagloom.session import staged
 
@@ -160,7 +161,7 @@ def systems_summary(summaries: dict[str, DataFrame]) -> DataFrame:
     return concat_all(flat).select("run", *fields)
 
 
-def seconds_map(summary: DataFrame):
+def seconds_map(summary: DataFrame) -> Column:
     """Fit seconds as a map; a summary read back from JSON holds them as a struct."""
     column = F.col("model_training_seconds")
     return F.from_json(F.to_json(column), "map<string,double>")
@@ -168,8 +169,6 @@ def seconds_map(summary: DataFrame):
 
 def sentiment_tables(table: DataFrame) -> dict[str, DataFrame]:
     """Summary and coverage of optional sentiment columns."""
-    from tagloom.operators.quantiles import describe_columns
-
     names = reshape.columns_like(table, "sentiment", "positive", "negative").columns
     tables = {"shape": counts.shape(table)}
     if names:

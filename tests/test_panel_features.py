@@ -159,3 +159,23 @@ def test_features_equal_pandas_on_random_counts(spark):
         want["anomaly_z_ready_7"] = ((c - want["rolling_mean_7"]) / std).where(std > 1e-9)
         for column, values in want.items():
             np.testing.assert_allclose(rows_[column].to_numpy(dtype=float), values.to_numpy(), atol=1e-6, err_msg=column)
+
+
+def test_days_may_be_counted_where_they_are_unique(spark):
+    from tagloom.operators.counts import tag_summary
+
+    df = panel_of(spark, {"#a": COUNTS, "#b": [1, 2]})
+    assert rows(tag_summary(df, unique_days=True)) == rows(tag_summary(df)) == [("hashtag", "#a", 43, 9), ("hashtag", "#b", 3, 2)]
+    doubled = tag_summary(df.union(df))
+    assert rows(doubled, "observed_days") == [(2,), (9,)]
+    plan = tag_summary(df, unique_days=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_duplicate_days_are_found(spark):
+    df = panel_of(spark, {"#a": COUNTS})
+    cash = df.withColumn("tag_type", F.lit("cashtag"))
+    settings = PanelSettings(top_n=1, min_observed_days=1, train_dates=5, validation_dates=2)
+    features = feature_table(df.union(df).union(cash), settings)
+    with pytest.raises(ValueError, match="duplicate keys"):
+        validate(features, settings)
