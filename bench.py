@@ -19,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from checks import QUERIES  # noqa: E402
 from checks import tables  # noqa: E402
 from checks.compare import local_session  # noqa: E402
-from tagloom.operators.models import fit_models  # noqa: E402
+from tagloom.operators.models import MODEL_CONFIGS, fit_models  # noqa: E402
 
 HEADLINE = (
     "set_04_distinct_tweets",
@@ -56,6 +56,7 @@ def main() -> None:
         run(name, spark, sf)
         seconds[name] = round(run(name, spark, sf), 3)
     modeling = tables.stored_features(spark, sf).where("modeling_ready")
+    fit_models(modeling, MODEL_CONFIGS[:2], workers=1)
     fits = {name: round(s, 3) for name, s in fit_models(modeling, workers=1).seconds.items()}
     scale = re.search(r"sf([0-9.]+)", sf)
     print(
