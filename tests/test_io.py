@@ -76,3 +76,27 @@ def test_broadcast_only_with_a_small_bound(spark):
     assert hinted(session.broadcast_if_bounded(df, 30))
     assert not hinted(session.broadcast_if_bounded(df, None))
     assert not hinted(session.broadcast_if_bounded(df, session.BROADCAST_ROWS + 1))
+
+
+class _Conf:
+    def __init__(self, folder):
+        self.folder = folder
+
+    def get(self, key, default=None):
+        return self.folder or default
+
+
+class _Session:
+    """Just enough of a session to ask for its folder."""
+
+    def __init__(self, master, folder=None):
+        self.conf = _Conf(folder)
+        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{master}"})()
+
+
+def test_the_cluster_names_the_shared_folder():
+    assert session.shared_folder(_Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(_Session("yarn"))
+    local = _Session("local[2]")
+    assert session.shared_folder(local) == session.shared_folder(local)
