@@ -81,27 +81,29 @@ def signature(values: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, *, key: str, text: str, words: int = WORDS) -> DataFrame:
-    """Per document: id, ``place`` (a hash of its text), ``node`` (a digest of its set), ``tokens``."""
+    """Per document: id, ``place`` (a hash of its text), ``node`` (a digest of its set), ``tokens`` and ``marks`` (their low bytes)."""
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                nodes, tokens = [], []
+                nodes, tokens, marks = [], [], []
                 for value in part.column(2):
                     raw = value.as_py()
                     values = shingles(raw, words)
                     # a text without words stands for itself
                     whole = values.tobytes() if len(values) else b"blank" + (raw or "").encode()
                     nodes.append(xxhash.xxh3_128_digest(whole))
-                    tokens.append(signature(values).tobytes() if len(values) else None)
+                    own = signature(values) if len(values) else None
+                    tokens.append(None if own is None else own.tobytes())
+                    marks.append(None if own is None else own.astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(tokens, pa.binary())], names=["id", "place", "node", "tokens"]
+                    [part.column(0), part.column(1), *(pa.array(c, pa.binary()) for c in (nodes, tokens, marks))], names=["id", "place", "node", "tokens", "marks"]
                 )
 
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("place"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"id {key_type}, place long, node binary, tokens binary")
+    return rows.mapInArrow(run, f"id {key_type}, place long, node binary, tokens binary, marks binary")
 
 
 def runs_for(threshold: float, recall: float = RECALL, depth: int = USUAL_DEPTH) -> int:
@@ -131,7 +133,7 @@ def buckets(nodes: DataFrame, runs: int) -> DataFrame:
         large = met.where(F.col("size") > SMALL)
         if depth == DEPTH or large.isEmpty():
             return done
-        rows = large.join(nodes, "node").select("node", split(F.col("path"), F.col("tokens")).alias("path"))
+        rows = large.join(nodes.select("node", "tokens"), "node").select("node", split(F.col("path"), F.col("tokens")).alias("path"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: int, most: int | None = None) -> Iterator[list[list]]:
@@ -179,8 +181,8 @@ def candidate_links(found: DataFrame, nodes: DataFrame, least: float) -> DataFra
             return batch
 
         path, anchor = None, None
-        for paths, large, members, tokens in _groups(batches, 1, SMALL):
-            matrix = np.frombuffer(b"".join(tokens), "<u2").reshape(-1, TOKENS)
+        for paths, large, members, marks in _groups(batches, 1, SMALL):
+            matrix = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, TOKENS)
             n = len(matrix)
             if n == 2:
                 left, right = (np.array([0]), np.array([1])) if (matrix[0] == matrix[1]).mean() >= least else (np.zeros(0, int),) * 2
@@ -198,7 +200,7 @@ def candidate_links(found: DataFrame, nodes: DataFrame, least: float) -> DataFra
         if pairs:
             yield flush()
 
-    rows = found.join(nodes.select("node", "tokens"), "node").select("path", "large", "node", "tokens")
+    rows = found.join(nodes.select("node", "marks"), "node").select("path", "large", "node", "marks")
     near = rows.repartition("path").sortWithinPartitions("path", "node")
     return near.mapInArrow(compare, "a binary, b binary").distinct()
 
@@ -289,13 +291,13 @@ class Join:
 
     def __init__(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL):
         rows = staged(sketches(docs, key=key, text=text, words=words), "sketches")
-        grouped = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "place")).alias("rep"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"))
+        grouped = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "place")).alias("rep"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"), F.min("marks").alias("marks"))
         nodes = staged(grouped, "nodes")
         self.members = rows.select("id", "place", "node")
         self.nodes = staged(self._classes(docs, nodes, key, text, words, threshold, recall), "classes")
 
     def _classes(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, words: int, threshold: float, recall: float) -> DataFrame:
-        tokens = nodes.where("tokens IS NOT NULL").select("node", "tokens")
+        tokens = nodes.where("tokens IS NOT NULL").select("node", "tokens", "marks")
         near = candidate_links(buckets(tokens, runs_for(threshold, recall)), tokens, threshold - MARGIN)
         around = components(near)
         sized = around.join(around.groupBy("label").agg(F.count("*").alias("size")), "label")

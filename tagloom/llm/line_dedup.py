@@ -13,8 +13,8 @@ grouped minima, never as pairs, and what they claim is verified on the words.
 
 Only lines that can have a partner emit variants.  One edit lies in one half of a
 line, so partners agree in the other half; halves are counted as hashes first.
-The lines that share a half are told to the second scan by a bit filter of fixed
-size; a filter that fills up lets more lines through and changes no result.
+The halves that several lines share are told to the next scan by a bit filter of
+fixed size; a filter that fills up lets more lines through and changes no result.
 
 Defined cases: a null text stays null and has no lines; lines without words are
 kept and not counted; rows with equal id and text are treated alike, their lines
@@ -44,7 +44,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
 
-_LINES = "line int, hash binary, ident long, halves array<long>"
+_LINES = "line int, hash binary, ident long"
 _VARIANTS = "line int, hash binary, key long, gap int, words binary"
 
 
@@ -83,6 +83,7 @@ def variants(words: list[bytes]) -> np.ndarray:
 
 
 def _ident(key, place: int, line: int) -> int:
+    """A line's identifier: of its document's id and text, and its number."""
     return _long(xxhash.xxh3_64_intdigest(f"{key}/{place}/{line}"))
 
 
@@ -108,7 +109,7 @@ def _lines(docs: DataFrame, key_type: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                owner, line, digest, ident, half = [], [], [], [], []
+                owner, line, digest, ident = [], [], [], []
                 for x in range(part.num_rows):
                     key, place, text = (c[x].as_py() for c in part.columns)
                     for number, words in line_words(text):
@@ -116,25 +117,35 @@ def _lines(docs: DataFrame, key_type: str) -> DataFrame:
                         line.append(number)
                         digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
                         ident.append(_ident(key, place, number))
-                        half.append(halves(words) if len(words) >= NEAR_WORDS else None)
-                own = part.select([0, 1]).take(pa.array(owner, pa.int64()))
-                columns = [*own.columns, pa.array(line, pa.int32()), pa.array(digest, pa.binary()), pa.array(ident, pa.int64()), pa.array(half, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "place", "line", "hash", "ident", "halves"])
+                own = part.column(0).take(pa.array(owner, pa.int64()))
+                columns = [own, pa.array(line, pa.int32()), pa.array(digest, pa.binary()), pa.array(ident, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "hash", "ident"])
 
-    return docs.mapInArrow(run, f"id {key_type}, place long, {_LINES}")
+    return docs.mapInArrow(run, f"id {key_type}, {_LINES}")
 
 
-def _bits(idents: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Filter positions of identifiers."""
-    x = idents.view(np.uint64)
-    for p in range(POSITIONS):
-        yield (x >> np.uint64(24 * p)) & np.uint64(bits - 1)
+def shared_halves(docs: DataFrame) -> DataFrame:
+    """``half`` of the halves that different lines share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                codes, found = [], []
+                for text in batch.slice(at, 500).column(0):
+                    for _, words in line_words(text.as_py()):
+                        if len(words) >= NEAR_WORDS:
+                            codes.append(_long(xxhash.xxh3_64_intdigest(b" ".join(words))))
+                            found += halves(words)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.repeat(np.array(codes, np.int64), 4))], names=["half", "code"])
+
+    keys = docs.select("text").mapInArrow(run, "half long, code long")
+    return keys.groupBy("half").agg(F.min("code").alias("a"), F.max("code").alias("b")).where("a <> b").select("half")
 
 
-def bit_filter(idents: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter of the ``ident`` column: ``bits`` bits, whatever the rows."""
-    places = F.array(*(F.shiftrightunsigned("ident", 24 * p).bitwiseAND(F.lit(bits - 1)) for p in range(POSITIONS)))
-    place = idents.select(F.explode(places).alias("at"))
+def bit_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of the column ``half``: ``bits`` bits, whatever the rows."""
+    places = F.array(*(F.shiftrightunsigned("half", 24 * p).bitwiseAND(F.lit(bits - 1)) for p in range(POSITIONS)))
+    place = keys.select(F.explode(places).alias("at"))
     words = place.groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 AS int))")).alias("bits"))
     out = np.zeros(bits >> 5, np.uint32)
     for r in words.collect():  # one row per 32 bits of the filter at most
@@ -142,23 +153,29 @@ def bit_filter(idents: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
+def passes(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Which keys the filter holds."""
+    x, bits = keys.view(np.uint64), len(told) << 5
+    held = np.ones(len(x), bool)
+    for p in range(POSITIONS):
+        at = (x >> np.uint64(24 * p)) & np.uint64(bits - 1)
+        held &= told[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1) > 0
+    return held
+
+
 def _variants(docs: DataFrame, key_type: str, told: np.ndarray) -> DataFrame:
-    bits = len(told) << 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                met, ident = [], []
+                met, keys = [], []
                 for x in range(part.num_rows):
-                    key, place, text = (c[x].as_py() for c in part.columns)
-                    for number, words in line_words(text):
+                    for number, words in line_words(part.column(1)[x].as_py()):
                         if len(words) >= NEAR_WORDS:
                             met.append((x, number, words))
-                            ident.append(_ident(key, place, number))
-                passed = np.ones(len(met), bool)
-                for p in _bits(np.array(ident, np.int64), bits):
-                    passed &= told[p >> np.uint64(5)] >> (p & np.uint64(31)).astype(np.uint32) & np.uint32(1) > 0
+                            keys += halves(words)
+                passed = passes(np.array(keys, np.int64), told).reshape(-1, 4).any(axis=1)
                 met = [m for m, ok in zip(met, passed.tolist()) if ok]
                 if not met:
                     continue
@@ -166,38 +183,35 @@ def _variants(docs: DataFrame, key_type: str, told: np.ndarray) -> DataFrame:
                 whole = [b" ".join(m[2]) for m in met]
                 numbers = np.repeat(np.arange(len(met)), sizes)
                 gaps = np.concatenate([np.arange(-1, s - 1, dtype=np.int32) for s in sizes])
-                own = part.select([0, 1]).take(pa.array([m[0] for m in met], pa.int64()).take(pa.array(numbers)))
+                own = part.column(0).take(pa.array([m[0] for m in met], pa.int64()).take(pa.array(numbers)))
                 line = pa.array([m[1] for m in met], pa.int32()).take(pa.array(numbers))
                 digest = pa.array([xxhash.xxh3_128_digest(w) for w in whole], pa.binary()).take(pa.array(numbers))
                 text = pa.array(whole, pa.binary()).take(pa.array(np.where(gaps < 0, numbers, 0), mask=gaps >= 0))
                 keys = pa.array(np.concatenate([variants(m[2]) for m in met]))
-                columns = [*own.columns, line, digest, keys, pa.array(gaps), text]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "place", "line", "hash", "key", "gap", "words"])
+                columns = [own, line, digest, keys, pa.array(gaps), text]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "hash", "key", "gap", "words"])
 
-    return docs.mapInArrow(run, f"id {key_type}, place long, {_VARIANTS}")
+    return docs.select("id", "text").mapInArrow(run, f"id {key_type}, {_VARIANTS}")
 
 
 def _order() -> Column:
     """Where a line stands; ties of repeated rows are broken by the line's hash."""
-    return F.struct(F.col("id").isNotNull().alias("has"), "id", "place", "line", "hash")
-
+    return F.struct(F.col("id").isNotNull().alias("has"), "id", "line", "hash")
 
-def near_lines(first: DataFrame, docs: DataFrame, key_type: str, bits: int = FILTER_BITS) -> DataFrame:
-    """``hash`` of the lines within one edit of an earlier line.
 
-    ``first`` holds each distinct line's first place and halves, ``docs`` id, place and text.
-    """
-    halved = first.where("halves IS NOT NULL").select("hash", "ident", F.explode("halves").alias("half"))
-    shared = halved.groupBy("half").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("half")
-    told = bit_filter(halved.join(shared, "half").select("ident").distinct(), bits)
-    rows = staged(_variants(docs, key_type, told).withColumn("order", _order()).drop("id", "place", "line"), "variants")
+def near_lines(docs: DataFrame, key_type: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``hash`` of the lines of ``docs`` (id, text) within one edit of an earlier line."""
+    told = bit_filter(shared_halves(docs), bits)
+    rows = staged(_variants(docs, key_type, told).withColumn("order", _order()).drop("id", "line"), "variants")
     keys = rows.groupBy("key").agg(
         F.min("hash").alias("a"),
         F.max("hash").alias("b"),
         F.min(F.when(F.col("gap") < 0, F.col("order"))).alias("whole"),
         F.min(F.when(F.col("gap") >= 0, F.col("order"))).alias("cut"),
     )
-    met = staged(rows.drop("words").join(keys.where("a <> b").drop("a", "b"), "key"), "met")
+    copies = rows.drop("words").join(keys.where("a <> b").drop("a", "b"), "key")
+    # a line's copies emit the same variants; the line stands where its first copy does
+    met = staged(copies.groupBy("key", "gap", "hash").agg(*[F.min(c).alias(c) for c in ("order", "whole", "cut")]), "met")
     changed = met.where("gap >= 0").groupBy("key", "gap").agg(F.min("order").alias("same"))
     one_word = met.where("gap >= 0").join(changed, ["key", "gap"]).where("same < order").select("hash", F.col("same")["hash"].alias("other"))
     other = F.when(F.col("gap") < 0, F.col("cut")).otherwise(F.col("whole"))
@@ -214,35 +228,36 @@ def near_lines(first: DataFrame, docs: DataFrame, key_type: str, bits: int = FIL
 
 
 def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bits: int = FILTER_BITS) -> DataFrame:
-    """Per document with lines to drop: ``id``, ``place`` (hash of the text) and ``drops``, their numbers."""
+    """Per id with lines to drop: ``id`` and ``drops``, the identifiers of those lines (see _ident)."""
     key_type = docs.schema[key].dataType.simpleString()
     rows = _rows(docs, key, text)
     lines = staged(_lines(rows, key_type), "lines")
-    order = F.struct(F.col("id").isNotNull().alias("has"), "id", "place", "line", "ident")
-    first = staged(lines.groupBy("hash").agg(F.min(order).alias("order"), F.min("halves").alias("halves")).select("hash", F.col("order")["ident"].alias("ident"), "halves"), "first")
-    near = near_lines(first, rows, key_type, bits).withColumn("near", F.lit(True))
-    kept = first.select("hash", F.col("ident").alias("first")).join(near, "hash", "left")
-    gone = lines.select("id", "place", "line", "hash", "ident").join(kept, "hash").where("near OR ident <> first")
-    return gone.groupBy("id", "place").agg(F.collect_set("line").alias("drops"))
+    order = F.struct(F.col("id").isNotNull().alias("has"), "id", "line", "ident")
+    first = lines.groupBy("hash").agg(F.min(order)["ident"].alias("first"))
+    near = near_lines(rows, key_type, bits).withColumn("near", F.lit(True))
+    kept = first.join(near, "hash", "left")
+    gone = lines.select("id", "hash", "ident").join(kept, "hash").where("near OR ident <> first")
+    return gone.groupBy("id").agg(F.collect_set("ident").alias("drops"))
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", into: str = "lines", bits: int = FILTER_BITS) -> DataFrame:
     """``docs`` with a struct ``into``: ``text`` without the repeated lines, ``n_lines`` and ``n_dropped`` (lines with words)."""
-    drops = repeated_lines(docs, key=key, text=text, bits=bits).select(F.col("id").alias("_id"), F.col("place").alias("_place"), F.col("drops").alias("_drops"))
-    rows = docs.withColumn("_at", F.xxhash64(text))
-    same = rows[key].eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_place"))
+    drops = repeated_lines(docs, key=key, text=text, bits=bits).select(F.col("id").alias("_id"), F.col("drops").alias("_drops"))
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
-    def rebuilt(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    def rebuilt(keys: pd.Series, places: pd.Series, texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         out = []
-        for t, d in zip(texts.tolist(), gone.tolist()):
-            lines = [] if t is None else t.split("\n")
-            drop = set() if d is None else set(d)
-            n = sum(1 for _ in line_words(t))
-            out.append((t if not drop else "\n".join([x for i, x in enumerate(lines) if i not in drop]), n, len(drop)))
+        for k, p, t, d in zip(keys.tolist(), places.tolist(), texts.tolist(), gone.tolist()):
+            worded = [number for number, _ in line_words(t)]
+            among = set() if d is None else set(d.tolist())
+            drop = {number for number in worded if among and _ident(k, p, number) in among}
+            left = t if not drop else "\n".join([x for i, x in enumerate(t.split("\n")) if i not in drop])
+            out.append((left, len(worded), len(drop)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    return rows.join(drops, same, "left").withColumn(into, rebuilt(F.col(text), F.col("_drops"))).drop("_id", "_place", "_drops", "_at")
+    own = F.col(key).cast("string")  # ids as text: a column of numbers with nulls would become one of floats
+    joined = docs.join(drops, docs[key].eqNullSafe(F.col("_id")), "left")
+    return joined.withColumn(into, rebuilt(own, F.xxhash64(text), F.col(text), F.col("_drops"))).drop("_id", "_drops")
 
 
 def keep_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
