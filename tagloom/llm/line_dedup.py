@@ -14,7 +14,8 @@ grouped minima, never as pairs, and what they claim is verified on the words.
 Only lines that can have a partner emit variants.  One edit lies in one half of a
 line, so partners agree in the other half; halves are counted as hashes first.
 The halves that several lines share are told to the next scan by a bit filter of
-fixed size; a filter that fills up lets more lines through and changes no result.
+fixed size, and so are the variants that several lines share, before their lines
+are moved; a filter that fills up lets more through and changes no result.
 
 Defined cases: a null text stays null and has no lines; lines without words are
 kept and not counted; rows with equal id and text are treated alike, their lines
@@ -46,6 +47,7 @@ _LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
 
 _LINES = "line int, hash binary, ident long"
 _VARIANTS = "line int, hash binary, key long, gap int, words binary"
+_KEYS = "key long, code long"
 
 
 def line_words(text: str | None) -> Iterator[tuple[int, list[bytes]]]:
@@ -124,8 +126,17 @@ def _lines(docs: DataFrame, key_type: str) -> DataFrame:
     return docs.mapInArrow(run, f"id {key_type}, {_LINES}")
 
 
-def shared_halves(docs: DataFrame) -> DataFrame:
-    """``half`` of the halves that different lines share."""
+def _code(words: list[bytes]) -> int:
+    return _long(xxhash.xxh3_64_intdigest(b" ".join(words)))
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """``key`` of the keys that lines of different codes share."""
+    return keys.groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b")).where("a <> b").select("key")
+
+
+def half_keys(docs: DataFrame) -> DataFrame:
+    """The halves of all lines that may have near lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,17 +145,16 @@ def shared_halves(docs: DataFrame) -> DataFrame:
                 for text in batch.slice(at, 500).column(0):
                     for _, words in line_words(text.as_py()):
                         if len(words) >= NEAR_WORDS:
-                            codes.append(_long(xxhash.xxh3_64_intdigest(b" ".join(words))))
+                            codes.append(_code(words))
                             found += halves(words)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.repeat(np.array(codes, np.int64), 4))], names=["half", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.repeat(np.array(codes, np.int64), 4))], names=["key", "code"])
 
-    keys = docs.select("text").mapInArrow(run, "half long, code long")
-    return keys.groupBy("half").agg(F.min("code").alias("a"), F.max("code").alias("b")).where("a <> b").select("half")
+    return docs.select("text").mapInArrow(run, _KEYS)
 
 
 def bit_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter of the column ``half``: ``bits`` bits, whatever the rows."""
-    places = F.array(*(F.shiftrightunsigned("half", 24 * p).bitwiseAND(F.lit(bits - 1)) for p in range(POSITIONS)))
+    """A filter of the column ``key``: ``bits`` bits, whatever the rows."""
+    places = F.array(*(F.shiftrightunsigned("key", 24 * p).bitwiseAND(F.lit(bits - 1)) for p in range(POSITIONS)))
     place = keys.select(F.explode(places).alias("at"))
     words = place.groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 AS int))")).alias("bits"))
     out = np.zeros(bits >> 5, np.uint32)
@@ -163,33 +173,52 @@ def passes(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
     return held
 
 
-def _variants(docs: DataFrame, key_type: str, told: np.ndarray) -> DataFrame:
+def _met(part: pa.RecordBatch, told: np.ndarray) -> list[tuple[int, int, list[bytes]]]:
+    """Row, number and words of the lines that share a half."""
+    met, keys = [], []
+    for x in range(part.num_rows):
+        for number, words in line_words(part.column(1)[x].as_py()):
+            if len(words) >= NEAR_WORDS:
+                met.append((x, number, words))
+                keys += halves(words)
+    passed = passes(np.array(keys, np.int64), told).reshape(-1, 4).any(axis=1)
+    return [m for m, ok in zip(met, passed.tolist()) if ok]
+
+
+def variant_keys(docs: DataFrame, told: np.ndarray) -> DataFrame:
+    """The variants of all lines that share a half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                met = _met(batch.slice(at, 200), told)
+                if met:
+                    codes = np.repeat(np.array([_code(m[2]) for m in met], np.int64), [len(m[2]) + 1 for m in met])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([variants(m[2]) for m in met])), pa.array(codes)], names=["key", "code"])
+
+    return docs.select("id", "text").mapInArrow(run, _KEYS)
+
+
+def _variants(docs: DataFrame, key_type: str, told: np.ndarray, shared: np.ndarray) -> DataFrame:
+    """The shared variants of the lines, and each such line's words beside its own hash (gap -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                met, keys = [], []
-                for x in range(part.num_rows):
-                    for number, words in line_words(part.column(1)[x].as_py()):
-                        if len(words) >= NEAR_WORDS:
-                            met.append((x, number, words))
-                            keys += halves(words)
-                passed = passes(np.array(keys, np.int64), told).reshape(-1, 4).any(axis=1)
-                met = [m for m, ok in zip(met, passed.tolist()) if ok]
-                if not met:
-                    continue
-                sizes = [len(m[2]) + 1 for m in met]
-                whole = [b" ".join(m[2]) for m in met]
-                numbers = np.repeat(np.arange(len(met)), sizes)
-                gaps = np.concatenate([np.arange(-1, s - 1, dtype=np.int32) for s in sizes])
-                own = part.column(0).take(pa.array([m[0] for m in met], pa.int64()).take(pa.array(numbers)))
-                line = pa.array([m[1] for m in met], pa.int32()).take(pa.array(numbers))
-                digest = pa.array([xxhash.xxh3_128_digest(w) for w in whole], pa.binary()).take(pa.array(numbers))
-                text = pa.array(whole, pa.binary()).take(pa.array(np.where(gaps < 0, numbers, 0), mask=gaps >= 0))
-                keys = pa.array(np.concatenate([variants(m[2]) for m in met]))
-                columns = [own, line, digest, keys, pa.array(gaps), text]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "hash", "key", "gap", "words"])
+                rows = []
+                for x, number, words in _met(part, told):
+                    keys = variants(words)
+                    held = np.flatnonzero(passes(keys, shared)).tolist()
+                    if held:
+                        whole = b" ".join(words)
+                        digest = xxhash.xxh3_128_digest(whole)
+                        rows += [(x, number, digest, int(keys[i]), i - 1, None if i else whole) for i in dict.fromkeys([0, *held])]
+                if rows:
+                    columns = list(zip(*rows))
+                    own = part.column(0).take(pa.array(columns[0], pa.int64()))
+                    types = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(columns[1:], types))], names=["id", "line", "hash", "key", "gap", "words"])
 
     return docs.select("id", "text").mapInArrow(run, f"id {key_type}, {_VARIANTS}")
 
@@ -201,8 +230,9 @@ def _order() -> Column:
 
 def near_lines(docs: DataFrame, key_type: str, bits: int = FILTER_BITS) -> DataFrame:
     """``hash`` of the lines of ``docs`` (id, text) within one edit of an earlier line."""
-    told = bit_filter(shared_halves(docs), bits)
-    rows = staged(_variants(docs, key_type, told).withColumn("order", _order()).drop("id", "line"), "variants")
+    told = bit_filter(_shared(half_keys(docs)), bits)
+    shared = bit_filter(_shared(variant_keys(docs, told)), bits)
+    rows = staged(_variants(docs, key_type, told, shared).withColumn("order", _order()).drop("id", "line"), "variants")
     keys = rows.groupBy("key").agg(
         F.min("hash").alias("a"),
         F.max("hash").alias("b"),
