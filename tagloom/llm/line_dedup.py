@@ -62,12 +62,19 @@ def _long(digest: int) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-def halves(words: list[bytes]) -> list[int]:
-    """Hashes of the halves that a partner within one edit may share."""
-    out = []
-    for m in (len(words), len(words) - 1):  # the shorter line's length
-        head, tail = words[: m // 2], words[len(words) - (m - m // 2) :]
-        out += [_long(xxhash.xxh3_64_intdigest(b"%d%c " % (m, side) + b" ".join(part))) for side, part in ((b"h", head), (b"t", tail))]
+def halves(words: list[bytes], whole: bytes) -> list[int]:
+    """Hashes of the halves that a partner within one edit may share; ``whole`` is the joined words."""
+    n, out = len(words), []
+    half = n // 2
+    at = len(b" ".join(words[:half]))  # where the first half ends
+    for m in (n, n - 1):  # the shorter line's length
+        head, tail = at, at + 1
+        if m // 2 < half:
+            head -= len(words[half - 1]) + 1
+        elif m < n:
+            tail += len(words[half]) + 1
+        out.append(_long(xxhash.xxh3_64_intdigest(whole[:head], 2 * m)))
+        out.append(_long(xxhash.xxh3_64_intdigest(whole[tail:], 2 * m + 1)))
     return out
 
 
@@ -126,8 +133,8 @@ def _lines(docs: DataFrame, key_type: str) -> DataFrame:
     return docs.mapInArrow(run, f"id {key_type}, {_LINES}")
 
 
-def _code(words: list[bytes]) -> int:
-    return _long(xxhash.xxh3_64_intdigest(b" ".join(words)))
+def _code(whole: bytes) -> int:
+    return _long(xxhash.xxh3_64_intdigest(whole))
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -145,8 +152,9 @@ def half_keys(docs: DataFrame) -> DataFrame:
                 for text in batch.slice(at, 500).column(0):
                     for _, words in line_words(text.as_py()):
                         if len(words) >= NEAR_WORDS:
-                            codes.append(_code(words))
-                            found += halves(words)
+                            whole = b" ".join(words)
+                            codes.append(_code(whole))
+                            found += halves(words, whole)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.repeat(np.array(codes, np.int64), 4))], names=["key", "code"])
 
     return docs.select("text").mapInArrow(run, _KEYS)
@@ -173,14 +181,15 @@ def passes(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
     return held
 
 
-def _met(part: pa.RecordBatch, told: np.ndarray) -> list[tuple[int, int, list[bytes]]]:
-    """Row, number and words of the lines that share a half."""
+def _met(part: pa.RecordBatch, told: np.ndarray) -> list[tuple[int, int, list[bytes], bytes]]:
+    """Row, number, words and joined words of the lines that share a half."""
     met, keys = [], []
     for x in range(part.num_rows):
         for number, words in line_words(part.column(1)[x].as_py()):
             if len(words) >= NEAR_WORDS:
-                met.append((x, number, words))
-                keys += halves(words)
+                whole = b" ".join(words)
+                met.append((x, number, words, whole))
+                keys += halves(words, whole)
     passed = passes(np.array(keys, np.int64), told).reshape(-1, 4).any(axis=1)
     return [m for m, ok in zip(met, passed.tolist()) if ok]
 
@@ -193,7 +202,7 @@ def variant_keys(docs: DataFrame, told: np.ndarray) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 met = _met(batch.slice(at, 200), told)
                 if met:
-                    codes = np.repeat(np.array([_code(m[2]) for m in met], np.int64), [len(m[2]) + 1 for m in met])
+                    codes = np.repeat(np.array([_code(m[3]) for m in met], np.int64), [len(m[2]) + 1 for m in met])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([variants(m[2]) for m in met])), pa.array(codes)], names=["key", "code"])
 
     return docs.select("id", "text").mapInArrow(run, _KEYS)
@@ -207,11 +216,10 @@ def _variants(docs: DataFrame, key_type: str, told: np.ndarray, shared: np.ndarr
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 rows = []
-                for x, number, words in _met(part, told):
+                for x, number, words, whole in _met(part, told):
                     keys = variants(words)
                     held = np.flatnonzero(passes(keys, shared)).tolist()
                     if held:
-                        whole = b" ".join(words)
                         digest = xxhash.xxh3_128_digest(whole)
                         rows += [(x, number, digest, int(keys[i]), i - 1, None if i else whole) for i in dict.fromkeys([0, *held])]
                 if rows:
