@@ -68,9 +68,9 @@ def halves(words: list[bytes], whole: bytes) -> list[int]:
     half = n // 2
     at = len(b" ".join(words[:half]))  # where the first half ends
     for m in (n, n - 1):  # the shorter line's length
-        head, tail = at, at + 1
+        head, tail = at, at + 1 if half else 0
         if m // 2 < half:
-            head -= len(words[half - 1]) + 1
+            head = max(0, head - len(words[half - 1]) - 1)
         elif m < n:
             tail += len(words[half]) + 1
         out.append(_long(xxhash.xxh3_64_intdigest(whole[:head], 2 * m)))
