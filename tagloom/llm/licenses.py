@@ -148,18 +148,28 @@ def scan(docs: DataFrame, *, path: Column, text: str = "text", threshold: float
     rows = keyed.select(F.col("_path").alias("path"), F.col("_place").alias("place"), F.col(text).alias("text"))
     lines = staged(matched_lines(rows, threshold), "matched")
     own = lines.groupBy("path", "place").agg(F.sum("chars").alias("matched"), F.min(F.struct((-F.col("score")).alias("worse"), "line", "license")).alias("best"))
-    own = own.select("path", "place", "matched", F.col("best")["license"].alias("own"), (-F.col("best")["worse"]).alias("score"))
+    own = own.select(
+        F.col("path").alias("_own_path"),
+        F.col("place").alias("_own_place"),
+        F.col("matched").alias("_matched"),
+        F.col("best")["license"].alias("_own"),
+        (-F.col("best")["worse"]).alias("_score"),
+    )
     sized = keyed.withColumns({"_chars": F.length(text), "_directory": directory_of(F.col("_path"))}).drop(text)
     kept = [c for c in docs.columns if c != text]
-    same = sized["_path"].eqNullSafe(own["path"]) & (sized["_place"] == own["place"])
-    known = staged(sized.join(own, same, "left").drop("path", "place").withColumn("_file", F.coalesce(F.col("matched") >= FILE_SHARE * F.col("_chars"), F.lit(False))), "own")
-    files = known.where("_file").select(F.col("_directory").alias("directory"), F.col("_path").alias("path"), F.col("own").alias("license"), "score")
-    from_above = inherited(known.select(F.col("_directory").alias("directory")).distinct(), files).withColumnRenamed("directory", "_directory")
-    by = F.when(F.col("_file"), "file").when(F.col("own").isNotNull(), "header").when(F.col("inherited").isNotNull(), "directory")
-    return known.join(from_above, "_directory", "left").select(
-        *kept,
-        F.coalesce("own", "inherited").alias("license"),
-        F.col("score").alias("license_score"),
+    same = sized["_path"].eqNullSafe(own["_own_path"]) & (sized["_place"] == own["_own_place"])
+    is_file = F.coalesce(F.col("_matched") >= FILE_SHARE * F.col("_chars"), F.lit(False))
+    known = staged(sized.join(own, same, "left").withColumn("_file", is_file), "own")
+    files = known.where("_file").select(
+        F.col("_directory").alias("directory"), F.col("_path").alias("path"), F.col("_own").alias("license"), F.col("_score").alias("score")
+    )
+    above = inherited(known.select(F.col("_directory").alias("directory")).distinct(), files)
+    above = above.select(*[F.col(c).alias(f"_{c}") for c in above.columns])
+    by = F.when(F.col("_file"), "file").when(F.col("_own").isNotNull(), "header").when(F.col("_inherited").isNotNull(), "directory")
+    return known.join(above, "_directory", "left").select(
+        *[F.col(c) for c in kept],
+        F.coalesce("_own", "_inherited").alias("license"),
+        F.col("_score").alias("license_score"),
         by.alias("license_by"),
-        F.when(F.col("own").isNotNull(), F.col("_path")).otherwise(F.col("inherited_from")).alias("license_from"),
+        F.when(F.col("_own").isNotNull(), F.col("_path")).otherwise(F.col("_inherited_from")).alias("license_from"),
     )
