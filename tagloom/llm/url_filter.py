@@ -106,6 +106,7 @@ def merged(templates: DataFrame) -> DataFrame:
         alike = (F.col("n1") >= MIN_LABELS) & (F.col("n2") >= MIN_LABELS) & (apart * apart <= Z_BOUND * Z_BOUND * spread)
         joins = both.where(alike).select("host", "branch", "wide")
         now = now.join(joins, ["host", "branch"], "left").withColumn("branch", F.coalesce("wide", "branch")).drop("wide")
+        now = staged(now, "level")  # each level reads the one below twice
     return now
 
 
@@ -135,7 +136,7 @@ def judge(urls: DataFrame, rules: dict[str, str], *, key: str = "page_id", url:
     forms = rows.groupBy("host", "form").agg(F.count("*").alias("n"), F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0).cast("long")).alias("bad"))
     known = staged(generalised(staged(forms, "forms")), "templates")
     counted = staged(known.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")), "counted")
-    templates = staged(merged(counted), "branches")
+    templates = merged(counted)
     verdicts = templates.select("host", "template", "branch").join(rejected(templates), ["host", "branch"])
     by_form = known.select("host", "form", "template").join(verdicts, ["host", "template"]).select("host", "form", F.concat_ws("/", F.lit(""), "branch").alias("template"), "share", "rejects")
     verdict = F.coalesce("decided", F.when(F.col("rejects"), F.lit("block")).otherwise(F.lit("allow")))
