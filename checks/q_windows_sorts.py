@@ -132,9 +132,10 @@ def all_features(spark, sf):
 
 # ---- sorts and top-k
 
-@query("srt_01_sorted_word_counts", "SELECT url AS word, count(*) AS count FROM pages GROUP BY url")
+@query("srt_01_sorted_word_counts", "SELECT word, count(*) AS count FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word")
 def sorted_words(spark, sf):
-    return rk.by_count(counts.word_count(t.table(spark, sf, "pages"), "url"), "word")
+    words = t.table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word"))
+    return rk.by_count(counts.word_count(words, "word"), "word")
 
 
 @query("srt_02_by_date_and_count", upto("daily_h", "SELECT date, tag, count FROM daily_h"))

@@ -21,8 +21,8 @@ from tagloom.operators.scaling import Scaling, fit_scaling
 from tagloom.sources.tables import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
 
 MAX_CATEGORIES = 100_000
-# Every tree level is a job over all partitions: few rows should not be many tasks.
-ROWS_PER_PARTITION = 20_000
+# Candidate splits of a tree's column: enough for each distinct value of a small panel.
+MAX_BINS = 255
 
 
 @dataclass(frozen=True)
@@ -126,9 +126,9 @@ def build_regressor(config: ModelConfig, train: DataFrame):
             **columns, regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal"
         )
     if config.kind == "random_forest":
-        return RandomForestRegressor(**columns, featureSubsetStrategy="all", **config.options)
+        return RandomForestRegressor(**columns, featureSubsetStrategy="all", maxBins=MAX_BINS, **config.options)
     if config.kind == "gradient_boosting":
-        return GBTRegressor(**columns, **config.options)
+        return GBTRegressor(**columns, maxBins=MAX_BINS, **config.options)
     raise ValueError(f"unknown model kind: {config.kind}")
 
 
@@ -154,20 +154,24 @@ def fit_models(
     modeling: DataFrame,
     configs: Sequence[ModelConfig] = MODEL_CONFIGS,
     workers: int = 4,
+    partitions: int = 4,
 ) -> FittedModels:
     """Fit the configurations side by side on one cached train frame.
 
+    The train rows are dealt by tag to a stated number of partitions and ordered in
+    them: a forest's bootstrap is seeded per partition, so its result follows from
+    ``partitions`` and not from how the input happens to be cut.
     Spark runs the fits' jobs concurrently; a lost executor only costs the
     recomputation of its cached blocks.
     """
     train_rows = modeling.where("split = 'train'")
     preparation = prepare(train_rows)
     prepared = preparation.apply(modeling)
-    parts = max(1, -(-train_rows.count() // ROWS_PER_PARTITION))
     train = (
         prepared.where("split = 'train'")
+        .repartition(partitions, "tag_type", "tag")
+        .sortWithinPartitions("tag_type", "tag", "date")
         .select("features", F.col(TARGET).cast("double").alias(TARGET))
-        .coalesce(parts)
         .persist()
     )
     try:

@@ -172,7 +172,7 @@ def sentiment_tables(table: DataFrame) -> dict[str, DataFrame]:
     names = reshape.columns_like(table, "sentiment", "positive", "negative").columns
     tables = {"shape": counts.shape(table)}
     if names:
-        tables["describe"] = describe_columns(table, names).orderBy("measure").limit(12)
+        tables["describe"] = describe_columns(table, names).orderBy("measure")
     if "sentiment_tweet_count" in names:
         tables["coverage"] = counts.positive_share(table, "sentiment_tweet_count")
     return tables

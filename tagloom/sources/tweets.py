@@ -41,8 +41,8 @@ def read_tweets_csv(
 ) -> DataFrame:
     """CSV with a header row; other columns than those of the schema are ignored.
 
-    Columns are found by their header name.  Malformed rows keep their text in
-    ``_corrupt``.  ``schema=None`` reads every column and infers the types in an
+    Columns are found by their header name; files whose headers differ raise.
+    Malformed rows keep their text in ``_corrupt``.  ``schema=None`` reads every column and infers the types in an
     extra pass.  ``multi_line=False`` cuts records at every line break, and lets
     Spark split big files into many tasks.
     """
@@ -54,7 +54,7 @@ def read_tweets_csv(
     typed = {field.name: field.dataType for field in schema.fields}
     fields = [T.StructField(name, typed.get(name, T.StringType())) for name in header]
     return (
-        spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT_COLUMN)
+        spark.read.options(**options, mode="PERMISSIVE", enforceSchema=False, columnNameOfCorruptRecord=CORRUPT_COLUMN)
         .schema(T.StructType([*fields, T.StructField(CORRUPT_COLUMN, T.StringType())]))
         .csv(path)
         .select(*schema.fieldNames(), CORRUPT_COLUMN)

@@ -155,3 +155,11 @@ def test_tag_count_job_writes_all_tables(spark, tmp_path):
     assert rows(cash) == [(day(2020, 4, 9), "$B", 1)]
     weekly = spark.read.parquet(str(tmp_path / "out" / "weekly_hashtag_counts.parquet"))
     assert rows(weekly, "tag", "count") == [("#a", 2), ("#c", 1), ("#d", 1)]
+
+
+def test_csv_files_with_different_headers_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("created_at,text\n2020-01-01,#a\n")
+    (tmp_path / "b.csv").write_text("text,created_at\n#b,2020-01-02\n")
+    for multi_line in (True, False):
+        with pytest.raises(Exception, match="(?i)header"):
+            read_tweets_csv(spark, str(tmp_path), multi_line=multi_line).collect()
