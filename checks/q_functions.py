@@ -43,19 +43,19 @@ def hash_label(spark, sf):
 _WORDS = """CASE WHEN regexp_full_match(text, ' +') THEN [] ELSE string_split(regexp_replace(text, ' +$', ''), ' ') END"""
 
 
-@query("str_04_space_tokens", f"SELECT doc_id, len({_WORDS}) AS words, list_extract({_WORDS}, 1) AS first_word FROM documents")
+@query("str_04_space_tokens", f"SELECT doc_id, len({_WORDS}) AS words, array_to_string({_WORDS}, '|') AS joined FROM documents")
 def space_tokens(spark, sf):
     words = tx.space_tokens(F.col("text"))
-    return t.table(spark, sf, "documents").select("doc_id", F.size(words).cast("long").alias("words"), F.get(words, F.lit(0)).alias("first_word"))
+    return t.table(spark, sf, "documents").select("doc_id", F.size(words).cast("long").alias("words"), F.array_join(words, "|").alias("joined"))
 
 
 _TOKENS = r"[w FOR w IN regexp_split_to_array(text, '[ \t\n\r\f]+') IF w <> '']"
 
 
-@query("str_05_whitespace_tokens", f"SELECT doc_id, len({_TOKENS}) AS words, list_extract({_TOKENS}, 1) AS first_word FROM documents")
+@query("str_05_whitespace_tokens", f"SELECT doc_id, len({_TOKENS}) AS words, array_to_string({_TOKENS}, '|') AS joined FROM documents")
 def whitespace_tokens(spark, sf):
     words = tx.whitespace_tokens(F.col("text"))
-    return t.table(spark, sf, "documents").select("doc_id", F.size(words).cast("long").alias("words"), F.get(words, F.lit(0)).alias("first_word"))
+    return t.table(spark, sf, "documents").select("doc_id", F.size(words).cast("long").alias("words"), F.array_join(words, "|").alias("joined"))
 
 
 @query("str_06_date_format", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%m-%d') AS month_day FROM orders")

@@ -8,7 +8,7 @@ from checks import tables as t
 from checks.registry import query
 from checks.sql import JSON_STEPS, rounded, upto
 from tagloom.functions import arithmetic as ar
-from tagloom.functions.text import tag_label
+from tagloom.functions.text import tag_label, whitespace_tokens
 from tagloom.operators import clean, counts, forecasts as fc, reshape
 from tagloom.operators.panel import concat_all
 from tagloom.plans.forecasting import run_summary
@@ -102,10 +102,11 @@ def write_lists(spark, sf):
     return concat_all(frames).groupBy("list", F.col("value").alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk_02_save_sorted_pairs", "SELECT concat('(', url, ',', CAST(count(*) AS VARCHAR), ')') AS value FROM pages GROUP BY url")
+@query("snk_02_save_sorted_pairs", r"SELECT concat('(', word, ',', CAST(count(*) AS VARCHAR), ')') AS value FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r\f]+')) AS word FROM documents) WHERE word <> '' GROUP BY word")
 def save_pairs(spark, sf):
     path = stage_path(spark, "pairs")
-    writers.write_pairs(counts.word_count(t.table(spark, sf, "pages"), "url"), path)
+    words = t.table(spark, sf, "documents").select(F.explode(whitespace_tokens(F.col("text"))).alias("word"))
+    writers.write_pairs(counts.word_count(words, "word"), path)
     return tw.read_tokens(spark, path)
 
 
@@ -293,9 +294,11 @@ def drop_blank_lines(spark, sf):
     return tw.drop_blank_lines(lines)
 
 
-@query("flt_03_drop_empty_tokens", JSON_STEPS + "SELECT event_id, kind, token FROM raw_tokens")
+@query("flt_03_drop_empty_tokens", "SELECT event_id, event_type AS token FROM events WHERE event_type <> 'error'")
 def drop_empty(spark, sf):
-    return clean.drop_empty(t.tokens(spark, sf), "token")
+    token = F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))
+    rows = t.table(spark, sf, "events").select("event_id", F.explode(F.array(token, F.lit(None))).alias("token"))
+    return clean.drop_empty(rows, "token")
 
 
 @query("flt_04_modeling_ready_rows", upto("modeling", "SELECT tag_type, tag, date FROM modeling"))

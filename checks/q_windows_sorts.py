@@ -132,15 +132,15 @@ def all_features(spark, sf):
 
 # ---- sorts and top-k
 
-@query("srt_01_sorted_word_counts", "SELECT word, count(*) AS count FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word")
+@query("srt_01_sorted_word_counts", "SELECT *, row_number() OVER (ORDER BY count DESC, word) - 1 AS position FROM (SELECT word, count(*) AS count FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word)")
 def sorted_words(spark, sf):
     words = t.table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word"))
-    return rk.by_count(counts.word_count(words, "word"), "word")
+    return t.positioned(rk.by_count(counts.word_count(words, "word"), "word"))
 
 
-@query("srt_02_by_date_and_count", upto("daily_h", "SELECT date, tag, count FROM daily_h"))
+@query("srt_02_by_date_and_count", upto("daily_h", "SELECT date, tag, count, row_number() OVER (ORDER BY date NULLS FIRST, count DESC, tag) - 1 AS position FROM daily_h"))
 def by_date(spark, sf):
-    return rk.by_date_and_count(t.daily(spark, sf))
+    return t.positioned(rk.by_date_and_count(t.daily(spark, sf)))
 
 
 @query("srt_03_top_10_tags", upto("hashtags", "SELECT tag, count(*) AS count FROM hashtags GROUP BY tag ORDER BY count DESC, tag LIMIT 10"))
@@ -162,10 +162,10 @@ def top_weekly(spark, sf):
     return rk.top_k(counts.totals_by(counts.weekly_counts(t.cleaned(spark, sf)), "tag"), 10, [F.desc("count"), "tag"])
 
 
-@query("srt_05_highest_errors_ascending", upto("by_tag", f"SELECT tag_type, tag, model, \"rows\", {METRICS} FROM by_tag WHERE split = 'test' AND model = 'baseline_last_value' ORDER BY by_tag.\"sMAPE\" DESC, tag_type, tag LIMIT 15"))
+@query("srt_05_highest_errors_ascending", upto("by_tag", f"SELECT *, row_number() OVER (ORDER BY \"sMAPE\", tag_type DESC, tag DESC) - 1 AS position FROM (SELECT tag_type, tag, model, \"rows\", {METRICS} FROM by_tag WHERE split = 'test' AND model = 'baseline_last_value' ORDER BY round(by_tag.\"sMAPE\", 6) DESC, tag_type, tag LIMIT 15)"))
 def highest_errors(spark, sf):
     rows = fc.metrics_by_tag(t.predictions(spark, sf), "baseline_last_value")
-    return t.rounded(rk.top_k_reversed(rows, 15, "sMAPE", ["tag_type", "tag"]), *t.METRICS)
+    return t.positioned(rk.top_k_reversed(t.rounded(rows, *t.METRICS), 15, "sMAPE", ["tag_type", "tag"]))
 
 
 @query("srt_06_worst_misses", upto("evaluated", f"""SELECT side, {KEYS}, actual, {rounded('prediction', 'residual', 'row_smape')} FROM (
@@ -191,10 +191,10 @@ def improvements(spark, sf):
     return t.rounded(rk.extremes(gaps, 10, "gap", ["tag_type", "tag"], ("regression", "improvement")), "gap")
 
 
-@query("srt_08_sorted_metric_tables", upto("by_tag", f"SELECT tag_type, tag, model, \"rows\", {METRICS} FROM by_tag WHERE split = 'test' AND model = 'baseline_lag_7'"))
+@query("srt_08_sorted_metric_tables", upto("by_tag", f"SELECT *, row_number() OVER (ORDER BY \"MAE\" DESC, \"sMAPE\" DESC, tag_type, tag) - 1 AS position FROM (SELECT tag_type, tag, model, \"rows\", {METRICS} FROM by_tag WHERE split = 'test' AND model = 'baseline_lag_7')"))
 def sorted_metrics(spark, sf):
     rows = fc.metrics_by_tag(t.predictions(spark, sf), "baseline_lag_7")
-    return t.rounded(fc.sorted_by_tag(rows), *t.METRICS)
+    return t.positioned(fc.sorted_by_tag(t.rounded(rows, *t.METRICS)))
 
 
 @query("srt_09_first_rows", upto("features", f"SELECT {KEYS}, count FROM features ORDER BY {KEYS} LIMIT 5"))
@@ -202,9 +202,9 @@ def first_rows(spark, sf):
     return rk.top_k(t.features(spark, sf), 5, ["tag_type", "tag", "date"]).select("tag_type", "tag", "date", "count")
 
 
-@query("srt_10_canonical_order", upto("panel", "SELECT date, tag, tag_type, count FROM panel"))
+@query("srt_10_canonical_order", upto("panel", f"SELECT date, tag, tag_type, count, row_number() OVER (ORDER BY {KEYS}) - 1 AS position FROM panel"))
 def canonical(spark, sf):
-    return panel.canonical_order(t.panel(spark, sf))
+    return t.positioned(panel.canonical_order(t.panel(spark, sf)))
 
 
 # ---- set operations
@@ -247,6 +247,6 @@ def distinct_tags(spark, sf):
     return panel.distinct_tags(t.lazy_counts(spark, sf))
 
 
-@query("set_06_distinct_sorted_values", upto("long", "SELECT DISTINCT model FROM long"))
+@query("set_06_distinct_sorted_values", upto("long", "SELECT model, row_number() OVER (ORDER BY model) - 1 AS position FROM (SELECT DISTINCT model FROM long)"))
 def distinct_models(spark, sf):
-    return t.predictions(spark, sf).select("model").distinct().orderBy("model")
+    return t.positioned(t.predictions(spark, sf).select("model").distinct().orderBy("model"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks.derive import CREATED_AT, TWEET_JSON, TWEET_TEXT
@@ -30,6 +31,20 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
+def positioned(df: DataFrame) -> DataFrame:
+    """The rows of a sorted frame with their ``position`` in it, from 0.
+
+    Rows are numbered inside each partition; the window runs over one row per partition.
+    """
+    placed = staged(df.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    upto_part = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part"))
+    before = sizes.select("_part", (upto_part - F.col("_n")).alias("_before"))
+    position = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(before, "_part").withColumn("position", position).select(*df.columns, "position")
+
+
 def tweets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").selectExpr(
         "event_id", f"{CREATED_AT} AS created_at", f"{TWEET_TEXT} AS text"
