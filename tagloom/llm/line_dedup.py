@@ -295,7 +295,12 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", into: str
 
     own = F.col(key).cast("string")  # ids as text: a column of numbers with nulls would become one of floats
     joined = docs.join(drops, docs[key].eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(into, rebuilt(own, F.xxhash64(text), F.col(text), F.col("_drops"))).drop("_id", "_drops")
+    # only texts that lose lines go through Python, so its batches stay small
+    touched = F.col("_drops").isNotNull()
+    worded = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda line: line.rlike(r"[^ \t\n\x0B\f\r]"))
+    whole = F.struct(F.col(text).alias("text"), F.size(worded).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    cut = rebuilt(own, F.xxhash64(text), F.when(touched, F.col(text)), F.col("_drops"))
+    return joined.withColumn(into, F.when(touched, cut).otherwise(whole)).drop("_id", "_drops")
 
 
 def keep_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
