@@ -298,6 +298,8 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", into: str
     # only texts that lose lines go through Python, so its batches stay small
     touched = F.col("_drops").isNotNull()
     worded = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda line: line.rlike(r"[^ \t\n\x0B\f\r]"))
+    # a deterministic function would run a second time, in a second worker, for a filter on its result
+    rebuilt = rebuilt.asNondeterministic()
     whole = F.struct(F.col(text).alias("text"), F.size(worded).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     cut = rebuilt(own, F.xxhash64(text), F.when(touched, F.col(text)), F.col("_drops"))
     return joined.withColumn(into, F.when(touched, cut).otherwise(whole)).drop("_id", "_drops")

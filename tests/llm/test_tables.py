@@ -89,6 +89,11 @@ def test_line_dedup(odd, none):
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_texts_are_cut_once(odd):
+    plan = line_dedup.keep_lines(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rebuilt(") == 1
+
+
 def test_a_full_filter_changes_nothing(docs):
     def counts(bits):
         return sorted((r.doc_id, r.lines.n_dropped) for r in line_dedup.dedup(docs, bits=bits).collect())
