@@ -43,7 +43,9 @@ FILTER_BITS, POSITIONS = 1 << 23, 2
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
+_LENGTH = 0xC2B2AE3D27D4EB4F
+#: Powers of the base for lines of usual length.
+_USUAL = np.cumprod(np.r_[np.uint64(1), np.full(255, _BASE, np.uint64)])
 
 _LINES = "line int, hash binary, ident long"
 _VARIANTS = "line int, hash binary, key long, gap int, words binary"
@@ -78,15 +80,27 @@ def halves(words: list[bytes], whole: bytes) -> list[int]:
     return out
 
 
+def _powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of the base."""
+    return _USUAL[:n] if n <= len(_USUAL) else np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BASE, np.uint64)])
+
+
+def _of_length(n: int) -> np.uint64:
+    return np.uint64(n * _LENGTH % (1 << 64))
+
+
 def variants(words: list[bytes]) -> np.ndarray:
     """Hash of the whole line, then of the line without each word."""
     n = len(words)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BASE, np.uint64)])
-    sums = np.cumsum(hashes * powers)
-    whole = sums[-1:]
-    without = np.r_[np.uint64(0), sums[:-1]] + (whole - sums) * np.uint64(_INVERSE)
-    x = np.r_[whole, without] + np.r_[np.uint64(n), np.full(n, n - 1, np.uint64)] * _LENGTH
+    sums = np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n) * _powers(n))
+    x = np.empty(n + 1, np.uint64)
+    x[0] = sums[-1]
+    without = x[1:]
+    np.subtract(sums[-1:], sums, out=without)
+    without *= np.uint64(_INVERSE)
+    without[1:] += sums[:-1]
+    x[:1] += _of_length(n)
+    without += _of_length(n - 1)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return (x ^ (x >> np.uint64(29))).view(np.int64)
 
@@ -215,10 +229,12 @@ def _variants(docs: DataFrame, key_type: str, told: np.ndarray, shared: np.ndarr
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                rows = []
-                for x, number, words, whole in _met(part, told):
-                    keys = variants(words)
-                    held = np.flatnonzero(passes(keys, shared)).tolist()
+                met, rows, end = _met(part, told), [], 0
+                found = [variants(m[2]) for m in met]
+                passed = passes(np.concatenate(found), shared) if found else []
+                for (x, number, _, whole), keys in zip(met, found):
+                    start, end = end, end + len(keys)
+                    held = np.flatnonzero(passed[start:end]).tolist()
                     if held:
                         digest = xxhash.xxh3_128_digest(whole)
                         rows += [(x, number, digest, int(keys[i]), i - 1, None if i else whole) for i in dict.fromkeys([0, *held])]
