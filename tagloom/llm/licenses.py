@@ -6,7 +6,16 @@ counted over all documents, any other word is as rare as a word can be.  A line
 can only reach the threshold if words foreign to all templates are few, so that
 exact bound prunes lines before any vector is built.
 
-A document with a matching line carries that licence itself.  A document most of
+A notice wrapped over lines is found by windows: from every line on, as many words
+as a template or standard header has, in one vector.  Whole texts of licences are
+compared to whole documents.  A document or a window is only looked at for a template
+if the template's words in it carry as much of its norm as the threshold needs, which
+is an exact bound too.  A window that holds a line with a match of its own counts if it
+scores higher or if such lines are less than half of it.  Lines with an SPDX tag or
+that are a licence's title also match.
+
+A document with a match carries that licence itself; whole texts speak before
+windows, tags and titles, and these before single lines.  A document most of
 whose words lie in matching lines is a licence file and speaks for its directory.
 Every other document inherits from the nearest ancestor directory that has a
 licence file: directories are resolved once, by joining each with its ancestors,
@@ -24,6 +33,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +67,40 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 
+_AS_IS = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_GNU_REST = " This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. You should have received a copy of the GNU {1} along with this {0}. If not, see <https://www.gnu.org/licenses/>."
+_APACHE = TEMPLATES[1][1] + " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+
+# Standard headers and short licences, which are wrapped over lines.
+HEADERS = (
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE + " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", TEMPLATES[4][1] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS),
+    *[(name, _GNU.format(*of)) for name, *of in (
+        ("GPL-2.0", "program", "General Public License", "2"), ("LGPL-2.1", "library", "Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "library", "Lesser General Public License", "3"), ("AGPL-3.0", "program", "Affero General Public License", "3"))],
+    *[(name, (_GNU + _GNU_REST).format(*of)) for name, *of in (
+        ("GPL-2.0", "program", "General Public License", "2"), ("GPL-3.0", "program", "General Public License", "3"),
+        ("LGPL-2.1", "library", "Lesser General Public License", "2.1"), ("LGPL-3.0", "library", "Lesser General Public License", "3"),
+        ("AGPL-3.0", "program", "Affero General Public License", "3"))],
+    ("MPL-2.0", TEMPLATES[10][1] + " If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSD-2-Clause", _BSD + _BSD_AS_IS),
+    ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_AS_IS),
+    ("ISC", TEMPLATES[13][1][:-1] + ", provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Unlicense", TEMPLATES[18][1] + " Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+
+# Lines that are nothing but a licence's title.
+TITLES = {"mit license": "MIT", "the mit license": "MIT", "the mit license mit": "MIT", "isc license": "ISC", "bsd 2 clause license": "BSD-2-Clause", "bsd 3 clause license": "BSD-3-Clause"}
+_SPDX = r"SPDX-License-Identifier:\s*([A-Za-z0-9.+()-]+(?: (?:AND|OR|WITH) [A-Za-z0-9.+()-]+)*)"
+
+#: What speaks for a document first: whole texts; windows, tags and titles; single lines.
+WHOLE, WINDOW, LINE = 0, 1, 2
+
 # Any ASCII character but letters and digits separates words.
 _BREAK = r"[\x00-/:-@\[-`{-\x7f]+"
 
@@ -70,12 +114,37 @@ def template_words(text: str) -> list[str]:
     return [w for w in re.split(_BREAK, text.lower()) if w]
 
 
+def license_texts() -> list[tuple[str, str]]:
+    """The whole texts; the Affero licence is the GPL's text under its own name."""
+    texts = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    gpl = " ".join(texts["GPL-3.0"].split())
+    return [*texts.items(), ("AGPL-3.0", re.sub(r"(?i)GNU General Public", "GNU Affero General Public", gpl))]
+
+
 def _tf(n: int) -> float:
     return 1 + math.log(n)
 
 
-def scanned(docs: DataFrame, vocabulary: list[str], threshold: float) -> DataFrame:
-    """Per document the templates' words it holds, ``found``, and the lines that can reach the threshold, ``near``.
+def _listed(words: list[str]) -> Column:
+    """A literal array of words, which hold no spaces."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    """``docs`` with their lines, as number, characters and words."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda v, i: F.struct(i.alias("line"), F.length(v).alias("chars"), words_of(v).alias("words"), v.alias("value")))
+    return docs.select("path", "place", lines.alias("lines"))
+
+
+def document_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """Documents that hold each of the words; the empty word counts all."""
+    found = F.array_intersect(words_of(F.coalesce("text", F.lit(""))), _listed(vocabulary))
+    words = docs.select(F.explode(F.array_append(found, F.lit(""))).alias("word"))
+    return {r["word"]: r["count"] for r in words.groupBy("word").count().collect()}  # as many rows as the vocabulary has words
+
+
+def scanned(docs: DataFrame, vocabulary: list[str], templates: list[tuple], telling: list[str], threshold: float) -> DataFrame:
+    """Per document the lines that can reach the threshold, ``near``, its tags and titles, and the templates that windows can reach, ``may``, with the worded lines.
 
     With k foreign words (each of the largest weight o) and m other word places,
     the squared share of a line's norm that any template sees is at most
@@ -83,35 +152,116 @@ def scanned(docs: DataFrame, vocabulary: list[str], threshold: float) -> DataFra
     """
     bound = (1 / threshold**2 - 1) * 4 / math.e
     known = F.array(*map(F.lit, ["", *vocabulary]))
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda v, i: F.struct(i.alias("line"), F.length(v).alias("chars"), words_of(v).alias("words")))
 
     def can_match(line: Column) -> Column:
         foreign = F.size(F.array_except(line["words"], known))
         return foreign <= bound * (F.size(line["words"]) - foreign)
 
-    worded = docs.select("path", "place", lines.alias("lines"))
-    found = F.array_intersect(F.flatten("lines.words"), F.array(*map(F.lit, vocabulary)))
-    return worded.select("path", "place", found.alias("found"), F.filter("lines", can_match).alias("near"))
+    def named(line: Column) -> Column:
+        spdx = F.when(F.contains(line["value"], F.lit("SPDX-License-Identifier:")), F.nullif(F.regexp_extract(line["value"], _SPDX, 1), F.lit("")))
+        titles = F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair])
+        return F.coalesce(spdx, F.when(F.size(line["words"]) < 8, titles[F.array_join(F.filter(line["words"], lambda w: w != ""), " ")]))
+
+    worded = _cut(docs).withColumn("found", F.array_distinct(F.flatten("lines.words")))
+    may = F.array_compact(F.array(*[F.when(F.size(F.array_intersect("found", _listed(words))) >= need, F.lit(at)) for at, _, _, _, need, _, words in templates]))
+    may = F.when(F.arrays_overlap("found", _listed(telling)), may).otherwise(F.array().cast("array<int>"))
+    bare = lambda x: F.struct(x["line"], x["chars"], x["words"])
+    tags = F.filter(F.transform("lines", lambda x: F.struct(x["line"], x["chars"], named(x).alias("license"))), lambda x: x["license"].isNotNull())
+    full = F.transform("lines", lambda x: F.struct(x["line"], x["chars"], F.filter(x["words"], lambda w: w != "").alias("words")))
+    rows = worded.select("path", "place", "lines", F.transform(F.filter("lines", can_match), bare).alias("near"), tags.alias("tags"), may.alias("may"))
+    return rows.select("path", "place", "near", "tags", "may", F.when(F.size("may") > 0, F.filter(full, lambda x: F.size(x["words"]) > 0)).alias("lines"))
+
+
+def _least_words(weights: dict[str, float], threshold: float) -> int:
+    """How many of a template's words a text must hold at least to reach the threshold."""
+    total, need = 0.0, 0
+    for part in sorted((x * x for x in weights.values()), reverse=True):
+        if total >= threshold**2 - 1e-9:
+            break
+        total, need = total + part, need + 1
+    return need
+
+
+def _telling(weights: dict[str, float], in_docs: dict[str, int], threshold: float) -> list[str]:
+    """The rarest words of a template without all of which a text cannot reach the threshold."""
+    total, words = 0.0, []
+    for word in sorted(weights, key=lambda w: (in_docs.get(w, 0), w)):
+        if total > 1 - threshold**2 + 1e-9:
+            break
+        total += weights[word] ** 2
+        words.append(word)
+    return words
+
+
+def _seen(words: Column) -> Column:
+    """The squared share of a template's norm that lies in its words among ``words``."""
+    return F.aggregate(F.array_intersect(words, "known"), F.lit(0.0), lambda a, w: a + F.col("shares")[w])
+
+
+def matched_windows(rows: DataFrame, templates: list[tuple], parts: DataFrame, weight: DataFrame, rarest: float, threshold: float) -> DataFrame:
+    """Windows of ``rows`` that reach the threshold: path, place, at, start, license, rank, score and the lines they touch."""
+    table = F.broadcast(rows.sparkSession.createDataFrame(templates, "at int, license string, rank int, size int, need int, shares map<string, double>, known array<string>"))
+    pairs = rows.where(F.size("may") > 0).select("path", "place", "lines", F.explode("may").alias("at")).join(table, "at")
+    pairs = pairs.where(_seen(F.flatten("lines.words")) >= threshold**2 - 1e-9)
+    whole = F.col("rank") == WHOLE
+    pairs = pairs.withColumn("start", F.explode(F.when(whole, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.size("lines")))))
+    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
+    reach = lambda a, x: F.when(a["words"] < F.col("size"), F.struct((a["words"] + F.size(x["words"])).alias("words"), (a["lines"] + 1).alias("lines"))).otherwise(a)
+    ahead = F.aggregate(F.slice("lines", F.col("start"), F.col("size")), none, reach)["lines"]
+    cut = pairs.withColumn("n", F.when(whole, F.size("lines")).otherwise(ahead))
+    cut = cut.withColumn("part", F.slice("lines", F.col("start"), F.col("n")))
+    cut = cut.withColumn("words", F.flatten("part.words"))
+    cut = cut.withColumn("words", F.when(whole, F.col("words")).otherwise(F.slice("words", F.lit(1), F.col("size"))))
+    cut = cut.where((F.col("n") > 1) | (F.col("at") >= len(TEMPLATES))).where(_seen(F.col("words")) >= threshold**2 - 1e-9)
+    held = F.transform(F.slice("part", F.lit(1), F.col("n")), lambda x: F.struct(x["line"], x["chars"], F.size(x["words"]).alias("words")))
+    key = ["path", "place", "at", "start"]
+    windows = staged(cut.select(*key, "license", "rank", held.alias("held"), "words").dropDuplicates(key), "windows")
+    counts = windows.select(*key, F.explode("words").alias("word")).groupBy(*key, "word").count()
+    valued = counts.join(F.broadcast(weight), "word", "left").join(F.broadcast(parts), ["at", "word"], "left")  # the templates' words: fixed tables
+    valued = valued.withColumn("value", (1 + F.log(F.col("count").cast("double"))) * F.coalesce("idf", F.lit(rarest)))
+    score = F.round(F.sum(F.col("value") * F.coalesce("part", F.lit(0.0))) / F.sqrt(F.sum(F.col("value") * F.col("value"))), 9)
+    scored = valued.groupBy(*key).agg(score.alias("score")).where(F.col("score") >= threshold)
+    scored = scored.select(*[F.col(k).alias(f"_{k}") for k in key], "score")
+    same = F.col("path").eqNullSafe(F.col("_path")) & (F.col("place") == F.col("_place")) & (F.col("at") == F.col("_at")) & (F.col("start") == F.col("_start"))
+    return windows.join(scored, same).select(*key, "license", "rank", "score", "held")
+
+
+def _outside_lines(windows: DataFrame, single: DataFrame) -> DataFrame:
+    """The lines of ``windows`` that tell more than the matches of single lines in them."""
+    key = ["path", "place", "at", "start"]
+    held = windows.select(*key, "license", "rank", "score", F.explode("held").alias("x")).select(*key, "license", "rank", "score", "x.*")
+    own = single.select(F.col("path").alias("_path"), F.col("place").alias("_place"), F.col("line").alias("_line"), F.col("score").alias("_score"))
+    both = held.join(own, F.col("path").eqNullSafe(F.col("_path")) & (F.col("place") == F.col("_place")) & (F.col("line") == F.col("_line")), "left")
+    lines = F.collect_list(F.struct("line", "chars")).alias("lines")
+    alone = F.sum(F.when(F.col("_score").isNotNull(), F.col("words")).otherwise(0)).alias("alone")
+    whole = both.groupBy(*key, "license", "rank", "score").agg(lines, alone, F.sum("words").alias("words"), F.max("_score").alias("best"))
+    more = (F.col("rank") == WHOLE) | F.col("best").isNull() | (F.col("score") > F.col("best")) | (2 * F.col("alone") < F.col("words"))
+    return whole.where(more).select("path", "place", F.explode("lines").alias("x"), "license", "score", "rank").select("path", "place", "x.*", "license", "score", "rank")
 
 
 def matched_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` (path, place, text): path, place, line, chars, license and score of each matching line."""
-    counted = [(name, Counter(template_words(text))) for name, text in TEMPLATES]
-    vocabulary = sorted({w for _, c in counted for w in c})
-    rows = staged(scanned(docs, vocabulary, threshold), "scanned")
-    found = rows.select(F.explode(F.array_append("found", F.lit(""))).alias("word")).groupBy("word").count().collect()
-    in_docs = {r["word"]: r["count"] for r in found}  # as many rows as the vocabulary has words; "" counts documents
+    """``docs`` (path, place, text): path, place, line, chars, license, score and rank of each line that matches alone or in a window."""
+    texts = license_texts()
+    counted = [(name, Counter(template_words(text))) for name, text in (*TEMPLATES, *HEADERS, *texts)]
+    n_lines, n_windows = len(TEMPLATES), len(TEMPLATES) + len(HEADERS)
+    vocabulary = sorted({w for _, c in counted[:n_lines] for w in c})
+    everything = sorted({w for _, c in counted for w in c})
+    in_docs = document_counts(docs, everything)
     n = in_docs.get("", 0)
-    idf = {w: math.log((1 + n) / (1 + in_docs.get(w, 0))) + 1 for w in vocabulary}
+    idf = {w: math.log((1 + n) / (1 + in_docs.get(w, 0))) + 1 for w in everything}
     rarest = math.log(1 + n) + 1
-    terms = []
+    terms, templates, telling = [], [], set()
     for at, (name, count) in enumerate(counted):
         weights = {w: _tf(c) * idf[w] for w, c in count.items()}
         norm = math.sqrt(sum(x * x for x in weights.values()))
-        terms += [(at, name, w, x / norm) for w, x in weights.items()]
+        weights = {w: x / norm for w, x in weights.items()}
+        terms += [(at, name, w, x) for w, x in weights.items()]
+        templates.append((at, name, WINDOW if at < n_windows else WHOLE, sum(count.values()), _least_words(weights, threshold), {w: x * x for w, x in weights.items()}, sorted(weights)))
+        telling.update(_telling(weights, in_docs, threshold))
+    rows = staged(scanned(docs, vocabulary, templates, sorted(telling), threshold), "scanned")
     spark = docs.sparkSession
-    table = spark.createDataFrame(terms, "template int, license string, word string, part double")
-    weight = spark.createDataFrame(list(idf.items()), "word string, idf double")
+    table = spark.createDataFrame([t for t in terms if t[0] < n_lines], "template int, license string, word string, part double")
+    weight = spark.createDataFrame([(w, idf[w]) for w in vocabulary], "word string, idf double")
     at = ["path", "place", "line"]
     lines = rows.select("path", "place", F.explode("near").alias("near")).select("path", "place", "near.*").distinct()
     counts = lines.select(*at, "chars", F.explode("words").alias("word")).where("word <> ''").groupBy(*at, "chars", "word").count()
@@ -122,7 +272,15 @@ def matched_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dots = valued.join(F.broadcast(table), "word").groupBy(*at, "template", "license").agg(F.sum(F.col("value") * F.col("part")).alias("dot"))
     scored = dots.join(norms, at).select(*at, "chars", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
     best = F.min(F.struct((-F.col("score")).alias("worse"), "license")).alias("best")
-    return scored.groupBy(*at, "chars").agg(best).select(*at, "chars", F.col("best")["license"].alias("license"), (-F.col("best")["worse"]).alias("score"))
+    single = scored.groupBy(*at, "chars").agg(best).select(*at, "chars", F.col("best")["license"].alias("license"), (-F.col("best")["worse"]).alias("score"))
+    single = staged(single.withColumn("rank", F.lit(LINE)), "single")
+    tags = rows.select("path", "place", F.explode("tags").alias("x")).select("path", "place", "x.line", "x.chars", "x.license", F.lit(1.0).alias("score"), F.lit(WINDOW).alias("rank")).distinct()
+    parts = spark.createDataFrame([(t[0], *t[2:]) for t in terms], "at int, word string, part double")
+    weights = spark.createDataFrame(list(idf.items()), "word string, idf double")
+    windows = _outside_lines(matched_windows(rows, templates, parts, weights, rarest, threshold), single)
+    every = single.unionByName(tags).unionByName(windows)
+    first = F.min(F.struct("rank", (-F.col("score")).alias("worse"), "license")).alias("best")
+    return every.groupBy(*at, "chars").agg(first).select(*at, "chars", F.col("best")["license"].alias("license"), (-F.col("best")["worse"]).alias("score"), F.col("best")["rank"].alias("rank"))
 
 
 def directory_of(path: Column) -> Column:
@@ -147,7 +305,7 @@ def scan(docs: DataFrame, *, path: Column, text: str = "text", threshold: float
     keyed = docs.withColumns({"_path": path.cast("string"), "_place": F.xxhash64(text)})
     rows = keyed.select(F.col("_path").alias("path"), F.col("_place").alias("place"), F.col(text).alias("text"))
     lines = staged(matched_lines(rows, threshold), "matched")
-    own = lines.groupBy("path", "place").agg(F.sum("chars").alias("matched"), F.min(F.struct((-F.col("score")).alias("worse"), "line", "license")).alias("best"))
+    own = lines.groupBy("path", "place").agg(F.sum("chars").alias("matched"), F.min(F.struct("rank", (-F.col("score")).alias("worse"), "line", "license")).alias("best"))
     own = own.select(
         F.col("path").alias("_own_path"),
         F.col("place").alias("_own_place"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -160,6 +161,28 @@ def test_licences(spark, odd, none):
     assert licenses.scan(none, path=F.lit("x")).count() == 0
 
 
+def test_wrapped_headers_and_whole_licence_texts(spark):
+    headers = dict(licenses.HEADERS)  # the last and longest of each licence
+    rows, expected = [], {}
+    for name in ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0", "Apache-2.0", "MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "MPL-2.0"):
+        for width in (48, 72, 80):
+            wrapped = textwrap.wrap(headers[name], width)
+            path = f"{name}/{width}.c"
+            rows.append((path, "\n".join(["int x;", *[f" * {line}" for line in wrapped], *["code of its own " + "abcdefgh"[i % 8] * 40 for i in range(90)]])))
+            expected[path] = (name, "header")
+        rows.append((f"{name}-short/LICENSE", "Copyright (c) 2024 Some One\n\n" + "\n".join(textwrap.wrap(headers[name], 76))))
+        expected[f"{name}-short/LICENSE"] = (name, "file")
+    for name, text in licenses.license_texts():
+        rows.append((f"{name}-text/LICENSE", "\n".join(textwrap.wrap(text, 76))))
+        expected[f"{name}-text/LICENSE"] = (name, "file")
+    rows += [("t/a.c", "// SPDX-License-Identifier: MIT\n" + "code\n" * 30), ("u/a.c", "MIT License\n" + "code\n" * 30), ("v/a.c", "a plain text about permission, software and the free use of a license\n" * 9)]
+    expected |= {"t/a.c": ("MIT", "header"), "u/a.c": ("MIT", "header"), "v/a.c": (None, None)}
+    table = spark.createDataFrame(rows + rows[:3], "path string, text string")
+    found = licenses.scan(table, path=F.col("path")).collect()
+    assert len(found) == len(rows) + 3
+    assert {r.path: (r.license, r.license_by) for r in found} == expected
+
+
 def test_url_filter(spark):
     rows = [(i, f"http://Site.net/{'spam' if i % 2 else 'news'}/{i}") for i in range(80)]
     rows += [(1000, None), (1001, "no scheme"), (1002, "https://A.B.org/x?y"), (1003, "x://org"), (1004, "x://org/" + "deep/" * 5000), (1004, "x://org/" + "deep/" * 5000)]
