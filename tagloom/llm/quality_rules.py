@@ -9,6 +9,10 @@ substring that starts there and occurs again.  The union of those maximal
 repeats is the covered part of the text; its fraction and the longest repeat are
 limited.
 
+A word is one unit however long it is.  Repeats of characters inside and between
+overlong words, which texts without spaces consist of, are measured by themselves:
+as their share of all characters of the text.  ``covered`` is the larger share.
+
 Nothing is shuffled: a document is judged where it is read.
 
 Defined cases: a null text has no words; a text without words has zero counts
@@ -31,7 +35,7 @@ MIN_REPEAT = 8
 MAX_COVERED = 0.25
 #: A document is rejected if a repeat is longer than this many units.
 MAX_LONGEST = 120
-#: A word of more code points counts as that many one-character units.
+#: Words of more code points are searched for repeated characters too.
 LONG_WORD = 64
 #: Base rules.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
@@ -136,12 +140,13 @@ def _covered(sequences: list[list], min_repeat: int):
     return covered / np.maximum(counts, 1), longest, windows
 
 
-def _units(words: list[bytes]) -> list:
-    """Words, the overlong ones as single characters."""
+def _long_characters(words: list[bytes]) -> list:
+    """The characters of the overlong words, each word ended by a number of its own."""
     out: list = []
-    for w in words:
+    for i, w in enumerate(words):
         text = w.decode()
-        out.extend(text) if len(text) > LONG_WORD else out.append(text)
+        if len(text) > LONG_WORD:
+            out += [*text, i]
     return out
 
 
@@ -162,14 +167,17 @@ def measure_texts(texts: list[str | None], min_repeat: int = MIN_REPEAT) -> pd.D
 def _measure(raws: list[bytes], min_repeat: int) -> pd.DataFrame:
     words = [raw.split() for raw in raws]
     covered, longest, windows = _covered(words, min_repeat)
+    chars = [len(raw.decode()) - sum(raw.count(c) for c in SPACES) for raw in raws]
     long = [i for i, ws in enumerate(words) if ws and len(max(ws, key=len)) > LONG_WORD]
     if long:
-        own, own_longest, _ = _covered([_units(words[i]) for i in long], min_repeat)
-        covered[long], longest[long] = own, own_longest
+        units = [_long_characters(words[i]) for i in long]
+        own, _, _ = _covered(units, min_repeat)
+        for i, share, within in zip(long, own, units):
+            covered[i] = max(covered[i], share * len(within) / chars[i])
     lines = [[line for line in raw.split(b"\n") if line.strip()] for raw in raws]
     columns = {
         "n_words": [len(ws) for ws in words],
-        "word_chars": [len(raw.decode()) - sum(raw.count(c) for c in SPACES) for raw in raws],
+        "word_chars": chars,
         "n_symbols": [len(raw) - len(raw.translate(None, SYMBOLS)) for raw in raws],
         "n_dup_lines": [len(ls) - len(set(ls)) for ls in lines],
         "n_repeat_words": windows,

@@ -54,6 +54,21 @@ def test_rules_on_odd_rows(odd, none):
     assert qr.keep_good(odd).columns == odd.columns and qr.judge(none).count() == 0
 
 
+def test_long_words_are_one_unit_of_clean_texts(spark):
+    rnd = random.Random(5)
+    clean = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(n))
+    url = "https://a.org/" + "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=111))
+    rules = "\n".join(clean(233) + "\n" + c * 80 for c in "=-_")
+    kept = [f"{clean(1500)}\n{'=' * 130}\n{clean(1500)}", f"{clean(1500)} {url} {clean(1500)} {url}", rules, f"{clean(700)}\n{'=' * 64}", f"{clean(700)}\n{'=' * 65}"]
+    sentence = "".join(chr(0x4E00 + rnd.randrange(5000)) for _ in range(90))
+    dropped = [clean(20) + " " + "x" * 400, "\n".join([clean(12), *[sentence + chr(0x4E00 + i) for i in range(6)]])]
+    rows = spark.createDataFrame(list(enumerate(kept + dropped)), "doc_id int, text string")
+    found = {r.doc_id: r.rules.kept for r in qr.judge(rows).collect()}
+    assert [found[i] for i in range(len(found))] == [True] * len(kept) + [False] * len(dropped)
+    only = qr.measure_texts(["x" * 200 + " " + "word " * 1]).iloc[0]
+    assert only.covered == 200 / 204 and only.longest_repeat == 0
+
+
 def reference_encoding():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
