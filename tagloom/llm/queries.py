@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, classifier, fingerprints, jaccard_join, licenses, line_dedup, packing, quality_rules, sql, url_filter, warc
+from tagloom.llm import bpe, chat, classifier, divergence, fingerprints, jaccard_join, licenses, line_dedup, packing, quality_rules, search, sql, url_filter, warc
 from tagloom.llm.workers import reach
 from tagloom.session import stage_path
 
@@ -108,3 +108,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return licenses.scan(docs, path=path).select("doc_id", "license", "license_by", "license_from")
+
+
+@query("op11_source_divergence", sql.SOURCE_DIVERGENCE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_lexical_search", sql.LEXICAL_SEARCH)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_chat_format", sql.CHAT)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that says the template's own marks."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, i, role, sql.CHAT_SAMPLE) for i, role in enumerate(("user", "assistant"))], turns.schema)
+    return chat.read_back(chat.format_turns(turns.unionByName(added))).withColumnRenamed("conversation", "conv_id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tagloom.llm import licenses, line_dedup, quality_rules, url_filter
+from tagloom.llm import chat, divergence, licenses, line_dedup, quality_rules, search, url_filter
 
 # Url rules and their verdicts.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+# Fixed value: what both turns of the added conversation say.
+CHAT_SAMPLE = r"\### Assistant: </turn> ok"
 
 
 def quality_rules_sql(
@@ -195,3 +197,65 @@ FROM known k LEFT JOIN inherited h USING (dir)"""
 
 
 LICENSES = licenses_sql()
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SOURCE_DIVERGENCE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+occurrences AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS total FROM occurrences GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM occurrences JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS size FROM kept GROUP BY lang),
+sizes AS (SELECT lang, source, sum(n) AS size FROM counts GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(s.size, 0) + l.v))::BIGINT AS p,
+         (1 + 1000000000::HUGEINT * (k.total + 1) // (l.size + l.v))::BIGINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN sizes s USING (lang, source) LEFT JOIN counts c USING (lang, source, term)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM dense WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM rows)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.RANKS}"""
+
+LEXICAL_SEARCH = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+corpus AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d),
+counts AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+holding AS (SELECT term, count(*)::BIGINT AS df FROM counts GROUP BY term),
+items AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+queries AS (SELECT i, item_id, term, count(*)::BIGINT AS times FROM (SELECT i, item_id, unnest(w) AS term FROM items) GROUP BY ALL),
+scores AS (
+  SELECT i, item_id, c.r, doc_id, sum(times * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * len(w) * docs) // terms)))))::BIGINT AS score
+  FROM queries JOIN counts c USING (term) JOIN holding USING (term) JOIN d ON d.r = c.r, corpus GROUP BY ALL)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scores WHERE score > 0)
+WHERE rank <= {search.K}"""
+
+# Two passes, since a second # of a pair may be the first of the next.
+_SAFE = r"replace(replace(regexp_replace(regexp_replace(replace({0}, '\', '\\'), '##', '#\\#', 'g'), '##', '#\\#', 'g'), '</turn>', '<\/turn>'), '<|', '<\|')"
+
+CHAT = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CHAT_SAMPLE}'
+  UNION ALL SELECT -7, 1, 'assistant', '{CHAT_SAMPLE}'),
+f AS (SELECT *, length({_SAFE.format("text")}) + length(replace({_SAFE.format("role")}, ':', '\:')) + {len(chat.OPEN + chat.HEAD + chat.CLOSE)} AS chars FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id"""
