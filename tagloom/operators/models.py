@@ -1,4 +1,9 @@
-"""Pooled regressors on the feature table, with Spark ML."""
+"""Pooled regressors on the feature table.
+
+Linear and ridge regression are solved by block elimination (``tagloom.operators.pooled``),
+whatever the number of tags.  Forests and boosted trees are Spark ML's, over one slot per
+category.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +11,26 @@ import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from math import ceil
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.arithmetic import at_least
 from tagloom.operators.forecasts import PREDICTION_COLUMNS, SCORED_SPLITS
 from tagloom.operators.panel import concat_all
+from tagloom.operators.pooled import PooledFit, category_fills, design_of, fit_pooled, with_predictions
 from tagloom.operators.scaling import Scaling, fit_scaling
 from tagloom.sources.tables import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
 
-MAX_CATEGORIES = 100_000
+# Slots of a category that a tree may split on: the list of them lives on the driver.
+TREE_CATEGORIES = 100_000
+# Train rows of a task that grows trees.
+TREE_ROWS = 500_000
 # Candidate splits of a tree's column: enough for each distinct value of a small panel.
 MAX_BINS = 255
 
@@ -66,18 +76,20 @@ def category_encoder(columns: Sequence[str] = CATEGORICAL_FEATURES) -> Pipeline:
     )
 
 
-def require_bounded_categories(train: DataFrame, columns: Sequence[str], bound: int = MAX_CATEGORIES) -> None:
-    """The category list lives on the driver: refuse a column with too many values."""
+def require_bounded_categories(train: DataFrame, columns: Sequence[str], bound: int = TREE_CATEGORIES) -> None:
+    """The list of slots lives on the driver: refuse a column with too many values."""
     found = train.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
     for column in columns:
         if found[column] > bound:
             raise ValueError(f"{column} has more than {bound} categories; select top tags first")
 
 
-def fit_encoder(rows: DataFrame, categorical: Sequence[str] = CATEGORICAL_FEATURES) -> PipelineModel:
-    """Missing categories count as ``unknown``."""
+def fit_encoder(
+    rows: DataFrame, categorical: Sequence[str] = CATEGORICAL_FEATURES, fills: Mapping[str, str] | None = None
+) -> PipelineModel:
+    """Missing categories count as ``fills``, by default the most frequent one."""
     require_bounded_categories(rows, categorical)
-    return category_encoder(categorical).fit(rows.fillna("unknown", list(categorical)))
+    return category_encoder(categorical).fit(rows.fillna(dict(fills or category_fills(rows, categorical))))
 
 
 @dataclass(frozen=True)
@@ -88,9 +100,10 @@ class Preparation:
     encoder: PipelineModel
     numeric: tuple[str, ...]
     categorical: tuple[str, ...]
+    fills: Mapping[str, str]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        filled = df.fillna("unknown", list(self.categorical))
+        filled = df.fillna(dict(self.fills))
         encoded = self.encoder.transform(self.scaling.apply(filled))
         parts = [f"{c}_scaled" for c in self.numeric] + [f"{c}_slots" for c in self.categorical]
         return VectorAssembler(inputCols=parts, outputCol="features").transform(encoded)
@@ -103,28 +116,21 @@ def prepare(
     encode_over: DataFrame | None = None,
 ) -> Preparation:
     """Fit on the train rows; categories may be listed over a wider frame."""
-    encoder = fit_encoder(train if encode_over is None else encode_over, categorical)
-    return Preparation(fit_scaling(train, numeric), encoder, tuple(numeric), tuple(categorical))
+    fills = category_fills(train, categorical)
+    encoder = fit_encoder(train if encode_over is None else encode_over, categorical, fills)
+    return Preparation(fit_scaling(train, numeric), encoder, tuple(numeric), tuple(categorical), fills)
 
 
-def ridge_penalty(train: DataFrame, alpha: float, target: str = TARGET) -> float:
-    """Spark divides the loss by the rows and by the target's spread; undo both."""
-    row = train.agg(F.stddev_pop(target).alias("std"), F.count(target).alias("n")).first()
-    return alpha * row["std"] / row["n"]
+def penalty(config: ModelConfig) -> float | None:
+    """The penalty of a linear model; None for other kinds."""
+    if config.kind == "linear_regression":
+        return 0.0
+    return float(config.options["alpha"]) if config.kind == "ridge" else None
 
 
-def build_regressor(config: ModelConfig, train: DataFrame):
-    """The Spark ML estimator of a configuration."""
+def build_regressor(config: ModelConfig):
+    """The Spark ML estimator of a tree configuration."""
     columns = {"featuresCol": "features", "labelCol": TARGET, "predictionCol": "raw_prediction"}
-    if config.kind == "linear_regression":
-        # One-hot slots sum to one, so the normal equations are singular: Spark then
-        # iterates on the small summed matrix, where tight limits cost nothing.
-        return LinearRegression(**columns, regParam=0.0, solver="normal", tol=1e-12, maxIter=2000)
-    if config.kind == "ridge":
-        penalty = ridge_penalty(train, float(config.options["alpha"]))
-        return LinearRegression(
-            **columns, regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal"
-        )
     if config.kind == "random_forest":
         return RandomForestRegressor(**columns, featureSubsetStrategy="all", maxBins=MAX_BINS, **config.options)
     if config.kind == "gradient_boosting":
@@ -132,15 +138,22 @@ def build_regressor(config: ModelConfig, train: DataFrame):
     raise ValueError(f"unknown model kind: {config.kind}")
 
 
+def _finished(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("prediction", at_least(F.col("raw_prediction"), 0.0)).select(*PREDICTION_COLUMNS)
+
+
 def predictions_of(model, prepared: DataFrame, name: str) -> DataFrame:
-    """Validation and test predictions, clipped at 0."""
+    """Validation and test predictions of a tree model, clipped at 0."""
     rows = prepared.where(F.col("split").isin(*SCORED_SPLITS))
-    return (
-        model.transform(rows)
-        .withColumn("prediction", at_least(F.col("raw_prediction"), 0.0))
-        .withColumn("model", F.lit(name))
-        .select(*PREDICTION_COLUMNS)
-    )
+    return _finished(model.transform(rows).withColumn("model", F.lit(name)))
+
+
+def pooled_predictions(modeling: DataFrame, fits: Mapping[str, PooledFit]) -> DataFrame:
+    """Validation and test predictions of all linear models from one scan and one join, clipped at 0."""
+    numbered = {f"_raw_{i}": fit for i, fit in enumerate(fits.values())}
+    rows = with_predictions(modeling.where(F.col("split").isin(*SCORED_SPLITS)), numbered)
+    both = [F.struct(F.lit(name).alias("model"), F.col(raw).alias("raw_prediction")) for name, raw in zip(fits, numbered)]
+    return _finished(rows.select("*", F.inline(F.array(*both))))
 
 
 @dataclass(frozen=True)
@@ -154,22 +167,49 @@ def fit_models(
     modeling: DataFrame,
     configs: Sequence[ModelConfig] = MODEL_CONFIGS,
     workers: int = 4,
-    partitions: int = 4,
+    partitions: int | None = None,
 ) -> FittedModels:
-    """Fit the configurations side by side on one cached train frame.
+    """Fit the configurations and predict validation and test rows.
 
-    The train rows are dealt by tag to a stated number of partitions and ordered in
-    them: a forest's bootstrap is seeded per partition, so its result follows from
-    ``partitions`` and not from how the input happens to be cut.
-    Spark runs the fits' jobs concurrently; a lost executor only costs the
-    recomputation of its cached blocks.
+    All linear models come from one set of sums; each one's seconds are those of the sums
+    and the solutions together.  Trees are fitted side by side on one cached train frame.
+    """
+    kinds = {c.name: penalty(c) for c in configs}
+    alphas = {name: alpha for name, alpha in kinds.items() if alpha is not None}
+    trees = [(c, build_regressor(c)) for c in configs if kinds[c.name] is None]
+    train = modeling.where("split = 'train'")
+    models: dict[str, object] = {}
+    seconds: dict[str, float] = {}
+    parts = []
+    if alphas:
+        design = design_of(train)
+        start = time.perf_counter()
+        fits = fit_pooled(train, alphas, design)
+        models.update(fits)
+        seconds.update(dict.fromkeys(alphas, time.perf_counter() - start))
+        parts.append(pooled_predictions(modeling, fits))
+    if trees:
+        preparation = prepare(train)
+        grown, took = _grow(preparation.apply(train), trees, workers, partitions)
+        models.update(grown)
+        seconds.update(took)
+        prepared = preparation.apply(modeling)
+        parts += [predictions_of(model, prepared, name) for name, model in grown.items()]
+    return FittedModels({c.name: models[c.name] for c in configs}, concat_all(parts), {c.name: seconds[c.name] for c in configs})
+
+
+def _grow(prepared: DataFrame, trees: Sequence[tuple], workers: int, partitions: int | None) -> tuple[dict, dict]:
+    """Tree models and their seconds.
+
+    The train rows are dealt by tag and ordered in each partition: a forest's bootstrap
+    is seeded per partition, so its result follows from their number, by default one per
+    TREE_ROWS rows and at least four, and not from how the input happens to be cut.
+    Spark runs the fits' jobs concurrently; a lost executor only costs the recomputation
+    of its cached blocks.
     """
-    train_rows = modeling.where("split = 'train'")
-    preparation = prepare(train_rows)
-    prepared = preparation.apply(modeling)
+    number = partitions or max(4, ceil(prepared.count() / TREE_ROWS))
     train = (
-        prepared.where("split = 'train'")
-        .repartition(partitions, "tag_type", "tag")
+        prepared.repartition(number, "tag_type", "tag")
         .sortWithinPartitions("tag_type", "tag", "date")
         .select("features", F.col(TARGET).cast("double").alias(TARGET))
         .persist()
@@ -177,18 +217,16 @@ def fit_models(
     try:
         train.count()
 
-        def fit(config: ModelConfig):
+        def fit(tree: tuple):
             start = time.perf_counter()
-            model = build_regressor(config, train).fit(train)
-            return config.name, model, time.perf_counter() - start
+            model = tree[1].fit(train)
+            return tree[0].name, model, time.perf_counter() - start
 
-        with ThreadPoolExecutor(max_workers=max(1, min(workers, len(configs)))) as pool:
-            fitted = list(pool.map(fit, configs))
+        with ThreadPoolExecutor(max_workers=max(1, min(workers, len(trees)))) as pool:
+            fitted = list(pool.map(fit, trees))
     finally:
         train.unpersist()
-    models = {name: model for name, model, _ in fitted}
-    predictions = concat_all([predictions_of(model, prepared, name) for name, model in models.items()])
-    return FittedModels(models, predictions, {name: seconds for name, _, seconds in fitted})
+    return {name: model for name, model, _ in fitted}, {name: took for name, _, took in fitted}
 
 
 def training_times(
@@ -212,31 +250,6 @@ def category_labels(encoder: PipelineModel, column: str) -> list[str]:
     return list(indexer.labelsArray[indexer.getInputCols().index(column)])
 
 
-def feature_names(preparation: Preparation) -> list[str]:
-    """Names of the vector's entries: numeric columns, then ``column=category`` slots."""
-    slots = [f"{c}={label}" for c in preparation.categorical for label in category_labels(preparation.encoder, c)]
-    return [*preparation.numeric, *slots]
-
-
-def normal_equations(model, prepared: DataFrame, names: Sequence[str], alpha: float = 0.0) -> DataFrame:
-    """``feature, imbalance``: how far a linear fit is from its optimum, per feature.
-
-    At the optimum the residuals weighted by a feature sum to alpha times its
-    weight; the imbalance is the difference relative to the residuals' size.
-    """
-    gap = F.col(TARGET) - F.col("raw_prediction")
-    entries = model.transform(prepared).select(
-        gap.alias("gap"), F.posexplode(vector_to_array("features")).alias("i", "x")
-    )
-    weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
-    labels = F.array(*[F.lit(n) for n in names])
-    summed = entries.groupBy("i").agg(
-        F.sum(F.col("x") * F.col("gap")).alias("pull"), F.sum(F.abs("gap")).alias("size")
-    )
-    imbalance = F.abs(F.col("pull") - F.get(weights, F.col("i")) * alpha) / F.col("size")
-    return summed.select(F.get(labels, F.col("i")).alias("feature"), imbalance.alias("imbalance"))
-
-
 def category_totals(encoder: PipelineModel, df: DataFrame, column: str) -> DataFrame:
     """``category, rows``: how often each one-hot slot of a column is set; unknown ones set none."""
     names = F.array(*[F.lit(label) for label in category_labels(encoder, column)])

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import forecasts as fc, models as ml, scaling
+from tagloom.operators import forecasts as fc, models as ml, pooled, scaling
 from tagloom.plans import forecasting
 from tagloom.plans.feature_table import PanelSettings, feature_table
 from tagloom.session import staged
@@ -65,6 +65,77 @@ def test_preparation_equals_numpy(modeling):
     assert (x[:, len(NUMERIC_FEATURES):].sum(axis=1) == 2).all()
 
 
+@pytest.mark.parametrize("alpha", [0.0, 0.5, 10.0])
+def test_block_elimination_equals_the_whole_system(spark, alpha):
+    """Also where columns repeat each other, tags occur once, categories are missing and new tags are scored."""
+    rnd = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        tag = None if i % 50 == 0 else f"t{rnd.integers(0, 60)}"
+        a, b = (None if rnd.random() < 0.05 else float(x) for x in rnd.normal(size=2))
+        rows.append((tag, ["u", "v", None][rnd.integers(0, 3)], a, b, None if a is None or b is None else a - b, float(rnd.normal() + i % 7)))
+    table = spark.createDataFrame(rows, "tag string, tag_type string, a double, b double, c double, y double")
+    train, new = table, table.withColumn("tag", F.lit("new"))
+    design = pooled.design_of(train, ["a", "b", "c"])
+    fit = pooled.fit_pooled(train, {"m": alpha}, design, "y")["m"]
+
+    from collections import Counter
+
+    fill = [min(v for v, n in c.items() if n == max(c.values())) for c in (Counter(r[k] for r in rows if r[k] is not None) for k in (0, 1))]
+    assert design.fills == {"tag": fill[0], "tag_type": fill[1]}
+    x = np.array([[np.nan if v is None else v for v in r[2:5]] for r in rows])
+    x = np.where(np.isnan(x), np.nanmedian(x, axis=0), x)
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    tags, types = ([r[k] or fill[k] for r in rows] for k in (0, 1))
+    names = sorted(set(tags))
+    whole = np.hstack([x, [[t == n for n in ("u", "v")] for t in types], [[t == n for n in names] for t in tags]]).astype(float)
+    y = np.array([r[5] for r in rows])
+    centred, mean = whole - whole.mean(axis=0), whole.mean(axis=0)
+    w = np.linalg.pinv(centred.T @ centred + alpha * np.eye(whole.shape[1]), rcond=1e-10) @ centred.T @ (y - y.mean())
+    for frame, design_rows in ((train, whole), (new, np.hstack([whole[:, :5], np.zeros((400, len(names)))]))):
+        want = (design_rows - mean) @ w + y.mean()
+        got = pooled.with_predictions(frame.withColumn("at", F.monotonically_increasing_id()), {"p": fit}).orderBy("at").select("p").collect()
+        np.testing.assert_allclose([r.p for r in got], want, atol=1e-6)
+    assert pooled.optimum_gaps(train, fit, "y").where("imbalance > 1e-8").isEmpty()
+
+
+@pytest.mark.parametrize("n_tags", [5_000, 200_000])
+def test_fits_over_many_tags_are_optimal(spark, n_tags):
+    rows = spark.range(3 * n_tags).select(
+        F.concat(F.lit("#"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % n_tags)).alias("tag"),  # one tag has a third of the rows
+        F.when(F.col("id") % 2 == 0, "hashtag").otherwise("cashtag").alias("tag_type"),
+        (F.pmod(F.xxhash64("id"), 1000) / 10).alias("a"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), 1000) / 10).alias("b"),
+        (F.pmod(F.xxhash64("id", F.lit(2)), 100) + F.col("id") % 11).cast("double").alias("y"),
+    )
+    rows = staged(rows, "many-tags")
+    fits = pooled.fit_pooled(rows, {"linear": 0.0, "ridge": 10.0}, pooled.design_of(rows, ["a", "b"]), "y")
+    for fit in fits.values():
+        gaps = pooled.optimum_gaps(rows, fit, "y").agg(F.max("imbalance"), F.count(F.lit(1))).first()
+        assert gaps[0] < 1e-5 and gaps[1] > 0.6 * n_tags
+
+
+def test_columns_of_the_small_system_are_bounded(spark):
+    rows = spark.range(100).selectExpr("'t' AS tag", "cast(id AS string) AS tag_type", "1.0 AS a", "1.0 AS y")
+    with pytest.raises(ValueError, match="name the one with most of them first"):
+        pooled.design_of(rows, ["a"])
+    swapped = pooled.fit_pooled(rows, {"m": 1.0}, pooled.design_of(rows, ["a"], ["tag_type", "tag"]), "y")
+    assert pooled.optimum_gaps(rows, swapped["m"], "y").count() == 100 + 3
+    with pytest.raises(ValueError, match="no train rows"):
+        pooled.fit_pooled(rows.limit(0), {"m": 1.0}, pooled.design_of(rows, ["a"], ["tag_type", "tag"]), "y")
+
+
+def test_missing_categories_take_the_most_frequent(modeling):
+    train = modeling.where("split = 'train'")
+    gappy = train.withColumn("tag", F.when(F.col("date") > "2020-04-20", F.col("tag")))
+    most = pooled.category_fills(gappy, ["tag"])["tag"]
+    encoder = ml.prepare(gappy).encoder
+    assert most in ml.category_labels(encoder, "tag") and "unknown" not in ml.category_labels(encoder, "tag")
+    missing = gappy.where("tag is null").count()
+    filled = dict(rows(ml.category_totals(encoder, gappy.fillna({"tag": most}), "tag")))
+    assert missing and sum(filled.values()) == gappy.count()
+
+
 def test_unknown_categories_encode_as_zeros(modeling):
     preparation = ml.prepare(modeling.where("split = 'train' and tag <> '#t0'"))
     totals = dict(rows(ml.category_totals(preparation.encoder, modeling, "tag")))
@@ -89,7 +160,7 @@ def test_tree_models_learn_and_are_clipped(modeling):
     assert metrics["test", "forest"] < 1.5 * spread and metrics["test", "boosting"] < 1.5 * spread
     assert fitted.predictions.where("prediction < 0").isEmpty()
     with pytest.raises(ValueError, match="unknown model kind"):
-        ml.build_regressor(ml.ModelConfig("x", "x"), modeling)
+        ml.fit_models(modeling, [ml.ModelConfig("x", "x")])
 
 
 def test_target_scaling_round_trip(modeling):
