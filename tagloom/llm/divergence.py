@@ -17,7 +17,7 @@ Sources with each other: the sum over all terms is cut into what each of the two
 give if no term were shared, which follows from the distinct counts of a group, and a
 correction for terms that both have.  The corrections are summed as matrices over a
 block of sources in each task, so no row is made for a term and a pair of sources.
-Beyond ``BLOCK`` sources of a language, each pair of blocks has matrices of its own.
+Beyond ``block`` sources of a language, each pair of blocks has matrices of its own.
 
 All arithmetic is in 64-bit integers and exact up to 9e15 terms of a language.
 
@@ -130,11 +130,11 @@ def skyband(high: np.ndarray, low: np.ndarray, early: np.ndarray, k: int) -> np.
     return order[kept]
 
 
-def skybands(rows: DataFrame, k: int) -> DataFrame:
+def skybands(rows: DataFrame, k: int, gathered: int = GATHERED) -> DataFrame:
     """``rows`` (lang, source, term, n, total) that fewer than k others of their group and partition dominate.
 
     A group's rows are read in order of the group, and no more than its skyband and
-    GATHERED rows are held at once.
+    ``gathered`` rows are held at once.
     """
 
     def pruned(parts: list[pa.RecordBatch]) -> pa.Table:
@@ -146,17 +146,17 @@ def skybands(rows: DataFrame, k: int) -> DataFrame:
         return table.take(pa.array(np.sort(skyband(table["n"].to_numpy(), table["total"].to_numpy(), early, k))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, limit = [], 0, GATHERED
+        held, size, limit = [], 0, gathered
         for new, part in by_runs(batches, 2):
             if new and held:
                 yield from pruned(held).to_batches()
-                held, size, limit = [], 0, GATHERED
+                held, size, limit = [], 0, gathered
             held.append(part)
             size += part.num_rows
             if size > limit:
                 left = pruned(held)
                 held, size = left.to_batches(), left.num_rows
-                limit = 2 * size + GATHERED
+                limit = 2 * size + gathered
         if held:
             yield from pruned(held).to_batches()
 
@@ -182,7 +182,7 @@ def shared_corrections(p: np.ndarray, zero: np.ndarray) -> np.ndarray:
     return out
 
 
-def pair_corrections(rows: DataFrame, salts: int) -> DataFrame:
+def pair_corrections(rows: DataFrame, salts: int, gathered: int = GATHERED) -> DataFrame:
     """``lang, source, item, shared``: corrections of the pairs of sources that share terms."""
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     own = F.pmod(F.xxhash64("source"), F.col("blocks"))
@@ -221,7 +221,7 @@ def pair_corrections(rows: DataFrame, salts: int) -> DataFrame:
             lang = part.column(0)[0].as_py()
             held.append(part)
             size += part.num_rows
-            if size > GATHERED:  # the last term may go on
+            if size > gathered:  # the last term may go on
                 table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 last = pc.not_equal(table.column(4), table.column(4)[-1])
                 cut = pc.sum(last).as_py() or 0
@@ -237,7 +237,7 @@ def pair_corrections(rows: DataFrame, salts: int) -> DataFrame:
     return dealt.mapInArrow(run, "lang string, source string, item string, shared long").groupBy("lang", "source", "item").agg(F.sum("shared").alias("shared"))
 
 
-def audit(docs: DataFrame, *, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS, ranks: int = RANKS) -> DataFrame:
+def audit(docs: DataFrame, *, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS, ranks: int = RANKS, block: int = BLOCK) -> DataFrame:
     """``lang, source, part, item, value, rank``: sources of a language by their difference from a source, terms by theirs."""
     every = staged(term_counts(docs, lang, source, text), "term-counts")
     by_lang = every.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
@@ -248,7 +248,7 @@ def audit(docs: DataFrame, *, lang: str = "lang", source: str = "source", text:
     sizes = rows.groupBy("lang", "source").agg(F.sum("n").alias("group_size"))
     terms = rows.groupBy("lang", "term").agg(F.first("total").alias("total"))
     langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("lang_size"))
-    blocks = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    blocks = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
     filled = groups.join(blocks, "lang").join(langs, "lang", "left").join(sizes, ["lang", "source"], "left").fillna(0, ["terms", "lang_size", "group_size"])
     whole = F.col("group_size") + F.col("terms")
     zero = F.when(F.col("terms") > 0, billionths(F.lit(0).cast("long"), F.greatest(whole, F.lit(1))))
