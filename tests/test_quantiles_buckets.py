@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import buckets, quantiles as qt, scaling
+from tagloom.session import staged
 
 PROBABILITIES = [0, 0.1, 0.25, 0.5, 0.98, 1]
 
@@ -15,8 +16,8 @@ def frame(spark, groups: dict[str, np.ndarray]):
     return spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("ranges", [1, 4, 256])
-def test_exact_quantiles(spark, ranges):
+@pytest.mark.parametrize("limit, starts", [(1, 12), (20, 16), (100, 256), (qt.LIMIT, qt.STARTS)])
+def test_exact_quantiles(spark, limit, starts):
     rng = np.random.default_rng(3)
     groups = {
         "ties": rng.integers(0, 5, 700).astype(float),
@@ -24,7 +25,7 @@ def test_exact_quantiles(spark, ranges):
         "one": np.array([4.5]),
         "hot": np.concatenate([np.zeros(900), rng.random(50)]),
     }
-    got = qt.exact_quantiles(frame(spark, groups), "x", PROBABILITIES, ["g"], ranges).collect()
+    got = qt.exact_quantiles(frame(spark, groups), "x", PROBABILITIES, ["g"], limit, starts).collect()
     assert {r["g"] for r in got} == set(groups)
     for r in got:
         np.testing.assert_allclose(r["quantiles"], np.quantile(groups[r["g"]], PROBABILITIES), rtol=1e-12)
@@ -36,12 +37,34 @@ def test_quantiles_skip_missing_values_and_empty_tables(spark):
     assert qt.exact_quantiles(df.where("false"), "x", [0.5]).first()["quantiles"] == [None]
 
 
+def jobs_of(spark, work) -> int:
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    work()
+    return len(tracker.getJobIdsForGroup(None)) - before
+
+
 def test_quantile_of_many_distinct_values(spark):
     df = spark.range(20_000).selectExpr("cast(id as double) AS x")
     plan = qt.exact_quantiles(df, "x", [0.5])
     assert plan.first()["quantiles"] == [9999.5]
 
 
+def test_a_range_is_refined_until_it_fits(spark):
+    df = spark.range(30_000).selectExpr("pow(1.002, id) * if(id % 2 = 0, 1, -1) AS x", "id % 2 AS g", "id AS y")
+    want = np.quantile([1.002**i * (1 if i % 2 == 0 else -1) for i in range(30_000)], [0.25, 0.5])
+    np.testing.assert_allclose(qt.exact_quantiles(df, "x", [0.25, 0.5], limit=50, starts=40).first()["quantiles"], want, rtol=1e-12)
+    found = qt.exact_quantiles(df, "y", [0.5], ["g"], limit=1000)
+    assert {r["g"]: r["quantiles"] for r in found.collect()} == {0: [14999.0], 1: [15000.0]}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Range (0, 30000" not in plan  # the input was read once, before
+
+
+def test_few_jobs_where_no_range_is_large(spark):
+    df = staged(spark.range(5000).selectExpr("cast(id % 700 AS double) AS a", "cast(id AS double) AS b"), "columns")
+    assert jobs_of(spark, lambda: scaling.column_medians(df, ["a", "b"]).collect()) <= 5
+
+
 @pytest.mark.parametrize(
     "values", [[1, 1, 1, 2, 3, 5, 8, 13], [1, 1, 1, 1, 2], list(range(17)), [2, 2, 9, 9], [0.1, 0.2, 0.3, 0.7]]
 )
