@@ -44,7 +44,7 @@ from tagloom.session import staged
 #: Documents of a language that hold a kept term, at least; ranks of terms in the report.
 MIN_DOCS, RANKS = 3, 200
 #: Sources of a block; rows for each salt of a pair of blocks; parts that merge a group's skyband first.
-BLOCK, SALT_ROWS, MERGES = 256, 2_000_000, 16
+BLOCK, SALT_ROWS, MERGES = 256, 100_000, 16
 #: Points compared at once, and rows gathered between two prunings of a skyband.
 TILE, GATHERED = 1024, 20_000
 
