@@ -240,6 +240,21 @@ def nested_tokens(spark, sf):
     return t.tokens(spark, sf).groupBy("kind", "token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("tweets"))
 
 
+# Chains of up to 29 nested tweets, and of 1,200 now and then: deeper than JSON parsers go by themselves.
+_CHAIN_DEPTH = "CASE WHEN event_id % 997 = 5 THEN 1200 ELSE event_id % 30 END"
+_CHAIN_JSON = """concat(repeat('{"entities":{"hashtags":[{"text":"Link"}],"urls":[{"expanded_url":"u}{"}]},"retweeted_status":', CAST(n AS INT)),
+ '{"entities":{"hashtags":[{"text":"End"}]}}', repeat('}', CAST(n AS INT)))"""
+
+
+@query("jsn_03_chains_of_tweets", f"""SELECT n, kind, token, CAST(sum(times) AS BIGINT) AS tokens, count(*) AS tweets FROM (
+ SELECT n, unnest(['hashtag', 'url', 'hashtag']) AS kind, unnest(['#link', 'u}}{{', '#end']) AS token, unnest([n, n, 1]) AS times
+ FROM (SELECT {_CHAIN_DEPTH} AS n FROM events)) WHERE times > 0 GROUP BY n, kind, token""")
+def chains(spark, sf):
+    tweets = t.table(spark, sf, "events").selectExpr("event_id", f"{_CHAIN_DEPTH} AS n").selectExpr("event_id", "n", f"{_CHAIN_JSON} AS json")
+    tokens = corpus.tweet_tokens(tweets, keep=("event_id", "n"))
+    return tokens.groupBy("n", "kind", "token").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("event_id").alias("tweets"))
+
+
 # ---- reshaping
 
 @query("pvt_01_wide_to_long", upto("long", "SELECT date, tag, tag_type, target_next_count, split, model AS baseline, round(prediction, 6) + 0 AS prediction FROM long"))

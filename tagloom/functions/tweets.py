@@ -1,4 +1,4 @@
-"""Entities of JSON tweets, including tweets nested to any depth."""
+"""Expressions for the entities of JSON tweets."""
 
 from __future__ import annotations
 
@@ -14,20 +14,40 @@ ENTITIES_TYPE = (
 )
 
 
-# Tweets nest as retweet and quote; two levels below the tweet cover real input.
+# Tweets nest as retweet and quote.
 NESTED_KEYS = ("retweeted_status", "quoted_status")
+# Levels below the tweet that a schema covers, as much as real input has; it doubles with each level.
 PARSED_LEVELS = 2
+# Levels below those that are parsed in a second step, from the text left over.
+MORE_LEVELS = 4
+# The parser's own bound on nesting, lifted.
+ANY_DEPTH = {"maxNestingDepth": str(2**31 - 1)}
 
 
-def tweet_type(levels: int = PARSED_LEVELS) -> str:
-    """Tweet schema down to ``levels`` nested tweets; what lies deeper stays raw JSON."""
-    nested = "string" if levels == 0 else tweet_type(levels - 1)
-    return f"struct<entities: {ENTITIES_TYPE}, " + ", ".join(f"{k}: {nested}" for k in NESTED_KEYS) + ">"
+def tweet_type(levels: int, rest: bool = False) -> str:
+    """Tweet schema down to ``levels`` nested tweets; ``rest`` keeps what lies deeper as raw JSON."""
+    below = tweet_type(levels - 1, rest) if levels else "string"
+    nested = "".join(f", {k}: {below}" for k in NESTED_KEYS) if levels or rest else ""
+    return f"struct<entities: {ENTITIES_TYPE}{nested}>"
 
 
 def parse_tweet(json: Column) -> Column:
     """One pass over the text; anything missing, null or unreadable is null."""
-    return F.from_json(json, tweet_type())
+    return F.from_json(json, tweet_type(PARSED_LEVELS, rest=True), ANY_DEPTH)
+
+
+def is_readable(json: Column) -> Column:
+    """Whether the text is one JSON object, nested to any depth."""
+    options = {**ANY_DEPTH, "columnNameOfCorruptRecord": "_corrupt"}
+    read = F.from_json(json, "_corrupt string", options)
+    return read.isNotNull() & read["_corrupt"].isNull() & F.ltrim(json).startswith("{")
+
+
+def nested_tweets(json: Column) -> Column:
+    """A bound on the tweets nested in a text: how often it names one.  No bound, null, where names are spelled with escapes."""
+    mark = '_status"'
+    named = (F.length(json) - F.length(F.replace(json, F.lit(mark), F.lit("")))) / len(mark)
+    return F.when(~json.rlike(r"\\u00[4-7]"), named)
 
 
 def _parsed_nodes(node: Column, levels: int) -> list[Column]:
@@ -38,56 +58,37 @@ def _parsed_nodes(node: Column, levels: int) -> list[Column]:
 
 
 def _raw_nodes(node: Column, levels: int) -> list[Column]:
-    """The raw JSON fields below the last parsed level."""
+    """The raw JSON below the last parsed level."""
     if levels == 0:
         return [node[key] for key in NESTED_KEYS]
     return [n for key in NESTED_KEYS for n in _raw_nodes(node[key], levels - 1)]
 
 
-def _child(node: Column, key: str) -> Column:
-    return F.try_variant_get(node, f"$.{key}", "variant")
+def entity_blocks(tweet: Column) -> Column:
+    """Entity blocks of a parsed tweet and of the tweets nested in it, up to both steps' levels; absent tweets leave nulls behind."""
+    parsed = F.array(*[n["entities"] for n in _parsed_nodes(tweet, PARSED_LEVELS)])
+    raw, below = _raw_nodes(tweet, PARSED_LEVELS), MORE_LEVELS - 1
+    again = F.transform(F.array_compact(F.array(*raw)), lambda text: F.from_json(text, tweet_type(below)))
+    more = F.flatten(F.transform(again, lambda t: F.array(*[n["entities"] for n in _parsed_nodes(t, below)])))
+    return F.when(F.coalesce(*raw).isNull(), parsed).otherwise(F.concat(parsed, more))
 
 
-def deep_entities(raw: Column) -> Column:
-    """Entity blocks of raw JSON tweets nested to any depth.
+def json_pieces(json: Column) -> Column:
+    """A JSON text cut into strings (a key with its colon), brackets, and what stands between them.
 
-    Each step takes one tweet off the to-do list and puts its nested tweets in
-    front of the rest.  Every nested tweet opens a brace, so the braces of the
-    text bound the steps and no depth limit is needed.
+    Escaped quotes and backslashes are spelled as code points first, so that a quote ends
+    a string wherever it stands.
     """
-    roots = F.filter(F.transform(raw, F.try_parse_json), lambda n: n.isNotNull())
-    braces = F.regexp_extract_all(F.array_join(raw, ""), F.lit("[{]"), F.lit(0))
-    start = F.struct(
-        roots.alias("todo"), F.array().cast(f"array<{ENTITIES_TYPE}>").alias("seen")
-    )
+    plain = F.replace(json, F.lit("\\\\"), F.lit("\\u005c"))
+    plain = F.replace(plain, F.lit('\\"'), F.lit("\\u0022"))
+    return F.regexp_extract_all(plain, F.lit(r'"[^"]*"(?:\s*:)?|[{}\[\]]|[^"{}\[\]]+'), F.lit(0))
 
-    def visit(state: Column, _: Column) -> Column:
-        todo, seen = state["todo"], state["seen"]
-        head = F.get(todo, F.lit(0))
-        children = F.filter(
-            F.array(*[_child(head, key) for key in NESTED_KEYS]),
-            lambda n: n.isNotNull() & ~F.is_variant_null(n),
-        )
-        entities = F.try_variant_get(head, "$.entities", ENTITIES_TYPE)
-        moved = F.struct(
-            F.concat(children, F.slice(todo, F.lit(2), F.size(todo))).alias("todo"),
-            F.concat(seen, F.array(entities)).alias("seen"),
-        )
-        return F.when(F.size(todo) == 0, state).otherwise(moved)
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(braces)), start, visit)["seen"]
-
-
-def entity_blocks(tweet: Column) -> Column:
-    """Entity blocks of a parsed tweet and of all tweets nested in it.
-
-    Absent tweets leave nulls behind.  The slow walk starts only where the text
-    nests deeper than the parsed levels.
-    """
-    parsed = F.array(*[n["entities"] for n in _parsed_nodes(tweet, PARSED_LEVELS)])
-    raw = _raw_nodes(tweet, PARSED_LEVELS)
-    deeper = F.concat(parsed, deep_entities(F.array_compact(F.array(*raw))))
-    return F.when(F.coalesce(*raw).isNull(), parsed).otherwise(deeper)
+def key_name(piece: Column) -> Column:
+    """The name in a key's piece; null for other pieces."""
+    name = F.regexp_extract(piece, r'^"([^"]*)"\s*:$', 1)
+    spelled = F.from_json(F.concat(F.lit('["'), name, F.lit('"]')), "array<string>")
+    return F.when(piece.endswith(":") & piece.startswith('"'), F.when(name.contains("\\"), F.get(spelled, F.lit(0))).otherwise(name))
 
 
 def _non_empty(values: Column) -> Column:

@@ -4,7 +4,7 @@ import json
 import random
 from collections import Counter
 
-from tagloom.operators.corpus import token_totals, tweet_entities, tweet_tokens
+from tagloom.operators.corpus import deep_entity_rows, entity_rows, token_totals, tweet_entities, tweet_tokens
 from tagloom.plans import corpus
 from tagloom.sources.tweets import read_tweets_json, unreadable_tweets
 from tests.conftest import rows
@@ -67,6 +67,43 @@ def test_a_chain_of_two_hundred(spark):
     assert Counter(r["token"] for r in tweet_tokens(df).collect()) == {"#x": 200, "#end": 1}
 
 
+def chain(levels: int) -> str:
+    text = '{"entities":{"hashtags":[{"text":"end"}]}}'
+    for _ in range(levels):
+        text = '{"entities":{"hashtags":[{"text":"x"}]},"retweeted_status":' + text + "}"
+    return text
+
+
+def test_a_chain_beyond_the_parsers_bound(spark):
+    df = spark.createDataFrame([(chain(1200),), (chain(2500),), (chain(1200)[:-1],)], "json string")
+    assert Counter(r["token"] for r in tweet_tokens(df).collect()) == {"#x": 3700, "#end": 2}
+
+
+def test_only_tweets_of_the_chain_count(spark):
+    lookalikes = [
+        '{"a":{"retweeted_status":{"entities":{"hashtags":[{"text":"no"}]}}},"quoted_status":{"quoted_status":{"entities":{"hashtags":[{"text":"yes"}]}}}}',
+        '{"entities":{"retweeted_status":{"entities":{"hashtags":[{"text":"no"}]}}, "hashtags" : [ {"text" : "a\\"b{" , "x":[[]]} ] },"quoted_status":null,"retweeted_status":{ }}',
+        '{"retweeted_status":{"retweeted_status":{"x":"\\\\","retweeted_status":{"y":"}\\\\\\"{","entities":{"urls":[{"expanded_url":"\\u0068\\/\\\\"}]}}},"entities":{"hashtags":[{"text":"late"}]}},"entities" : {"hashtags":[{"text":"own"}],"user_mentions":[{"entities":{"hashtags":[{"text":"no"}]}}]}}',
+        '{"retweeted\\u005fstatus":{"quoted_status":{"quoted_status":{"entities":{"hashtags":[{"text":"spelled"}]}}}}}',
+        '[{"quoted_status":{"quoted_status":{"quoted_status":{"entities":{"hashtags":[{"text":"no"}]}}}}}]',
+    ]
+    df = spark.createDataFrame([(i, text) for i, text in enumerate(lookalikes)], "id int, json string")
+    got = rows(tweet_tokens(df, keep=("id",)))
+    want = [(i, *x) for i, text in enumerate(lookalikes[:4]) for x in expected_tokens(json.loads(text))]
+    assert got == sorted(want, key=repr)
+    assert {t for _, _, t in got} == {"#yes", '#a"b{', "h/\\", "#late", "#own", "#spelled"}
+    own = tweet_entities(df, keep=("id",)).where("position = 0").collect()
+    assert {r["id"]: r["hashtags"] for r in own} == {1: ['#a"b{'], 2: ["#own"]}
+
+
+def test_both_ways_give_the_same_blocks(spark):
+    rng = random.Random(3)
+    tweets = [json.dumps(random_tweet(rng, 2)) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(tweets)), "id int, json string")
+    deep = deep_entity_rows(df, keep=("id",))
+    assert rows(deep.select("id", "entities")) == rows(entity_rows(df, keep=("id",)).select("id", "entities"))
+
+
 def test_unreadable_lines_give_no_tokens_and_are_reported(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"entities":{"hashtags":[{"text":"Z"}]}}\n\n   \n{broken\n')
     df = read_tweets_json(spark, str(tmp_path / "t.json"))
