@@ -44,6 +44,20 @@ def read_csv(spark, sf):
     return dated.groupBy("date", "text").agg(F.count(F.lit(1)).alias("copies"))
 
 
+# Texts with line breaks and quotes, cut where a word ends.
+_BROKEN = """CASE WHEN text IS NULL THEN 'no text' ELSE replace(replace(text, ' and ', concat(' and', chr(10))), ' near ', ' "near", ') END"""
+
+
+@query("src_02_line_breaks_in_quotes", upto("tweets", f"SELECT text, count(*) AS copies, CAST(0 AS BIGINT) AS corrupt FROM (SELECT {_BROKEN} AS text FROM tweets) GROUP BY 1"))
+def read_broken_lines(spark, sf):
+    """Large files are read by many tasks, though records go over lines."""
+    path = stage_path(spark, "csv-lines")
+    tweets = t.tweets(spark, sf).selectExpr("created_at", f"{_BROKEN} AS text").coalesce(1)
+    tweets.write.option("header", True).option("escape", '"').csv(path)
+    rows = tw.read_tweets_csv(spark, path)
+    return rows.groupBy("text").agg(F.count(F.lit(1)).alias("copies"), F.count("_corrupt").alias("corrupt"))
+
+
 @query("src_03_read_text_lines", "SELECT url AS value FROM pages")
 def read_lines(spark, sf):
     path = stage_path(spark, "urls")

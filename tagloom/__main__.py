@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.forecasts import best_learned, representative_tags
 from tagloom.plans import corpus, feature_table, forecasting, reports, tag_counts
-from tagloom.session import configure, staged
+from tagloom.session import configure
 from tagloom.sinks.writers import write_table
 
 COUNT_TABLES = ("daily_hashtag_counts", "daily_cashtag_counts", "weekly_hashtag_counts")
@@ -36,13 +36,16 @@ def _write_all(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def run_corpus(spark: SparkSession, args: argparse.Namespace) -> None:
-    corpus.run(spark, args.input, args.output)["totals"].show()
+    result = corpus.run(spark, args.input, args.output)
+    result.totals.show()
+    print(f"{result.lines} lines, {result.unreadable} unreadable")
 
 
 def run_counts(spark: SparkSession, args: argparse.Namespace) -> None:
     result = tag_counts.run(spark, args.input, args.output)
     for tag_type in feature_table.TAG_TYPES:
         result.top(10, tag_type).show(truncate=False)
+    print(f"{result.rows} rows, {result.corrupt} corrupt")
 
 
 def run_activity(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -55,8 +58,8 @@ def run_features(spark: SparkSession, args: argparse.Namespace) -> None:
     settings = feature_table.PanelSettings(
         args.start, args.end, args.top_n, args.min_days, args.train_dates, args.validation_dates
     )
-    features = staged(feature_table.features_from_daily(hashtags, cashtags, settings), "features")
-    write_table(feature_table.validate(features, settings), args.output)
+    features, counted = feature_table.staged_features(feature_table.features_from_daily(hashtags, cashtags, settings), settings)
+    write_table(feature_table.validate_counted(features, settings, counted, args.dates), args.output)
 
 
 def run_forecast(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -110,6 +113,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-days", type=int, default=defaults.min_observed_days)
     p.add_argument("--train-dates", type=int, default=defaults.train_dates)
     p.add_argument("--validation-dates", type=int, default=defaults.validation_dates)
+    p.add_argument("--dates", type=int, help="observed dates that must be there")
     return p
 
 

@@ -4,11 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def observed(df: DataFrame, metrics: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` with metrics that the next pass over it computes on the way, such as its write.
+
+    ``Observation.get`` has them once that pass has ended.
+    """
+    seen = Observation()
+    return df.observe(seen, *[c.alias(name) for name, c in metrics.items()]), seen
+
+
+def size_metrics(ready: str, split: str, date: str, splits: Iterable[str], first: str) -> dict[str, Column]:
+    """Rows, ready rows of each split, and distinct dates from ``first`` on.
+
+    Dates are counted as bits, which partial aggregates merge; 32,768 days fit.
+    """
+    day = F.datediff(F.col(date), F.lit(first)) + 1
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(F.when(day.between(1, 32_768), day)))
+    rows = {f"rows_{s}": F.count_if(F.col(ready) & (F.col(split) == s)) for s in splits}
+    return {"rows": F.count(F.lit(1)), **rows, "dates": F.bitmap_count(bits), "undated": F.count_if(~F.coalesce(day.between(1, 32_768), F.lit(False)))}
+
+
 def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 

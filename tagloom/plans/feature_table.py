@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from tagloom.operators.features import add_features, add_modeling_ready
+from tagloom.operators.features import LAGS, add_features, add_modeling_ready
 from tagloom.operators.panel import build_panel, load_counts, select_top_tags
 from tagloom.operators.quality import (
     count_violations,
     distinct_count_violations,
     duplicate_keys,
+    observed,
     require_no_violations,
     require_rows,
+    size_metrics,
     target_mismatches,
 )
 from tagloom.operators.splits import add_splits
 from tagloom.session import staged
 
 TAG_TYPES = ("hashtag", "cashtag")
+SPLITS = ("train", "validation", "test")
 
 
 @dataclass(frozen=True)
@@ -60,6 +64,23 @@ def features_from_daily(hashtags: DataFrame, cashtags: DataFrame, settings: Pane
     return feature_table(staged(counts, "counts"), settings)
 
 
+def staged_features(features: DataFrame, settings: PanelSettings) -> tuple[DataFrame, dict]:
+    """The feature table written once, and what its write counted: rows, ready rows of each split, dates."""
+    metrics = size_metrics("modeling_ready", "split", "date", SPLITS, settings.start)
+    rows, seen = observed(features, metrics)
+    return staged(rows, "features"), seen.get
+
+
+def expected_split_rows(settings: PanelSettings, dates: int) -> dict[str, int]:
+    """Ready rows of each split: a tag's first dates lack the longest lag, its last one the target."""
+    bounds = [0, settings.train_dates, settings.train_dates + settings.validation_dates, dates]
+    ready = range(max(LAGS), dates - 1)
+    return {
+        name: settings.selected_rows * len(range(max(lo, ready.start), max(lo, ready.start, min(hi, ready.stop))))
+        for name, lo, hi in zip(SPLITS, bounds, bounds[1:])
+    }
+
+
 def validate(
     features: DataFrame,
     settings: PanelSettings,
@@ -78,3 +99,23 @@ def validate(
         ready = features.where("modeling_ready")
         require_no_violations(count_violations(ready, "split", split_rows), "rows per split")
     return features
+
+
+def validate_counted(
+    features: DataFrame, settings: PanelSettings, counted: Mapping[str, int], dates: int | None = None
+) -> DataFrame:
+    """``validate`` with the sizes that the table's write counted, so no size needs a pass of its own.
+
+    ``dates`` is the number of dates that must be there; the rows of each split follow
+    from the dates that are.
+    """
+    if counted["undated"]:
+        raise ValueError(f"{counted['undated']} rows without a date in range")
+    if dates is not None and counted["dates"] != dates:
+        raise ValueError(f"expected {dates} observed dates, found {counted['dates']}")
+    validate(features, settings)
+    expected = expected_split_rows(settings, counted["dates"])
+    found = {name: counted[f"rows_{name}"] for name in SPLITS}
+    if found != expected:
+        raise ValueError(f"rows per split: expected {expected}, found {found}")
+    return features

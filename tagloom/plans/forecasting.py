@@ -13,7 +13,7 @@ from tagloom.operators.models import MODEL_CONFIGS, ModelConfig, fit_models, tra
 from tagloom.operators.quality import require_row_total
 from tagloom.operators.reshape import rows_to_map
 from tagloom.session import staged
-from tagloom.sinks.writers import write_run_csv, write_summary, write_table
+from tagloom.sinks.writers import write_comparison, write_run_csv, write_summary, write_table
 from tagloom.sources.tables import modeling_rows
 
 
@@ -141,3 +141,5 @@ def save(result: ForecastRun, folder: str) -> None:
     for name, df in tables.items():
         write_run_csv(df, f"{folder}/{name}", result.run_label)
     write_summary(result.summary, f"{folder}/run_summary")
+    labelled = result.overall.withColumn("run_label", F.lit(result.run_label))
+    write_comparison(labelled, f"{folder}/run_comparison")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators.clean import cleaned_tweets
 from tagloom.operators.counts import long_daily_counts, totals_by, weekly_from_daily
+from tagloom.operators.quality import observed
 from tagloom.operators.ranking import by_date_and_count, top_k
 from tagloom.session import staged
 from tagloom.sinks.writers import write_by_date, write_table
-from tagloom.sources.tweets import read_tweets_csv
+from tagloom.sources.tweets import CORRUPT_COLUMN, read_tweets_csv
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,8 @@ class TagCounts:
     """
 
     daily_counts: DataFrame
+    rows: int | None = None
+    corrupt: int | None = None
 
     def of_type(self, tag_type: str) -> DataFrame:
         return self.daily_counts.where(F.col("tag_type") == tag_type).select("date", "tag", "count")
@@ -44,10 +47,15 @@ def tag_counts(cleaned: DataFrame) -> TagCounts:
 
 
 def run(spark: SparkSession, csv_path: str, output: str) -> TagCounts:
-    """Read and clean once, write the cleaned table, and count from the written table."""
+    """Read and clean once, write the cleaned table, and count from the written table.
+
+    The rows read and those that did not fit the header are counted by the pass that writes.
+    """
     cleaned = f"{output}/cleaned_tweets.parquet"
-    write_by_date(cleaned_tweets(read_tweets_csv(spark, csv_path)), cleaned)
-    counts = tag_counts(spark.read.parquet(cleaned))
+    metrics = {"rows": F.count(F.lit(1)), "corrupt": F.count(CORRUPT_COLUMN)}
+    tweets, seen = observed(read_tweets_csv(spark, csv_path), metrics)
+    write_by_date(cleaned_tweets(tweets), cleaned)
+    counts = replace(tag_counts(spark.read.parquet(cleaned)), **seen.get)
     write_table(counts.daily("hashtag"), f"{output}/daily_hashtag_counts.parquet")
     write_table(counts.daily("cashtag"), f"{output}/daily_cashtag_counts.parquet")
     write_table(counts.weekly("hashtag"), f"{output}/weekly_hashtag_counts.parquet")

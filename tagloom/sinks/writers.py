@@ -66,7 +66,12 @@ def write_summary(summary: DataFrame, path: str) -> None:
 
 
 def write_comparison(rows: DataFrame, path: str) -> None:
-    """Replace the runs present in ``rows`` in a table partitioned by run label."""
+    """Replace the runs present in ``rows`` in a table partitioned by run label.
+
+    New partitions are written aside and take the place of old ones when all tasks have
+    ended; a write that fails leaves the table as it was, and a repeated one leaves one
+    version of its runs.
+    """
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

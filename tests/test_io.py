@@ -55,6 +55,20 @@ def test_comparison_rows_of_other_runs_survive(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "c")), "run_label", "n") == [("a", 1), ("b", 2)]
 
 
+def test_a_failed_and_repeated_comparison_leaves_one_version(spark, tmp_path):
+    path = str(tmp_path / "c")
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "run_label string, n int")
+    writers.write_comparison(old, path)
+    new = spark.range(0, 40, 1, 8).select(F.lit("b").alias("run_label"), F.col("id").cast("int").alias("n"))
+    lost = new.withColumn("n", F.when(F.col("n") == 39, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_comparison(lost, path)
+    assert rows(spark.read.parquet(path), "run_label", "n") == [("a", 1), ("b", 1)]
+    for _ in range(2):
+        writers.write_comparison(new, path)
+    assert rows(spark.read.parquet(path), "run_label", "n") == [("a", 1), *sorted((("b", n) for n in range(40)), key=repr)]
+
+
 def test_pairs_are_written_in_order(spark, tmp_path):
     df = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9)], "word string, count long")
     writers.write_pairs(df, str(tmp_path / "p"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tagloom.__main__ import main
 from tagloom.operators import models as ml
 from tagloom.plans import feature_table, forecasting, reports
-from tagloom.session import sizing
+from tagloom.session import sizing, staged
 from tests.conftest import rows
 
 
@@ -41,6 +41,7 @@ def test_jobs(spark, work, monkeypatch):
     job("overview", work / "features", work / "overview")
     job("forecast", work / "features", work / "forecast")
     job("errors", work / "forecast", work / "errors")
+    job("forecast", work / "features", work / "forecast", "--run-label", "again")
 
     read = lambda *p: spark.read.parquet(str(work.joinpath(*p)))
     features = read("features")
@@ -61,6 +62,10 @@ def test_jobs(spark, work, monkeypatch):
     assert rows(read("errors", "example_series").select("model").distinct()) == [
         ("baseline_last_value",), ("linear_regression_pooled",), ("ridge_regression_pooled",)
     ]
+    compared = read("forecast", "run_comparison")
+    assert rows(compared.groupBy("run_label").count()) == [("again", 6), ("count_only", 6)]
+    with pytest.raises(ValueError, match="expected 41 observed dates, found 40"):
+        job("features", work / "counts", work / "more", *panel, "--dates", 41)
     with pytest.raises(ValueError, match="selected tags"):
         job("features", work / "counts", work / "more", "--top-n", 4, "--min-days", 20)
 
@@ -105,3 +110,19 @@ def test_sizing():
     partitions = int(conf["spark.sql.shuffle.partitions"])
     assert partitions % 4000 == 0 and 100 * 10**12 / partitions <= 192 * 1024**2
     assert sizing(10, 8)["spark.sql.shuffle.partitions"] == "8"
+
+
+def test_sizes_are_counted_by_the_write(spark):
+    settings = feature_table.PanelSettings(start="2020-04-01", top_n=1, train_dates=10, validation_dates=3)
+    days = spark.range(16).selectExpr("date_add(DATE'2020-04-09', cast(id as int)) AS date", "id")
+    split = F.when(F.col("id") < 10, "train").when(F.col("id") < 13, "validation").otherwise("test")
+    ready = (F.col("id") >= 7) & (F.col("id") < 15)
+    table = days.crossJoin(spark.sql("SELECT explode(array('hashtag', 'cashtag')) AS tag_type")).select("date", split.alias("split"), ready.alias("modeling_ready"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    _, counted = feature_table.staged_features(table, settings)
+    plain_jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    staged(table, "features")
+    assert plain_jobs == len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before - plain_jobs
+    assert counted == {"rows": 32, "rows_train": 6, "rows_validation": 6, "rows_test": 4, "dates": 16, "undated": 0}
+    assert feature_table.expected_split_rows(settings, 16) == {"train": 6, "validation": 6, "test": 4}
+    assert feature_table.expected_split_rows(feature_table.PanelSettings(), 77) == {"train": 1440, "validation": 330, "test": 300}

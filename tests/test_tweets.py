@@ -114,9 +114,11 @@ def test_unreadable_lines_give_no_tokens_and_are_reported(spark, tmp_path):
 
 def test_corpus_plan(spark, tmp_path):
     (tmp_path / "in.json").write_text("\n".join([json.dumps(NESTED)] * 3))
+    (tmp_path / "in.json").write_text("\n".join([json.dumps(NESTED)] * 3 + ["", "{broken", "[1]"]))
     result = corpus.run(spark, str(tmp_path / "in.json"), str(tmp_path / "out"))
-    assert rows(result["totals"]) == [("hashtag", 9), ("url", 3)]
-    assert [tuple(r) for r in result["counts"].collect()] == [("#a", 3), ("#b", 3), ("#c", 3), ("u1", 3)]
+    assert (result.lines, result.unreadable) == (5, 2)
+    assert rows(result.totals) == [("hashtag", 9), ("url", 3)]
+    assert [tuple(r) for r in result.counts.collect()] == [("#a", 3), ("#b", 3), ("#c", 3), ("u1", 3)]
     written = spark.read.text(str(tmp_path / "out" / "word_counts"))
     assert rows(written) == [("(#a,3)",), ("(#b,3)",), ("(#c,3)",), ("(u1,3)",)]
     assert rows(token_totals(tweet_tokens(read_tweets_json(spark, str(tmp_path / "in.json"))))) == [("hashtag", 9), ("url", 3)]
