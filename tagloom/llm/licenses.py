@@ -24,8 +24,9 @@ and documents join their directory.
 Defined cases: a null text is empty and matches nothing; equal scores go to the
 first template by name; of several licence files in a directory the one with the
 best score, then the smallest path, speaks; a null path is the root directory;
-rows with equal path and text share one result and all stay; an empty table gives
-an empty table.
+rows with equal path and text share one result and all stay; a long text is cut into
+lines, its windows are rows of their own; columns of any name pass through, but for those
+that the scan adds; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from pathlib import Path
+from importlib.resources import files
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.session import staged
@@ -116,7 +117,8 @@ def template_words(text: str) -> list[str]:
 
 def license_texts() -> list[tuple[str, str]]:
     """The whole texts; the Affero licence is the GPL's text under its own name."""
-    texts = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    folder = files("tagloom.llm") / "license_texts"  # also where the package is a zip file
+    texts = {p.name.removesuffix(".txt"): p.read_text() for p in sorted(folder.iterdir(), key=lambda p: p.name) if p.name.endswith(".txt")}
     gpl = " ".join(texts["GPL-3.0"].split())
     return [*texts.items(), ("AGPL-3.0", re.sub(r"(?i)GNU General Public", "GNU Affero General Public", gpl))]
 
@@ -198,24 +200,55 @@ def _seen(words: Column) -> Column:
     return F.aggregate(F.array_intersect(words, "known"), F.lit(0.0), lambda a, w: a + F.col("shares")[w])
 
 
+def _near_starts(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Windows that may hold enough of a template's norm: path, place, at, start and end, as places among the worded lines.
+
+    A line is a small row here: its place, its words' number and the share of the
+    template's norm in its words.  A window has the lines that begin within as many
+    words as the template has; their shares together bound the window's.
+    """
+    share = F.transform("lines", lambda x, i: F.struct((i + 1).alias("i"), F.size(x["words"]).alias("n"), _seen(x["words"]).alias("share")))
+    key = ["path", "place", "at"]
+    lines = pairs.select(*key, "size", F.inline(share))
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy("i")) - F.col("n")
+    lines = lines.withColumn("pos", before / F.col("size"))  # in template lengths, since a frame's bounds are constants
+    reach = Window.partitionBy(*key).orderBy("pos").rangeBetween(Window.currentRow, 1)
+    bounded = lines.withColumns({"bound": F.sum("share").over(reach), "end": F.max("i").over(reach)})
+    return bounded.where(F.col("bound") >= threshold**2 - 1e-9).select(*key, F.col("i").alias("start"), "end")
+
+
+def _first_words(held: Column, size: Column) -> Column:
+    """The lines that the first ``size`` words touch."""
+    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
+    reach = lambda a, x: F.when(a["words"] < size, F.struct((a["words"] + F.size(x["words"])).alias("words"), (a["lines"] + 1).alias("lines"))).otherwise(a)
+    return F.slice(held, F.lit(1), F.aggregate(held, none, reach)["lines"])
+
+
 def matched_windows(rows: DataFrame, templates: list[tuple], parts: DataFrame, weight: DataFrame, rarest: float, threshold: float) -> DataFrame:
-    """Windows of ``rows`` that reach the threshold: path, place, at, start, license, rank, score and the lines they touch."""
+    """Windows of ``rows`` that reach the threshold: path, place, at, start, license, rank, score and the lines they touch.
+
+    A document's lines are carried once per template it may hold, and then as rows of
+    their own: work and memory grow with the text, not with its square.
+    """
     table = F.broadcast(rows.sparkSession.createDataFrame(templates, "at int, license string, rank int, size int, need int, shares map<string, double>, known array<string>"))
-    pairs = rows.where(F.size("may") > 0).select("path", "place", "lines", F.explode("may").alias("at")).join(table, "at")
+    docs = staged(rows.where(F.size("may") > 0).select("path", "place", "lines", "may").dropDuplicates(["path", "place"]), "window-docs")
+    pairs = docs.select("path", "place", "lines", F.explode("may").alias("at")).join(table, "at")
     pairs = pairs.where(_seen(F.flatten("lines.words")) >= threshold**2 - 1e-9)
-    whole = F.col("rank") == WHOLE
-    pairs = pairs.withColumn("start", F.explode(F.when(whole, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.size("lines")))))
-    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
-    reach = lambda a, x: F.when(a["words"] < F.col("size"), F.struct((a["words"] + F.size(x["words"])).alias("words"), (a["lines"] + 1).alias("lines"))).otherwise(a)
-    ahead = F.aggregate(F.slice("lines", F.col("start"), F.col("size")), none, reach)["lines"]
-    cut = pairs.withColumn("n", F.when(whole, F.size("lines")).otherwise(ahead))
-    cut = cut.withColumn("part", F.slice("lines", F.col("start"), F.col("n")))
-    cut = cut.withColumn("words", F.flatten("part.words"))
-    cut = cut.withColumn("words", F.when(whole, F.col("words")).otherwise(F.slice("words", F.lit(1), F.col("size"))))
-    cut = cut.where((F.col("n") > 1) | (F.col("at") >= len(TEMPLATES))).where(_seen(F.col("words")) >= threshold**2 - 1e-9)
-    held = F.transform(F.slice("part", F.lit(1), F.col("n")), lambda x: F.struct(x["line"], x["chars"], F.size(x["words"]).alias("words")))
     key = ["path", "place", "at", "start"]
-    windows = staged(cut.select(*key, "license", "rank", held.alias("held"), "words").dropDuplicates(key), "windows")
+    whole = pairs.where(F.col("rank") == WHOLE).select("path", "place", "at", F.lit(1).alias("start"), F.col("lines").alias("part"), F.flatten("lines.words").alias("words"))
+
+    starts = _near_starts(pairs.where(F.col("rank") != WHOLE), threshold)
+    touched = starts.select(*key, F.explode(F.sequence("start", "end")).alias("i"))
+    lines = docs.select(F.col("path").alias("_path"), F.col("place").alias("_place"), F.posexplode("lines").alias("_i", "x"))
+    same = F.col("path").eqNullSafe(F.col("_path")) & (F.col("place") == F.col("_place")) & (F.col("i") == F.col("_i") + 1)
+    together = F.array_sort(F.collect_list(F.struct("i", "x")))  # of as many lines as the template has words, at most
+    windows = touched.join(lines, same).groupBy(*key).agg(F.transform(together, lambda y: y["x"]).alias("part"))
+    windows = windows.join(table, "at").withColumn("part", _first_words(F.col("part"), F.col("size")))
+    windows = windows.where((F.size("part") > 1) | (F.col("at") >= len(TEMPLATES)))
+    windows = windows.select(*key, "part", F.slice(F.flatten("part.words"), F.lit(1), F.col("size")).alias("words"))
+    cut = windows.unionByName(whole).join(table, "at").where(_seen(F.col("words")) >= threshold**2 - 1e-9)
+    held = F.transform("part", lambda x: F.struct(x["line"], x["chars"], F.size(x["words"]).alias("words")))
+    windows = staged(cut.select(*key, "license", "rank", held.alias("held"), "words"), "windows")
     counts = windows.select(*key, F.explode("words").alias("word")).groupBy(*key, "word").count()
     valued = counts.join(F.broadcast(weight), "word", "left").join(F.broadcast(parts), ["at", "word"], "left")  # the templates' words: fixed tables
     valued = valued.withColumn("value", (1 + F.log(F.col("count").cast("double"))) * F.coalesce("idf", F.lit(rarest)))
@@ -301,10 +334,14 @@ def inherited(directories: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, *, path: Column, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``license``, ``license_score``, ``license_by`` (header, file or directory) and ``license_from`` (a path)."""
-    keyed = docs.withColumns({"_path": path.cast("string"), "_place": F.xxhash64(text)})
-    rows = keyed.select(F.col("_path").alias("path"), F.col("_place").alias("place"), F.col(text).alias("text"))
-    lines = staged(matched_lines(rows, threshold), "matched")
+    """``docs`` without the text, with ``license``, ``license_score``, ``license_by`` (header, file or directory) and ``license_from`` (a path).
+
+    Columns of ``docs`` with these names are replaced.
+    """
+    added = ("license", "license_score", "license_by", "license_from")
+    kept = [c for c in docs.columns if c != text and c not in added]
+    keyed = docs.select(path.cast("string").alias("_path"), F.xxhash64(text).alias("_place"), F.col(text).alias("_text"), F.struct(*kept).alias("_row") if kept else F.lit(None).alias("_row"))
+    lines = staged(matched_lines(keyed.select(F.col("_path").alias("path"), F.col("_place").alias("place"), F.col("_text").alias("text")), threshold), "matched")
     own = lines.groupBy("path", "place").agg(F.sum("chars").alias("matched"), F.min(F.struct("rank", (-F.col("score")).alias("worse"), "line", "license")).alias("best"))
     own = own.select(
         F.col("path").alias("_own_path"),
@@ -313,19 +350,18 @@ def scan(docs: DataFrame, *, path: Column, text: str = "text", threshold: float
         F.col("best")["license"].alias("_own"),
         (-F.col("best")["worse"]).alias("_score"),
     )
-    sized = keyed.withColumns({"_chars": F.length(text), "_directory": directory_of(F.col("_path"))}).drop(text)
-    kept = [c for c in docs.columns if c != text]
+    sized = keyed.withColumns({"_chars": F.length("_text"), "_directory": directory_of(F.col("_path"))}).drop("_text")
     same = sized["_path"].eqNullSafe(own["_own_path"]) & (sized["_place"] == own["_own_place"])
     is_file = F.coalesce(F.col("_matched") >= FILE_SHARE * F.col("_chars"), F.lit(False))
     known = staged(sized.join(own, same, "left").withColumn("_file", is_file), "own")
-    files = known.where("_file").select(
+    speaking = known.where("_file").select(
         F.col("_directory").alias("directory"), F.col("_path").alias("path"), F.col("_own").alias("license"), F.col("_score").alias("score")
     )
-    above = inherited(known.select(F.col("_directory").alias("directory")).distinct(), files)
+    above = inherited(known.select(F.col("_directory").alias("directory")).distinct(), speaking)
     above = above.select(*[F.col(c).alias(f"_{c}") for c in above.columns])
     by = F.when(F.col("_file"), "file").when(F.col("_own").isNotNull(), "header").when(F.col("_inherited").isNotNull(), "directory")
     return known.join(above, "_directory", "left").select(
-        *[F.col(c) for c in kept],
+        *[F.col("_row").getField(c).alias(c) for c in kept],
         F.coalesce("_own", "_inherited").alias("license"),
         F.col("_score").alias("license_score"),
         by.alias("license_by"),

@@ -253,3 +253,15 @@ def test_pipeline(spark, sf):
     assert len({x[2] for x in plain_join(rows)}) == len(rows)
     pieces = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {k for k, _ in rows}
+
+
+def test_a_long_source_file_with_a_header(spark):
+    header = "\n".join(textwrap.wrap(dict(licenses.HEADERS)["GPL-3.0"], 76))
+    code = "\n".join(f"value_{i} = free(software, {i}) or the_{i % 50}" if i % 3 else f"for item in range({i}): total += {i}" for i in range(6_000))
+    rows = [("a/long.py", f"{header}\n{code}"), ("a/end.py", f"{code}\n{header}"), ("a/none.py", code)]
+    table = spark.createDataFrame(rows, "path string, text string")
+    names = ("_own", "_path", "_place", "_row", "_file", "_directory", "_chars", "at", "start", "lines", "license", "license_by")
+    table = table.withColumns({n: F.lit("kept") for n in names})
+    found = licenses.scan(table, path=F.col("path"))
+    assert sorted((r.path, r.license, r.license_by) for r in found.collect()) == [("a/end.py", "GPL-3.0", "header"), ("a/long.py", "GPL-3.0", "header"), ("a/none.py", None, None)]
+    assert len(set(found.columns)) == len(found.columns) and all(r[n] == "kept" for r in found.collect() for n in names[:-2])
