@@ -20,7 +20,8 @@ are moved; a filter that fills up lets more through and changes no result.
 Defined cases: a null text stays null and has no lines; lines without words are
 kept and not counted; rows with equal id and text are treated alike, their lines
 are first together; a null id comes before all others; an empty table gives an
-empty table; other columns are passed through.
+empty table; other columns are passed through, whatever their names; ids may be of any
+type that can be ordered.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ _LENGTH = 0xC2B2AE3D27D4EB4F
 #: Powers of the base for lines of usual length.
 _USUAL = np.cumprod(np.r_[np.uint64(1), np.full(255, _BASE, np.uint64)])
 
-_LINES = "line int, hash binary, ident long"
+_LINES = "place long, line int, hash binary"
 _VARIANTS = "line int, hash binary, key long, gap int, words binary"
 _KEYS = "key long, code long"
 
@@ -105,11 +106,6 @@ def variants(words: list[bytes]) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def _ident(key, place: int, line: int) -> int:
-    """A line's identifier: of its document's id and text, and its number."""
-    return _long(xxhash.xxh3_64_intdigest(f"{key}/{place}/{line}"))
-
-
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
     """Whether one word edit at most separates two lines."""
     if len(a) > len(b):
@@ -132,17 +128,15 @@ def _lines(docs: DataFrame, key_type: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                owner, line, digest, ident = [], [], [], []
+                owner, line, digest = [], [], []
                 for x in range(part.num_rows):
-                    key, place, text = (c[x].as_py() for c in part.columns)
-                    for number, words in line_words(text):
+                    for number, words in line_words(part.column(2)[x].as_py()):
                         owner.append(x)
                         line.append(number)
                         digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                        ident.append(_ident(key, place, number))
-                own = part.column(0).take(pa.array(owner, pa.int64()))
-                columns = [own, pa.array(line, pa.int32()), pa.array(digest, pa.binary()), pa.array(ident, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "hash", "ident"])
+                own = [part.column(i).take(pa.array(owner, pa.int64())) for i in (0, 1)]
+                columns = [*own, pa.array(line, pa.int32()), pa.array(digest, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "place", "line", "hash"])
 
     return docs.mapInArrow(run, f"id {key_type}, {_LINES}")
 
@@ -282,50 +276,57 @@ def near_lines(docs: DataFrame, key_type: str, bits: int = FILTER_BITS) -> DataF
 
 
 def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bits: int = FILTER_BITS) -> DataFrame:
-    """Per id with lines to drop: ``id`` and ``drops``, the identifiers of those lines (see _ident)."""
+    """``id``, ``place`` (a hash of the text) and ``drops``, the numbers of the lines to drop, of texts with any.
+
+    Rows of one id with different texts, or without an id, are gathered text by text.
+    """
     key_type = docs.schema[key].dataType.simpleString()
     rows = _rows(docs, key, text)
     lines = staged(_lines(rows, key_type), "lines")
-    order = F.struct(F.col("id").isNotNull().alias("has"), "id", "line", "ident")
-    first = lines.groupBy("hash").agg(F.min(order)["ident"].alias("first"))
+    order = F.struct(F.col("id").isNotNull().alias("has"), "id", "line", "place")
+    first = lines.groupBy("hash").agg(F.min(order).alias("first"))
     near = near_lines(rows, key_type, bits).withColumn("near", F.lit(True))
     kept = first.join(near, "hash", "left")
-    gone = lines.select("id", "hash", "ident").join(kept, "hash").where("near OR ident <> first")
-    return gone.groupBy("id").agg(F.collect_set("ident").alias("drops"))
+    gone = lines.join(kept, "hash").where(F.col("near") | ~order.eqNullSafe(F.col("first")))
+    return gone.groupBy("id", "place").agg(F.collect_set("line").alias("drops"))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """A name that no column has."""
+    while name in taken:
+        name += "_"
+    return name
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", into: str = "lines", bits: int = FILTER_BITS) -> DataFrame:
     """``docs`` with a struct ``into``: ``text`` without the repeated lines, ``n_lines`` and ``n_dropped`` (lines with words)."""
-    drops = repeated_lines(docs, key=key, text=text, bits=bits).select(F.col("id").alias("_id"), F.col("drops").alias("_drops"))
+    own, place, drops = (free_name(n, [*docs.columns, into]) for n in ("_id", "_place", "_drops"))
+    found = repeated_lines(docs, key=key, text=text, bits=bits).select(F.col("id").alias(own), F.col("place").alias(place), F.col("drops").alias(drops))
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
-    def rebuilt(keys: pd.Series, places: pd.Series, texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    def rebuilt(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         out = []
-        for k, p, t, d in zip(keys.tolist(), places.tolist(), texts.tolist(), gone.tolist()):
+        for t, d in zip(texts.tolist(), gone.tolist()):
             worded = [number for number, _ in line_words(t)]
             among = set() if d is None else set(d.tolist())
-            drop = {number for number in worded if among and _ident(k, p, number) in among}
-            left = t if not drop else "\n".join([x for i, x in enumerate(t.split("\n")) if i not in drop])
-            out.append((left, len(worded), len(drop)))
+            left = t if not among else "\n".join([x for i, x in enumerate(t.split("\n")) if i not in among])
+            out.append((left, len(worded), len(among)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    own = F.col(key).cast("string")  # ids as text: a column of numbers with nulls would become one of floats
-    joined = docs.join(drops, docs[key].eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(found, docs[key].eqNullSafe(F.col(own)) & (F.xxhash64(docs[text]) == F.col(place)), "left")
     # only texts that lose lines go through Python, so its batches stay small
-    touched = F.col("_drops").isNotNull()
+    touched = F.col(drops).isNotNull()
     worded = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda line: line.rlike(r"[^ \t\n\x0B\f\r]"))
     # a deterministic function would run a second time, in a second worker, for a filter on its result
     rebuilt = rebuilt.asNondeterministic()
     whole = F.struct(F.col(text).alias("text"), F.size(worded).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    cut = rebuilt(own, F.xxhash64(text), F.when(touched, F.col(text)), F.col("_drops"))
-    return joined.withColumn(into, F.when(touched, cut).otherwise(whole)).drop("_id", "_drops")
+    cut = rebuilt(F.when(touched, F.col(text)), F.col(drops))
+    return joined.withColumn(into, F.when(touched, cut).otherwise(whole)).drop(own, place, drops)
 
 
 def keep_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their first lines only; those that lose all lines with words go."""
-    into = "lines"
-    while into in docs.columns:
-        into += "_"
+    into = free_name("lines", docs.columns)
     names = docs.columns
     found = dedup(docs, key=key, text=text, into=into)
     left = found.where((F.col(into)["n_dropped"] == 0) | (F.col(into)["n_dropped"] < F.col(into)["n_lines"]))

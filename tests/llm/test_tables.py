@@ -265,3 +265,23 @@ def test_a_long_source_file_with_a_header(spark):
     found = licenses.scan(table, path=F.col("path"))
     assert sorted((r.path, r.license, r.license_by) for r in found.collect()) == [("a/end.py", "GPL-3.0", "header"), ("a/long.py", "GPL-3.0", "header"), ("a/none.py", None, None)]
     assert len(set(found.columns)) == len(found.columns) and all(r[n] == "kept" for r in found.collect() for n in names[:-2])
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "timestamp", "boolean", "binary", "date", "decimal(20,3)", "long"])
+def test_line_dedup_takes_keys_of_any_type(spark, kind):
+    made = {
+        "string": "concat('k', id)", "double": "id * 1e20", "timestamp": "timestamp_seconds(id)", "boolean": "id > 0", "binary": "concat(unhex('ff'), cast(cast(id AS string) AS binary))",
+        "date": "date_from_unix_date(cast(id AS int))", "decimal(20,3)": "cast(id AS decimal(20,3))", "long": "id",
+    }[kind]
+    table = spark.range(3).selectExpr(f"{made} AS doc_id", "concat('a line that all have\\nown line of ', id) AS text", "'kept' AS _id", "'kept' AS _place", "'kept' AS _drops", "'kept' AS lines")
+    found = line_dedup.dedup(table, into="found").collect()
+    assert sorted(r.found.n_dropped for r in found) == [0, 1, 1] and all(r._id == r._place == r._drops == r.lines == "kept" for r in found)
+    kept = line_dedup.keep_lines(table)
+    assert kept.columns == table.columns and sorted(r.text.count("\n") for r in kept.collect()) == [0, 0, 1]
+
+
+def test_texts_without_an_id_are_gathered_one_by_one(spark):
+    table = spark.createDataFrame([(None, f"a line that all have\nown line of {i}") for i in range(20)], "doc_id long, text string")
+    found = line_dedup.dedup(table).collect()
+    assert sorted(r.lines.n_dropped for r in found) == [0] + [1] * 19
+    assert max(len(r.drops) for r in line_dedup.repeated_lines(table).collect()) == 1
