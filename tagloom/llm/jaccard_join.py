@@ -9,7 +9,7 @@ signatures, which gives candidate links with a margin below the threshold.  Runs
 are repeated until a pair at the threshold meets with the target probability.
 
 Candidate links form neighbourhoods.  Inside a neighbourhood every pair is then
-verified on the whole shingle sets, in blocks of bounded size, so a link is found
+verified on the whole shingle sets, in blocks of bounded rows and bytes, so a link is found
 even where its own pair never met in a bucket.  Only counts and one link per node
 and block leave a block; pairs are never emitted.
 
@@ -17,7 +17,7 @@ Defined cases: a null text is the empty text; a text of fewer words than a
 shingle has one shingle of all its words; texts without words are linked only if
 they are equal; copies count as links; rows with a null id take part and never
 name a class unless the class has no id at all; an empty table gives an empty
-table; other columns are ignored.
+table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.components import components
+from tagloom.llm.line_dedup import bit_filter, free_name, passes
 from tagloom.session import staged
 
 #: Words of a shingle and the similarity of a link.
@@ -40,8 +41,8 @@ WORDS, THRESHOLD = 5, 0.8
 TOKENS, MARGIN = 128, 0.14
 #: A pair at the threshold meets in some run with this probability, if its buckets are small after two splits.
 RECALL, USUAL_DEPTH = 0.9999, 2
-#: Rows compared by brute force, splits of a path, rows of a verified block.
-SMALL, DEPTH, BLOCK = 256, 12, 256
+#: Rows compared by brute force, splits of a path, rows and bytes of a verified block.
+SMALL, DEPTH, BLOCK, BLOCK_BYTES = 256, 12, 1024, 16_000_000
 #: Shingles of a block compared at once.
 COLUMNS = 4096
 
@@ -273,41 +274,46 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(run, "node binary, texts long, docs long, root binary")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``docs`` (node, copies, label, size, text) with ``values`` in place of the text."""
+def shingle_sets(docs: DataFrame, told: np.ndarray, words: int) -> DataFrame:
+    """``id``, ``place`` and ``values`` (the shingles) of the rows of ``docs`` (id, place, text) whose place the filter holds."""
+    key_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                values = pa.array([shingles(v.as_py(), words).tobytes() for v in part.column(4)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], values], names=["node", "copies", "label", "size", "values"])
+            held = batch.filter(pa.array(passes(batch.column(1).to_numpy(), told)))
+            for at in range(0, held.num_rows, 500):
+                part = held.slice(at, 500)
+                values = pa.array([shingles(v.as_py(), words).tobytes() for v in part.column(2)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), values], names=["id", "place", "values"])
 
-    return docs.select("node", "copies", "label", "size", "text").mapInArrow(run, "node binary, copies long, label binary, size long, values binary")
+    return docs.select("id", "place", "text").mapInArrow(run, f"id {key_type}, place long, values binary")
 
 
 class Join:
     """The join's result: ``nodes`` with their classes and links, ``members`` with their nodes."""
 
-    def __init__(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL):
+    def __init__(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK):
         rows = staged(sketches(docs, key=key, text=text, words=words), "sketches")
         grouped = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "place")).alias("rep"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"), F.min("marks").alias("marks"))
         nodes = staged(grouped, "nodes")
         self.members = rows.select("id", "place", "node")
-        self.nodes = staged(self._classes(docs, nodes, key, text, words, threshold, recall), "classes")
+        self.nodes = staged(self._classes(docs, nodes, key, text, words, threshold, recall, block), "classes")
 
-    def _classes(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, words: int, threshold: float, recall: float) -> DataFrame:
+    def _classes(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, words: int, threshold: float, recall: float, block: int) -> DataFrame:
         tokens = nodes.where("tokens IS NOT NULL").select("node", "tokens", "marks")
         near = candidate_links(buckets(tokens, runs_for(threshold, recall)), tokens, threshold - MARGIN)
         around = components(near)
-        sized = around.join(around.groupBy("label").agg(F.count("*").alias("size")), "label")
-        chosen = nodes.select("node", "copies", "rep").join(sized, "node")
-        texts = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_place"), F.col(text).alias("text"))
-        same = texts["_id"].eqNullSafe(chosen["rep"]["id"]) & (texts["_place"] == chosen["rep"]["place"])
-        sets = shingle_sets(texts.join(chosen, same).select("node", "copies", "label", "size", "text"), words)
-        n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = sets.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+        chosen = staged(nodes.select("node", "copies", "rep").join(around, "node"), "chosen")
+        # only texts in a neighbourhood move; a filter that fills up lets more through and changes no result
+        told = bit_filter(chosen.select(F.col("rep")["place"].alias("key")))
+        texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("place"), F.col(text).alias("text"))
+        found = shingle_sets(texts, told, words).select(F.col("id").alias("_id"), F.col("place").alias("_place"), "values")
+        same = found["_id"].eqNullSafe(chosen["rep"]["id"]) & (found["_place"] == chosen["rep"]["place"])
+        sets = staged(found.join(chosen, same).select("node", "copies", "label", "values"), "sets")
+        most = F.greatest(F.count("*") / block, F.sum(F.length("values")) / BLOCK_BYTES)
+        sets = sets.join(sets.groupBy("label").agg(F.ceil(most).cast("int").alias("n_blocks")), "label")
+        own = sets.withColumn("own", F.pmod(F.xxhash64("node"), "n_blocks").cast("int"))
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
         links = staged(verified(dealt, threshold), "links")
         classes = components(links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -329,7 +335,8 @@ class Join:
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", place: Callable = F.xxhash64) -> DataFrame:
     """The documents without near duplicates: one document of each class stays, whole."""
-    kept = Join(docs, key=key, text=text).representatives().select(F.col("id").alias("_id"), F.col("place").alias("_place"))
-    rows = docs.withColumn("_at", place(text))
-    same = rows[key].eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_place"))
-    return rows.join(kept, same, "left_semi").dropDuplicates([key, "_at"]).drop("_at")
+    own, first, at = (free_name(n, docs.columns) for n in ("_id", "_place", "_at"))
+    kept = Join(docs, key=key, text=text).representatives().select(F.col("id").alias(own), F.col("place").alias(first))
+    rows = docs.withColumn(at, place(text))
+    same = rows[key].eqNullSafe(F.col(own)) & (F.col(at) == F.col(first))
+    return rows.join(kept, same, "left_semi").dropDuplicates([key, at]).drop(at)

@@ -63,8 +63,10 @@ def plain_join(rows, words=5, threshold=0.8):
 def test_jaccard_join(spark, odd, none):
     for rows in (near_copies(), [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]):
         table = spark.createDataFrame(rows, "doc_id long, text string")
-        found = jaccard_join.Join(table).documents().collect()
-        assert sorted((r.id is None, r.id, r.class_id, r.n_links) for r in found) == plain_join(rows)
+        for block in (64, jaccard_join.BLOCK):
+            found = jaccard_join.Join(table, block=block).documents().collect()
+            assert sorted((r.id is None, r.id, r.class_id, r.n_links) for r in found) == plain_join(rows)
+    odd = odd.withColumns({n: F.lit("kept") for n in ("_id", "_at", "_place", "rep", "label", "values")})
     kept = jaccard_join.keep_one(odd)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "5", "6", "7", "8", "None"]
     assert jaccard_join.Join(none).documents().count() == 0
