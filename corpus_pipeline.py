@@ -59,7 +59,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Scores of a fitted model are beyond SQL; tests compare each stage with a plain version.
+#: Scores of a fitted model are beyond SQL; tests check what each stage keeps, its near-duplicate classes and its pieces.
 ORACLE_SQL = None
 
 
