@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.dates import to_day, week_start
 from tagloom.functions.text import extract_cashtags, extract_hashtags
+from tagloom.operators.quality import observed
+from tagloom.session import BROADCAST_ROWS, staged
 
 
 def drop_null_text(tweets: DataFrame, column: str = "text") -> DataFrame:
@@ -28,9 +30,22 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.groupBy(*keys).agg(best).select(*keys, "_first.*").select(*df.columns)
 
 
-def dedupe_text(tweets: DataFrame, order: Sequence[str]) -> DataFrame:
-    """One tweet per text, the first by ``order``."""
-    return first_per_key(tweets, ["text"], order)
+def dedupe_text(tweets: DataFrame, order: Sequence[str], column: str = "text") -> DataFrame:
+    """One tweet per text, the first by ``order``.
+
+    A digest of each text is counted first, so that only texts whose digest was seen
+    twice move, and are compared whole; the others pass where they are.  The list of such
+    digests is sent to all tasks if it is short, else all texts are dealt out.
+    """
+    digest = F.xxhash64(column)
+    twice = tweets.select(digest.alias("_digest")).groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rows, seen = observed(twice.select("_digest", F.lit(True).alias("_twice")), {"digests": F.count(F.lit(1))})
+    twice = staged(rows, "repeated-digests")
+    if seen.get["digests"] > BROADCAST_ROWS:
+        return first_per_key(tweets, [column], order)
+    marked = tweets.withColumn("_digest", digest).join(F.broadcast(twice), "_digest", "left")
+    once = marked.where("_twice IS NULL").select(*tweets.columns)
+    return once.unionByName(first_per_key(marked.where("_twice").select(*tweets.columns), [column], order))
 
 
 def distinct_texts(tweets: DataFrame) -> DataFrame:

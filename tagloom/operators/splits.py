@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.panel import date_positions, date_spine
+from tagloom.session import BROADCAST_ROWS, broadcast_if_bounded
 
 SPLIT_ORDER = ("train", "validation", "test")
 
@@ -52,5 +53,10 @@ def add_splits(
 
 
 def join_splits(features: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Label rows by a given calendar; it has one row per date, so it is broadcast."""
-    return features.join(F.broadcast(calendar.select("date", "split")), "date", "left")
+    """Label rows by a given calendar of one row per date.
+
+    It is sent to all tasks only if it is short, as a table of dates should be.
+    """
+    dates = calendar.select("date", "split")
+    near = broadcast_if_bounded(dates, dates.limit(BROADCAST_ROWS + 1).count())
+    return features.join(near, "date", "left")

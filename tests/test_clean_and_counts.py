@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import arithmetic as ar
 from tagloom.operators import clean, counts, ranking as rk
 from tagloom.plans import tag_counts
+from tagloom.session import staged
 from tagloom.sources.tweets import read_tweets_csv
 from tests.conftest import rows
 
@@ -163,3 +164,17 @@ def test_csv_files_with_different_headers_raise(spark, tmp_path):
     for multi_line in (True, False):
         with pytest.raises(Exception, match="(?i)header"):
             read_tweets_csv(spark, str(tmp_path), multi_line=multi_line).collect()
+
+
+def test_only_repeated_texts_move(spark, monkeypatch):
+    texts = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") == 1, None).otherwise(F.concat(F.lit("t"), F.col("id") % 200))
+    df = staged(spark.range(600).select("id", texts.alias("text"), (-F.col("id")).alias("n")), "texts")
+    want = {}
+    for r in df.collect():
+        want[r.text] = max(want.get(r.text, -1), r.id)
+    found = clean.dedupe_text(df, ["n"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(text") == 1 and "_twice" in plan.split("hashpartitioning(text")[0]
+    assert found.columns == df.columns and {r.text: r.id for r in found.collect()} == want and found.count() == len(want)
+    monkeypatch.setattr(clean, "BROADCAST_ROWS", 3)
+    assert {r.text: r.id for r in clean.dedupe_text(df, ["n"]).collect()} == want
