@@ -158,3 +158,34 @@ def test_classifier_separates_held_out_rows(spark, odd, none):
 def test_isotonic_pools_violators():
     knots, values = classifier.isotonic(np.array([1.0, 2.0, 3.0]), np.array([1.0, 0.0, 2.0]), np.array([2.0, 2.0, 2.0]))
     assert knots.tolist() == [1.5, 3.0] and values.tolist() == [0.25, 1.0]
+
+
+def test_classifier_equals_a_direct_solution(spark):
+    """Scaling, ridge and calibration against numpy over all labelled rows at once."""
+    sf = "/root/testdata/sf0.01"
+    texts, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = classifier.fit_documents(texts, labels)
+    y_of = {r.doc_id: float(r.quality) for r in labels.collect() if r.quality is not None}
+    folds = {k: zlib.crc32(str(k).encode()) % 4 for k in y_of}
+    stats = {r.doc_id: classifier.statistics(r.text) for r in texts.collect() if r.doc_id in y_of}
+    fits, tunes = ([k for k in stats if folds[k] in chosen] for chosen in ((0, 1), (3,)))
+    x, y = np.array([stats[k] for k in fits]), np.array([y_of[k] for k in fits])
+    np.testing.assert_allclose(model.mean, x.mean(axis=0), rtol=1e-9, atol=1e-12)
+    spread = x.std(axis=0)
+    np.testing.assert_allclose(model.scale, np.where(spread > 1e-9, spread, 1.0), rtol=1e-6)
+    z = model.features(x)
+    penalties = np.full(z.shape[1], max(classifier.PENALTY * len(x), 1e-6))
+    penalties[0] = 0.0
+    want = np.linalg.solve(z.T @ z + np.diag(penalties), z.T @ y)
+    np.testing.assert_allclose(model.raw(x), np.clip(z @ want, -1, 2), atol=1e-6)
+    bins = np.rint(model.raw(np.array([stats[k] for k in tunes])) / classifier.BIN)
+    hits = np.array([y_of[k] for k in tunes])
+    values, at = np.unique(bins, return_inverse=True)
+    n, h = np.bincount(at), np.bincount(at, hits)
+    # isotonic regression by its definition: the largest of the smallest means of runs around each value
+    mean = lambda i, j: h[i : j + 1].sum() / n[i : j + 1].sum()
+    best = np.array([max(min(mean(i, j) for j in range(k, len(n))) for i in range(k + 1)) for k in range(len(n))])
+    pooled = np.unique(best)
+    np.testing.assert_allclose(model.values, pooled, atol=1e-9)
+    centres = [(values[best == v] * n[best == v]).sum() / n[best == v].sum() * classifier.BIN for v in pooled]
+    np.testing.assert_allclose(model.knots, centres, atol=1e-9)
