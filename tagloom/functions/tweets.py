@@ -84,6 +84,56 @@ def json_pieces(json: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(r'"[^"]*"(?:\s*:)?|[{}\[\]]|[^"{}\[\]]+'), F.lit(0))
 
 
+# Brackets within each other, below a tweet's key, that one piece of a chain covers.
+SIDE_LEVELS = 16
+
+
+# Possessive throughout, so that text is matched without a stack or a second try.
+STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def _side_value(levels: int) -> str:
+    """Pattern of a bracket with all it holds."""
+    below = "|" + _side_value(levels - 1) if levels > 1 else ""
+    return rf'[{{\[](?:[^"{{}}\[\]]++|{STRING}{below})*+[}}\]]'
+
+
+def chain_pieces(json: Column) -> Column:
+    """A JSON tweet cut more coarsely: what opens a nested tweet, keys with the whole bracket they name, other brackets, and the rest."""
+    tweet = rf'"(?:{"|".join(NESTED_KEYS)})"\s*+:\s*+\{{'
+    side = rf"{STRING}\s*+:\s*+{_side_value(SIDE_LEVELS)}"
+    rest = rf'(?:[^"{{}}\[\]]++|{STRING}(?!\s*+:\s*+[{{\[]))++'
+    return F.regexp_extract_all(json, F.lit(rf"{tweet}|{side}|[{{}}\[\]]|{rest}|{STRING}\s*+:"), F.lit(0))
+
+
+def is_plain_chain(json: Column) -> Column:
+    """Whether ``chain_pieces`` leaves no bracket open but those of tweets: nothing else nests deeper than a piece covers."""
+    loose = F.filter(chain_pieces(json), lambda p: p.isin("{", "["))
+    return ~json.rlike(r'\\u00[4-7][^"]*"\s*:') & (F.size(loose) == 1)
+
+
+def chain_blocks(json: Column) -> Column:
+    """The texts of the entity blocks of a plain chain, in order."""
+    blocks = F.filter(chain_pieces(json), lambda p: p.rlike(ENTITIES_PIECE))
+    return F.transform(blocks, lambda p: F.substr(p, F.instr(p, "{")))
+
+
+ENTITIES_PIECE = r'^"entities"\s*:\s*\{'
+
+
+def outer_blocks(json: Column) -> Column:
+    """The numbers, from 0, of the blocks that belong to the outermost tweet."""
+    none = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("outer"))
+
+    def step(state: Column, piece: Column) -> Column:
+        block = piece.rlike(ENTITIES_PIECE)
+        move = F.when(block, 0).when(piece.endswith("{"), 1).when(piece == "}", -1).otherwise(0)
+        outer = F.when(block & (state["depth"] == 1), F.concat(state["outer"], F.array(state["n"]))).otherwise(state["outer"])
+        return F.struct((state["depth"] + move).alias("depth"), (state["n"] + block.cast("int")).alias("n"), outer.alias("outer"))
+
+    return F.aggregate(chain_pieces(json), none, step)["outer"]
+
+
 def key_name(piece: Column) -> Column:
     """The name in a key's piece; null for other pieces."""
     name = F.regexp_extract(piece, r'^"([^"]*)"\s*:$', 1)

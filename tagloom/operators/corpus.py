@@ -1,6 +1,10 @@
 """Token corpus of hashtags and URLs from JSON tweets.
 
 Tweets that nest few levels are parsed with a schema, in one pass and without a shuffle.
+Longer chains are cut by a pattern that takes whatever a tweet holds besides nested tweets
+as one piece, up to ``SIDE_LEVELS`` brackets within each other; if that leaves only the
+brackets of tweets, every entity block found belongs to the chain.  This too is one pass
+without a shuffle, however long the chain.
 The others go into a table of their pieces (strings, brackets, the rest), where
 running sums over a text give each bracket's depth, and the brackets that are open at a
 place tell whether it belongs to a tweet of the chain.  This takes the time of sorting a
@@ -20,13 +24,16 @@ from tagloom.functions.tweets import (
     MORE_LEVELS,
     NESTED_KEYS,
     PARSED_LEVELS,
+    chain_blocks,
     entity_blocks,
     entity_hashtags,
     entity_urls,
+    is_plain_chain,
     is_readable,
     json_pieces,
     key_name,
     nested_tweets,
+    outer_blocks,
     parse_tweet,
 )
 
@@ -40,7 +47,18 @@ def entity_rows(tweets: DataFrame, json: str = "json", keep: tuple[str, ...] = (
     parsed = tweets.where(fits).select(*keep, parse_tweet(F.col(json)).alias("tweet"))
     blocks = F.posexplode(entity_blocks(F.col("tweet"))).alias("position", "entities")
     shallow = parsed.select(*keep, blocks).where(F.col("entities").isNotNull())
-    return shallow.unionByName(deep_entity_rows(tweets.where(~fits), json, keep))
+    chain = F.coalesce(is_plain_chain(F.col(json)), F.lit(False))
+    chains = chain_entity_rows(tweets.where(~fits & chain), json, keep)
+    return shallow.unionByName(chains).unionByName(deep_entity_rows(tweets.where(~fits & ~chain), json, keep))
+
+
+def chain_entity_rows(tweets: DataFrame, json: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same for plain chains of any length; nested blocks are numbered in order of the text."""
+    readable = tweets.where(is_readable(F.col(json)))
+    blocks = readable.select(*keep, F.col(json).alias("_json"), F.posexplode(chain_blocks(F.col(json))).alias("_block", "_text"))
+    position = F.when(F.array_contains(outer_blocks(F.col("_json")), F.col("_block")), 0).otherwise(F.col("_block") + 1)
+    entities = F.from_json("_text", ENTITIES_TYPE, ANY_DEPTH)
+    return blocks.select(*keep, position.alias("position"), entities.alias("entities")).where(F.col("entities").isNotNull())
 
 
 def deep_entity_rows(tweets: DataFrame, json: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:

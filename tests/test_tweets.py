@@ -4,7 +4,10 @@ import json
 import random
 from collections import Counter
 
-from tagloom.operators.corpus import deep_entity_rows, entity_rows, token_totals, tweet_entities, tweet_tokens
+from pyspark.sql import functions as F
+
+from tagloom.functions.tweets import SIDE_LEVELS, is_plain_chain
+from tagloom.operators.corpus import chain_entity_rows, deep_entity_rows, entity_rows, token_totals, tweet_entities, tweet_tokens
 from tagloom.plans import corpus
 from tagloom.sources.tweets import read_tweets_json, unreadable_tweets
 from tests.conftest import rows
@@ -104,6 +107,21 @@ def test_both_ways_give_the_same_blocks(spark):
     assert rows(deep.select("id", "entities")) == rows(entity_rows(df, keep=("id",)).select("id", "entities"))
 
 
+def test_long_chains_need_no_shuffle(spark):
+    rng = random.Random(5)
+    deep_side = "[" * (SIDE_LEVELS + 4) + "]" * (SIDE_LEVELS + 4)
+    tweets = [json.dumps(random_tweet(rng, 9)) for _ in range(60)] + [chain(40), chain(1200)]
+    late = '{"quoted_status" : ' + chain(9) + ', "user":{"entities":{"retweeted_status":{"entities":{}}}}, "entities":{"hashtags":[{"text":"late}"}]}}'
+    tweets += [late, late.replace('"entities":{}', f'"entities":{{"x":{deep_side}}}'), late[:-1]]
+    df = spark.createDataFrame(list(enumerate(tweets)), "id int, json string")
+    plain = df.where(is_plain_chain(F.col("json")))
+    assert [r["id"] for r in df.exceptAll(plain).select("id").collect()] == [len(tweets) - 2]
+    read = chain_entity_rows(plain, keep=("id",))
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    assert rows(read, "id", "position", "entities") == rows(deep_entity_rows(plain, keep=("id",)), "id", "position", "entities")
+    assert entity_rows(df.where(df["id"] >= len(tweets) - 3), keep=("id",)).groupBy("id").count().where("count = 11").count() == 2
+
+
 def test_unreadable_lines_give_no_tokens_and_are_reported(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"entities":{"hashtags":[{"text":"Z"}]}}\n\n   \n{broken\n')
     df = read_tweets_json(spark, str(tmp_path / "t.json"))
