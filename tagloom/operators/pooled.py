@@ -3,8 +3,9 @@
 The design has an intercept, scaled numeric columns, a slot per value of columns with
 few values, and a slot per value of one column with any number of values (the tag).  A
 row has one tag, so the tags' block of the normal equations is diagonal: its entry is the
-tag's row count plus the penalty.  One grouped aggregate sums rows, products and targets
-per tag; from these sums the tags are eliminated,
+tag's row count plus the penalty.  One aggregate sums the products of the small columns over
+all rows, one grouped aggregate sums rows, columns and targets per tag; from these sums the
+tags are eliminated,
 
     effect(tag) = (sum of targets - sums of the small columns * weights) / (rows + alpha),
 
@@ -89,22 +90,31 @@ def design_of(
 
 
 def tag_sums(train: DataFrame, design: Design, target: str = TARGET) -> DataFrame:
-    """``key, n, s, r, cross, c``: per eliminated value the sums of columns, targets and their products."""
-    m = len(design.names)
-    named = [c.alias(f"z{i}") for i, c in enumerate(design.columns())]
-    rows = train.select(design.category(design.eliminated).alias("key"), F.col(target).cast("double").alias("y"), *named)
-    rows = rows.where(F.col("y").isNotNull())
-    z = [F.col(f"z{i}") for i in range(m)]
+    """``key, n, s, r``: per eliminated value the sums of columns and targets."""
+    rows = _design_rows(train, design, target)
     sums = rows.groupBy("key").agg(
         F.count(F.lit(1)).cast("double").alias("n"),
-        F.array(*[F.sum(x) for x in z]).alias("s"),
+        F.array(*[F.sum(f"z{i}") for i in range(len(design.names))]).alias("s"),
         F.sum("y").alias("r"),
-        F.array(*[F.sum(z[i] * z[j]) for i, j in _upper(m)]).alias("cross"),
-        F.array(*[F.sum(x * F.col("y")) for x in z]).alias("c"),
     )
     return staged(sums, "tag-sums")
 
 
+def total_products(train: DataFrame, design: Design, target: str = TARGET) -> Row:
+    """``cross, c``: the products of the small columns, and of these and the target, summed over all rows."""
+    m = len(design.names)
+    z = [F.col(f"z{i}") for i in range(m)]
+    cross = F.array(*[F.sum(z[i] * z[j]) for i, j in _upper(m)])
+    return _design_rows(train, design, target).agg(cross.alias("cross"), F.array(*[F.sum(x * F.col("y")) for x in z]).alias("c")).first()
+
+
+def _design_rows(train: DataFrame, design: Design, target: str) -> DataFrame:
+    """``key, y, z0, z1, ...`` of the rows with a target."""
+    named = [c.alias(f"z{i}") for i, c in enumerate(design.columns())]
+    rows = train.select(design.category(design.eliminated).alias("key"), F.col(target).cast("double").alias("y"), *named)
+    return rows.where(F.col("y").isNotNull())
+
+
 def _upper(m: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(m) for j in range(i, m)]
 
@@ -141,16 +151,17 @@ class PooledFit:
         return reduce(add, [c * w for c, w in zip(self.design.columns(), self.weights)])
 
 
-def solve(design: Design, alpha: float, total: Row, names: str) -> np.ndarray:
-    """Weights of the small columns from the sums over all tags."""
+def solve(design: Design, alpha: float, products: Row, total: Row, names: str) -> np.ndarray:
+    """Weights of the small columns from the sums over all rows and over all tags."""
     m = len(design.names)
     penalty = np.diag(alpha * design.penalised)
-    left = _square(m, total["cross"]) + penalty - _square(m, total[f"{names}_ss"])
-    right = np.array(total["c"]) - np.array(total[f"{names}_sr"])
+    cross = _square(m, products["cross"])
+    left = cross + penalty - _square(m, total[f"{names}_ss"])
+    right = np.array(products["c"]) - np.array(total[f"{names}_sr"])
     if alpha > 0:
         return np.linalg.solve(left, right)
     values, vectors = np.linalg.eigh(left)
-    free = values <= NULL_SHARE * max(np.abs(np.diag(_square(m, total["cross"]))).max(), 1e-300)
+    free = values <= NULL_SHARE * max(np.abs(np.diag(cross)).max(), 1e-300)
     held = vectors[:, ~free]
     weights = held @ ((held.T @ right) / values[~free])
     null = vectors[:, free]
@@ -166,19 +177,19 @@ def fit_pooled(train: DataFrame, alphas: Mapping[str, float], design: Design | N
     """A fit for each named penalty (0 is least squares), all from the same sums."""
     design = design or design_of(train)
     m = len(design.names)
+    products = total_products(train, design, target)
+    if products["c"][0] is None:
+        raise ValueError("no train rows with a target")
     sums = tag_sums(train, design, target)
     numbered = {name: f"a{i}" for i, name in enumerate(alphas)}
-    wanted = [F.array(*[F.sum(F.col("cross")[i]) for i in range(m * (m + 1) // 2)]).alias("cross")]
-    wanted.append(F.array(*[F.sum(F.col("c")[i]) for i in range(m)]).alias("c"))
+    wanted = []
     for name, alpha in alphas.items():
         wanted += _products(m, 1 / (F.col("n") + float(alpha)), numbered[name])
     if 0 in alphas.values():
         wanted += _products(m, 1 / (F.col("n") * F.col("n")), "norm")
     total = sums.agg(*wanted).first()
-    if total["c"][0] is None:
-        raise ValueError("no train rows with a target")
     return {
-        name: PooledFit(design, float(alpha), tuple(solve(design, float(alpha), total, numbered[name]).tolist()), sums)
+        name: PooledFit(design, float(alpha), tuple(solve(design, float(alpha), products, total, numbered[name]).tolist()), sums)
         for name, alpha in alphas.items()
     }
 

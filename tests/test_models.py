@@ -187,3 +187,13 @@ def test_whole_run_and_its_files(spark, features, tmp_path):
     stored = spark.read.option("header", True).csv(str(tmp_path / "model_metrics_overall"))
     assert rows(stored.groupBy("run_label").count()) == [("t1", 6), ("t2", 4)]
     assert spark.read.json(str(tmp_path / "run_summary")).first()["run_label"] == "t2"
+
+
+def test_sums_per_tag_hold_no_products(spark):
+    """The products of the small columns are needed over all rows only: per tag they would grow with the square of the columns."""
+    rows = spark.range(60).selectExpr("concat('#', id % 20) AS tag", "if(id % 2 = 0, 'a', 'b') AS tag_type", "double(id % 7) AS a", "double(id) AS y")
+    design = pooled.design_of(rows, ["a"])
+    sums = pooled.tag_sums(rows, design, "y")
+    assert sums.columns == ["key", "n", "s", "r"] and sums.count() == 20
+    products = pooled.total_products(rows, design, "y")
+    assert len(products["cross"]) == 10 and products["cross"][0] == 60 and products["c"][0] == sum(range(60))
