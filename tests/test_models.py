@@ -197,3 +197,21 @@ def test_sums_per_tag_hold_no_products(spark):
     assert sums.columns == ["key", "n", "s", "r"] and sums.count() == 20
     products = pooled.total_products(rows, design, "y")
     assert len(products["cross"]) == 10 and products["cross"][0] == 60 and products["c"][0] == sum(range(60))
+
+
+def test_trees_and_train_mean_share_one_feature_table(spark, sf, monkeypatch):
+    from checks import q_modelling as q
+
+    derived = []
+    real = q.t.stored_features
+    monkeypatch.setattr(q.t, "stored_features", lambda *a: derived.append(a) or real(*a))
+    monkeypatch.setattr(q, "_RUNS", {})
+    monkeypatch.setattr(q, "_TABLES", {}, raising=False)
+
+    def fit(rows):
+        scored = rows.where("split = 'test'").select(F.lit("random_forest_pooled").alias("model"), "split", "target_next_count", F.lit(1.0).alias("prediction"))
+        return ml.FittedModels({}, scored, {})
+
+    monkeypatch.setattr(q.ml, "fit_models", fit)
+    assert q.trees_beat_the_mean(spark, sf).count() == 1
+    assert len(derived) == 1
