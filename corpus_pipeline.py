@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import classifier, jaccard_join, line_dedup, packing, quality_rules
 from tagloom.llm.workers import reach
-from tagloom.session import stage_path
+from tagloom.session import staged
 
 #: A score from which a document is kept.
 GOOD = 0.7
@@ -67,7 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = stage_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = staged(stage(spark, docs, sf_dir), name)
     return docs

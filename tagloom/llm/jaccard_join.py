@@ -2,10 +2,11 @@
 
 Texts become sets of hashed five-word shingles; equal sets are one node.  Each
 set is embedded as a MinHash signature of fixed length, whose coordinates are the
-tokens that paths sample.  In every run all nodes start in one bucket; a bucket
-that is too large is split on the coordinate that its path samples, again and
-again, until it is small.  Small buckets are compared by brute force on their
-signatures, which gives candidate links with a margin below the threshold.  Runs
+tokens that paths sample.  In every run all nodes start in one bucket, which is split
+on all 64 bits of one coordinate, so nodes without a common shingle part whatever
+their number; a bucket that is still too large is split on the token that its path
+samples, again and again, until it is small.  Small buckets are compared by brute force
+on their signatures, which gives candidate links with a margin below the threshold.  Runs
 are repeated until a pair at the threshold meets with the target probability.
 
 Candidate links form neighbourhoods.  Inside a neighbourhood every pair is then
@@ -26,6 +27,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -73,23 +75,30 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def signature(values: np.ndarray) -> np.ndarray:
-    """MinHash tokens of a set, 16 bits each."""
+    """MinHash values of a set, 64 bits each."""
     least = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(values), 1024):
         part = values[None, at : at + 1024] * _MULTIPLIERS[:, None] + _SHIFTS[:, None]
         np.minimum(least, part.min(axis=1), out=least)
-    return (_mixed(least) >> np.uint64(48)).astype("<u2")
+    return _mixed(least)
 
 
-def sketches(docs: DataFrame, *, key: str, text: str, words: int = WORDS) -> DataFrame:
-    """Per document: id, ``place`` (a hash of its text), ``node`` (a digest of its set), ``tokens`` and ``marks`` (their low bytes)."""
+def tokens_of(own: np.ndarray) -> bytes:
+    """The tokens of a signature, 16 bits each: the low bytes of all (the marks), then the high bytes."""
+    tokens = own >> np.uint64(48)
+    return tokens.astype(np.uint8).tobytes() + (tokens >> np.uint64(8)).astype(np.uint8).tobytes()
+
+
+def sketches(docs: DataFrame, *, key: str, text: str, words: int = WORDS, runs: int = 1) -> DataFrame:
+    """Per document: id, ``place`` (a hash of its text), ``node`` (a digest of its set), ``tokens`` and ``starts`` (what each run splits on first)."""
     key_type = docs.schema[key].dataType.simpleString()
+    first = np.arange(runs) % TOKENS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                nodes, tokens, marks = [], [], []
+                nodes, tokens, starts = [], [], []
                 for value in part.column(2):
                     raw = value.as_py()
                     values = shingles(raw, words)
@@ -97,14 +106,13 @@ def sketches(docs: DataFrame, *, key: str, text: str, words: int = WORDS) -> Dat
                     whole = values.tobytes() if len(values) else b"blank" + (raw or "").encode()
                     nodes.append(xxhash.xxh3_128_digest(whole))
                     own = signature(values) if len(values) else None
-                    tokens.append(None if own is None else own.tobytes())
-                    marks.append(None if own is None else own.astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array(c, pa.binary()) for c in (nodes, tokens, marks))], names=["id", "place", "node", "tokens", "marks"]
-                )
+                    tokens.append(None if own is None else tokens_of(own))
+                    starts.append(None if own is None else own[first].view(np.int64))
+                sketched = [pa.array(nodes, pa.binary()), pa.array(tokens, pa.binary()), pa.array(starts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *sketched], names=["id", "place", "node", "tokens", "starts"])
 
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("place"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"id {key_type}, place long, node binary, tokens binary, marks binary")
+    return rows.mapInArrow(run, f"id {key_type}, place long, node binary, tokens binary, starts array<long>")
 
 
 def runs_for(threshold: float, recall: float = RECALL, depth: int = USUAL_DEPTH) -> int:
@@ -112,7 +120,7 @@ def runs_for(threshold: float, recall: float = RECALL, depth: int = USUAL_DEPTH)
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
 
 
-def buckets(nodes: DataFrame, runs: int) -> DataFrame:
+def buckets(nodes: DataFrame) -> DataFrame:
     """Small buckets of all runs: ``path``, ``node`` and ``large`` (still large after all splits).
 
     The coordinate that a path samples follows from its hash, so all its nodes
@@ -120,11 +128,11 @@ def buckets(nodes: DataFrame, runs: int) -> DataFrame:
     """
 
     def split(path, tokens):
-        token = tokens.substr((F.pmod(path, F.lit(TOKENS)) * 2 + 1).cast("int"), F.lit(2))
-        return F.xxhash64(path, token)
+        at = F.pmod(path, F.lit(TOKENS)).cast("int") + 1
+        return F.xxhash64(path, F.concat(tokens.substr(at, F.lit(1)), tokens.substr(at + TOKENS, F.lit(1))))
 
-    start = nodes.select("node", "tokens", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
-    rows = start.select("node", split(F.xxhash64("run"), F.col("tokens")).alias("path"))
+    start = nodes.select("node", F.posexplode("starts").alias("run", "start"))
+    rows = start.select("node", F.xxhash64("run", "start").alias("path"))
     done = None
     for depth in range(1, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
@@ -201,7 +209,7 @@ def candidate_links(found: DataFrame, nodes: DataFrame, least: float) -> DataFra
         if pairs:
             yield flush()
 
-    rows = found.join(nodes.select("node", "marks"), "node").select("path", "large", "node", "marks")
+    rows = found.join(nodes.select("node", F.col("tokens").substr(1, TOKENS).alias("marks")), "node").select("path", "large", "node", "marks")
     near = rows.repartition("path").sortWithinPartitions("path", "node")
     return near.mapInArrow(compare, "a binary, b binary").distinct()
 
@@ -293,15 +301,15 @@ class Join:
     """The join's result: ``nodes`` with their classes and links, ``members`` with their nodes."""
 
     def __init__(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK):
-        rows = staged(sketches(docs, key=key, text=text, words=words), "sketches")
-        grouped = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "place")).alias("rep"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"), F.min("marks").alias("marks"))
+        rows = staged(sketches(docs, key=key, text=text, words=words, runs=runs_for(threshold, recall)), "sketches")
+        grouped = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "place")).alias("rep"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"), F.min("starts").alias("starts"))
         nodes = staged(grouped, "nodes")
         self.members = rows.select("id", "place", "node")
-        self.nodes = staged(self._classes(docs, nodes, key, text, words, threshold, recall, block), "classes")
+        self.nodes = staged(self._classes(docs, nodes, key, text, words, threshold, block), "classes")
 
-    def _classes(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, words: int, threshold: float, recall: float, block: int) -> DataFrame:
-        tokens = nodes.where("tokens IS NOT NULL").select("node", "tokens", "marks")
-        near = candidate_links(buckets(tokens, runs_for(threshold, recall)), tokens, threshold - MARGIN)
+    def _classes(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, words: int, threshold: float, block: int) -> DataFrame:
+        tokens = nodes.where("tokens IS NOT NULL").select("node", "tokens", "starts")
+        near = candidate_links(buckets(tokens), tokens, threshold - MARGIN)
         around = components(near)
         chosen = staged(nodes.select("node", "copies", "rep").join(around, "node"), "chosen")
         # only texts in a neighbourhood move; a filter that fills up lets more through and changes no result
@@ -319,24 +327,40 @@ class Join:
         classes = components(links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         counts = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
         every = nodes.select("node", "copies", "rep").join(classes, "node", "left").join(counts, "node", "left")
-        every = every.select("node", "rep", F.coalesce("label", "node").alias("class"), (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0).cast("long")).alias("n_texts"))
-        first = every.groupBy("class").agg(F.min("rep").alias("first"))
-        return every.join(first, "class")
+        every = every.select("node", "rep", "copies", F.coalesce("label", "node").alias("class"), (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0).cast("long")).alias("n_texts"))
+        first = every.groupBy("class").agg(F.min("rep").alias("first"), F.sum("copies").alias("n_docs"))
+        return every.drop("copies").join(first, "class")
 
     def documents(self) -> DataFrame:
         """Per document: ``id``, ``class_id`` (the smallest id of its class), ``n_links`` and ``n_texts`` (other documents and other texts linked)."""
         classes = self.nodes.select("node", F.col("first")["id"].alias("class_id"), "n_links", "n_texts")
         return self.members.select("id", "node").join(classes, "node").drop("node")
 
+    def shared_places(self) -> DataFrame:
+        """``place`` of the documents whose class has others, repeated rows included."""
+        return self.members.join(self.nodes.where("n_docs > 1").select("node"), "node", "left_semi").select("place")
+
     def representatives(self) -> DataFrame:
         """``id`` and ``place`` of one document of each class, the one with the smallest id."""
         return self.nodes.where("rep = first").select("rep.id", "rep.place")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", place: Callable = F.xxhash64) -> DataFrame:
-    """The documents without near duplicates: one document of each class stays, whole."""
+    """The documents without near duplicates: one document of each class stays, whole.
+
+    Only texts whose class has others move; a filter that fills up moves more and changes no result.
+    """
     own, first, at = (free_name(n, docs.columns) for n in ("_id", "_place", "_at"))
-    kept = Join(docs, key=key, text=text).representatives().select(F.col("id").alias(own), F.col("place").alias(first))
+    join = Join(docs, key=key, text=text)
+    told = bit_filter(join.shared_places().select(F.col("place").alias("key")).distinct())
+
+    @F.pandas_udf("boolean")
+    def shares(places: pd.Series) -> pd.Series:
+        return pd.Series(passes(places.to_numpy(), told))
+
+    kept = join.representatives().select(F.col("id").alias(own), F.col("place").alias(first))
     rows = docs.withColumn(at, place(text))
-    same = rows[key].eqNullSafe(F.col(own)) & (F.col(at) == F.col(first))
-    return rows.join(kept, same, "left_semi").dropDuplicates([key, at]).drop(at)
+    moved = rows.where(shares(at))
+    same = moved[key].eqNullSafe(F.col(own)) & (F.col(at) == F.col(first))
+    left = moved.join(kept, same, "left_semi").dropDuplicates([key, at])
+    return rows.where(~shares(at)).unionByName(left).drop(at)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,9 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+# Removes the shuffle files of a query at its end (Spark 4.1; earlier versions ignore it).
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Folders of local sessions without spark.checkpoint.dir, by application.
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -78,15 +83,28 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tagloom/{spark.sparkContext.applicationId}/{label}-{uuid4().hex}"
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that end in here go with them, not when the driver collects its garbage."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and continue from the written table.
 
     Cuts the lineage where one result feeds several consumers: the expensive
     plan above runs once, a lost executor costs a re-read, and every consumer
-    still gets column pruning and filter pushdown.
+    still gets column pruning and filter pushdown.  Nobody reads the shuffle
+    files of the write again, so they are freed.
     """
     path = stage_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with freeing_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -72,6 +72,31 @@ def test_jaccard_join(spark, odd, none):
     assert jaccard_join.Join(none).documents().count() == 0
 
 
+def test_texts_without_a_common_shingle_meet_in_no_bucket(spark):
+    rnd = random.Random(11)
+    rows = [(i, " ".join(f"w{rnd.getrandbits(40)}" for _ in range(12))) for i in range(3_000)]
+    rows.append((3_000, rows[0][1] + " end"))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = jaccard_join.sketches(table, key="doc_id", text="text", runs=10).select("node", "tokens", "starts")
+    met = jaccard_join.buckets(nodes).groupBy("path").agg(F.collect_set("node").alias("nodes"), F.max("large").alias("large")).collect()
+    assert len({n for r in met for n in r.nodes}) == 2 and 0 < len(met) <= 10 and not any(r.large for r in met)
+
+
+def test_only_texts_of_shared_classes_move(spark):
+    rnd = random.Random(12)
+    rows = near_copies() + [(1_000 + i, " ".join(f"w{rnd.getrandbits(40)}" for _ in range(30))) for i in range(200)]
+    rows += rows[-3:] + [(None, rows[-1][1])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    join = jaccard_join.Join(table)
+    classes = plain_join(rows)
+    assert join.shared_places().count() == sum(links > 0 for *_, links in classes)
+    kept = jaccard_join.keep_one(table)
+    plan = kept._jdf.queryExecution().executedPlan().toString().splitlines()
+    alone = [line for line in plan[plan.index("+- Union") + 1 :] if line.startswith("   :")]
+    assert any("Scan" in line for line in alone) and not any("Exchange" in line for line in alone)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({x[2] for x in classes})
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(60).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
     assert {r.label for r in components(edges).collect()} == {0}

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,20 @@ def test_staged_tables_live_in_the_shared_folder(spark):
     assert "PushedFilters: [IsNotNull(id), GreaterThan(id,3)]" in plan
 
 
+def test_staging_frees_its_shuffle_files(spark):
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.length()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    table = session.staged(spark.range(5_000).groupBy((F.col("id") % 700).alias("k")).count(), "groups")
+    until = time.time() + 5
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before and table.count() == 700
+    assert spark.conf.get(session.FREE_SHUFFLES) == "false"
+
+
 def test_broadcast_only_with_a_small_bound(spark):
     df = spark.range(3)
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
