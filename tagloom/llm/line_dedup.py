@@ -17,6 +17,11 @@ The halves that several lines share are told to the next scan by a bit filter of
 fixed size, and so are the variants that several lines share, before their lines
 are moved; a filter that fills up lets more through and changes no result.
 
+The texts are cut into lines twice: for the hashes of all lines and their halves,
+and for the words of the lines that share a half, which are staged; variants are
+made from those alone.  Arrow cuts lines and words, and a hash of any stretch of
+words is a difference of running sums over a chunk, so no word is a Python object.
+
 Defined cases: a null text stays null and has no lines; lines without words are
 kept and not counted; rows with equal id and text are treated alike, their lines
 are first together; a null id comes before all others; an empty table gives an
@@ -31,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,65 +51,144 @@ FILTER_BITS, POSITIONS = 1 << 23, 2
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LENGTH = 0xC2B2AE3D27D4EB4F
-#: Powers of the base for lines of usual length.
-_USUAL = np.cumprod(np.r_[np.uint64(1), np.full(255, _BASE, np.uint64)])
+#: Bytes of lines that are taken at once (one line at least), bytes of words hashed at once, longest word hashed by its bytes' sums.
+CHUNK_BYTES, HASH_BYTES, SHORT_WORD = 1 << 20, 1 << 18, 64
 
-_LINES = "place long, line int, hash binary"
+_LINES = "place long, line int, hash binary, code long, halves array<long>"
+_MET = "line int, hash binary, words string"
 _VARIANTS = "line int, hash binary, key long, gap int, words binary"
 _KEYS = "key long, code long"
 
 
-def line_words(text: str | None) -> Iterator[tuple[int, list[bytes]]]:
-    """Number and words of each line that has words."""
-    for at, line in enumerate((text or "").encode().split(b"\n")):
-        words = line.split()
-        if words:
-            yield at, words
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of a base."""
+    x = np.full(n, base, np.uint64)
+    x[:1] = 1
+    return np.cumprod(x)
 
 
-def _long(digest: int) -> int:
-    return digest - (1 << 64) if digest >> 63 else digest
+def _lengths(n: np.ndarray) -> np.ndarray:
+    return n.astype(np.uint64) * np.uint64(_LENGTH)
 
 
-def halves(words: list[bytes], whole: bytes) -> list[int]:
-    """Hashes of the halves that a partner within one edit may share; ``whole`` is the joined words."""
-    n, out = len(words), []
-    half = n // 2
-    at = len(b" ".join(words[:half]))  # where the first half ends
-    for m in (n, n - 1):  # the shorter line's length
-        head, tail = at, at + 1 if half else 0
-        if m // 2 < half:
-            head = max(0, head - len(words[half - 1]) - 1)
-        elif m < n:
-            tail += len(words[half]) + 1
-        out.append(_long(xxhash.xxh3_64_intdigest(whole[:head], 2 * m)))
-        out.append(_long(xxhash.xxh3_64_intdigest(whole[tail:], 2 * m + 1)))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+class _Sums:
+    """Hashes of any stretch of values: running sums of the values times powers of a base."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * _powers(_BASE, n), out=self.sums[1:])
+        self.back = _powers(_INVERSE, n + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.back[start]
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word of a string or binary array without nulls."""
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    out = np.zeros(len(words), np.uint64)
+    if not len(words):
+        return out
+    offsets = np.frombuffer(words.buffers()[1], kind)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + HASH_BYTES, "right")) - 1)
+        start, end = offsets[at:to], offsets[at + 1 : to + 1]
+        if end[-1] - start[0] <= HASH_BYTES:  # else one long word
+            chars = data[start[0] : end[-1]].astype(np.uint64) + np.uint64(1)
+            out[at:to] = _mixed(_Sums(chars).of(start - start[0], end - start[0]) + _lengths(end - start))
+        for i in np.flatnonzero(end - start > SHORT_WORD).tolist():  # sums of bytes are weak on long regular words
+            out[at + i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+        at = to
     return out
 
 
-def _powers(n: int) -> np.ndarray:
-    """The first ``n`` powers of the base."""
-    return _USUAL[:n] if n <= len(_USUAL) else np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BASE, np.uint64)])
+class Lines:
+    """Words of lines (a list array), the row of each line in its batch and its number in its text."""
+
+    def __init__(self, row: np.ndarray, number: np.ndarray, words: pa.Array):
+        self.row, self.number, self.words = row, number, words
+        offsets = words.offsets.to_numpy()
+        self.start, self.end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        self.n = self.end - self.start
+        self.hashes = _Sums(word_hashes(words.flatten()))
+
+    def codes(self) -> np.ndarray:
+        """Hashes of the whole lines."""
+        return _mixed(self.hashes.of(self.start, self.end) + _lengths(self.n)).view(np.int64)
+
+    def halves(self) -> np.ndarray:
+        """Four hashes a line, of the halves that a partner within one edit may share."""
+        out = np.empty((len(self.n), 4), np.uint64)
+        for i, m in enumerate((self.n, self.n - 1)):  # the shorter line's length
+            out[:, 2 * i] = self.hashes.of(self.start, self.start + m // 2) + _lengths(2 * m)
+            out[:, 2 * i + 1] = self.hashes.of(self.end - (m - m // 2), self.end) + _lengths(2 * m + 1)
+        return _mixed(out).view(np.int64)
+
+    def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each whole line, then of the line without each word; the line's place and the word's (-1: none)."""
+        at = np.repeat(np.arange(len(self.n)), self.n + 1)
+        gap = np.arange(len(at)) - np.repeat(np.cumsum(self.n + 1) - self.n - 1, self.n + 1) - 1
+        start, end, cut = self.start[at], self.end[at], gap >= 0
+        word = start + gap
+        rest = (self.hashes.of(start, end) - self.hashes.of(start, word + 1)) * np.uint64(_INVERSE) + self.hashes.of(start, np.maximum(word, start))
+        whole = self.hashes.of(start, end)
+        return _mixed(np.where(cut, rest, whole) + _lengths(self.n[at] - cut)).view(np.int64), at, gap
+
+    def joined(self, chosen: np.ndarray | None = None) -> pa.Array:
+        """The words of all or of chosen lines with a space between."""
+        words = self.words if chosen is None else self.words.take(pa.array(chosen))
+        return pc.binary_join(words, " ").cast(pa.string())
+
+
+def _chunks(values: pa.Array) -> Iterator[slice]:
+    """Stretches of about CHUNK_BYTES."""
+    ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False), dtype=np.int64) // CHUNK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(values)]
+    for start, end in zip(cuts, cuts[1:]):
+        if start < end:
+            yield slice(start, end)
+
+
+def lines_of(texts: pa.Array, least: int = 1) -> Iterator[Lines]:
+    """The lines of at least so many words; words end at ASCII whitespace."""
+    for at in range(0, len(texts), 500):
+        split = pc.split_pattern(pc.fill_null(texts.slice(at, 500), ""), "\n")
+        offsets = split.offsets.to_numpy()
+        row = np.repeat(np.arange(len(split)), np.diff(offsets))
+        number = np.arange(len(row)) - (offsets[:-1] - offsets[0])[row]
+        values = pc.ascii_trim_whitespace(split.flatten())
+        worded = np.flatnonzero(pc.binary_length(values).to_numpy(zero_copy_only=False))
+        row, number, values = row[worded] + at, number[worded], values.take(pa.array(worded))
+        for chunk in _chunks(values):
+            words = pc.ascii_split_whitespace(values[chunk])
+            own = slice(None)
+            if least > 1:
+                own = np.flatnonzero(pc.list_value_length(words).to_numpy(zero_copy_only=False) >= least)
+                words = words.take(pa.array(own))
+            if len(words):
+                yield Lines(row[chunk][own], number[chunk][own], words)
 
 
-def _of_length(n: int) -> np.uint64:
-    return np.uint64(n * _LENGTH % (1 << 64))
+def halves(words: list[bytes], whole: bytes) -> list[int]:
+    """The halves of one line, given as words and joined."""
+    one = np.zeros(1, np.int64)
+    return Lines(one, one, pa.array([words], pa.list_(pa.binary()))).halves()[0].tolist()
 
 
-def variants(words: list[bytes]) -> np.ndarray:
-    """Hash of the whole line, then of the line without each word."""
-    n = len(words)
-    sums = np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n) * _powers(n))
-    x = np.empty(n + 1, np.uint64)
-    x[0] = sums[-1]
-    without = x[1:]
-    np.subtract(sums[-1:], sums, out=without)
-    without *= np.uint64(_INVERSE)
-    without[1:] += sums[:-1]
-    x[:1] += _of_length(n)
-    without += _of_length(n - 1)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
+def _digests(joined: pa.Array) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(x) for x in joined.cast(pa.binary()).to_pylist()]
+
+
+def _batch(columns: list[pa.Array], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=list(names))
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -124,50 +209,28 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame, key_type: str) -> DataFrame:
+    """All lines with words, with their halves if they may have near lines."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                owner, line, digest = [], [], []
-                for x in range(part.num_rows):
-                    for number, words in line_words(part.column(2)[x].as_py()):
-                        owner.append(x)
-                        line.append(number)
-                        digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                own = [part.column(i).take(pa.array(owner, pa.int64())) for i in (0, 1)]
-                columns = [*own, pa.array(line, pa.int32()), pa.array(digest, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "place", "line", "hash"])
+            for found in lines_of(batch.column(2)):
+                own = [batch.column(i).take(pa.array(found.row)) for i in (0, 1)]
+                near = found.n >= NEAR_WORDS
+                ends = pa.array(np.r_[0, np.cumsum(4 * near)], pa.int32())
+                halves = pa.ListArray.from_arrays(ends, pa.array(found.halves()[near].reshape(-1)))
+                yield _batch(
+                    [*own, pa.array(found.number, pa.int32()), pa.array(_digests(found.joined()), pa.binary()), pa.array(found.codes()), halves],
+                    "id", "place", "line", "hash", "code", "halves",
+                )
 
     return docs.mapInArrow(run, f"id {key_type}, {_LINES}")
 
 
-def _code(whole: bytes) -> int:
-    return _long(xxhash.xxh3_64_intdigest(whole))
-
-
 def _shared(keys: DataFrame) -> DataFrame:
     """``key`` of the keys that lines of different codes share."""
     return keys.groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b")).where("a <> b").select("key")
 
 
-def half_keys(docs: DataFrame) -> DataFrame:
-    """The halves of all lines that may have near lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                codes, found = [], []
-                for text in batch.slice(at, 500).column(0):
-                    for _, words in line_words(text.as_py()):
-                        if len(words) >= NEAR_WORDS:
-                            whole = b" ".join(words)
-                            codes.append(_code(whole))
-                            found += halves(words, whole)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.repeat(np.array(codes, np.int64), 4))], names=["key", "code"])
-
-    return docs.select("text").mapInArrow(run, _KEYS)
-
-
 def bit_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """A filter of the column ``key``: ``bits`` bits, whatever the rows."""
     places = F.array(*(F.shiftrightunsigned("key", 24 * p).bitwiseAND(F.lit(bits - 1)) for p in range(POSITIONS)))
@@ -189,56 +252,54 @@ def passes(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
     return held
 
 
-def _met(part: pa.RecordBatch, told: np.ndarray) -> list[tuple[int, int, list[bytes], bytes]]:
-    """Row, number, words and joined words of the lines that share a half."""
-    met, keys = [], []
-    for x in range(part.num_rows):
-        for number, words in line_words(part.column(1)[x].as_py()):
-            if len(words) >= NEAR_WORDS:
-                whole = b" ".join(words)
-                met.append((x, number, words, whole))
-                keys += halves(words, whole)
-    passed = passes(np.array(keys, np.int64), told).reshape(-1, 4).any(axis=1)
-    return [m for m, ok in zip(met, passed.tolist()) if ok]
+def _met(docs: DataFrame, key_type: str, told: np.ndarray) -> DataFrame:
+    """The lines that share a half."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in lines_of(batch.column(1), NEAR_WORDS):
+                met = np.flatnonzero(passes(found.halves().reshape(-1), told).reshape(-1, 4).any(axis=1))
+                if len(met):
+                    joined = found.joined(met)
+                    own = batch.column(0).take(pa.array(found.row[met]))
+                    yield _batch([own, pa.array(found.number[met], pa.int32()), pa.array(_digests(joined), pa.binary()), joined], "id", "line", "hash", "words")
 
-def variant_keys(docs: DataFrame, told: np.ndarray) -> DataFrame:
+    return docs.select("id", "text").mapInArrow(run, f"id {key_type}, {_MET}")
+
+
+def _met_lines(words: pa.Array) -> Iterator[Lines]:
+    for chunk in _chunks(words):
+        at = np.arange(chunk.start, chunk.stop)
+        yield Lines(at, at, pc.ascii_split_whitespace(words[chunk]))
+
+
+def variant_keys(met: DataFrame) -> DataFrame:
     """The variants of all lines that share a half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                met = _met(batch.slice(at, 200), told)
-                if met:
-                    codes = np.repeat(np.array([_code(m[3]) for m in met], np.int64), [len(m[2]) + 1 for m in met])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([variants(m[2]) for m in met])), pa.array(codes)], names=["key", "code"])
+            for lines in _met_lines(batch.column(0)):
+                keys, at, _ = lines.variants()
+                yield _batch([pa.array(keys), pa.array(lines.codes()[at])], "key", "code")
 
-    return docs.select("id", "text").mapInArrow(run, _KEYS)
+    return met.select("words").mapInArrow(run, _KEYS)
 
 
-def _variants(docs: DataFrame, key_type: str, told: np.ndarray, shared: np.ndarray) -> DataFrame:
+def _variants(met: DataFrame, key_type: str, shared: np.ndarray) -> DataFrame:
     """The shared variants of the lines, and each such line's words beside its own hash (gap -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                met, rows, end = _met(part, told), [], 0
-                found = [variants(m[2]) for m in met]
-                passed = passes(np.concatenate(found), shared) if found else []
-                for (x, number, _, whole), keys in zip(met, found):
-                    start, end = end, end + len(keys)
-                    held = np.flatnonzero(passed[start:end]).tolist()
-                    if held:
-                        digest = xxhash.xxh3_128_digest(whole)
-                        rows += [(x, number, digest, int(keys[i]), i - 1, None if i else whole) for i in dict.fromkeys([0, *held])]
-                if rows:
-                    columns = list(zip(*rows))
-                    own = part.column(0).take(pa.array(columns[0], pa.int64()))
-                    types = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(columns[1:], types))], names=["id", "line", "hash", "key", "gap", "words"])
-
-    return docs.select("id", "text").mapInArrow(run, f"id {key_type}, {_VARIANTS}")
+            for lines in _met_lines(batch.column(3)):
+                keys, at, gap = lines.variants()
+                held = passes(keys, shared)
+                held |= (gap < 0) & (np.bincount(at, held)[at] > 0)
+                keys, row, gap = keys[held], lines.row[at[held]], gap[held]
+                own = [batch.column(i).take(pa.array(row)) for i in (0, 1, 2)]
+                words = batch.column(3).take(pa.array(row, mask=gap >= 0)).cast(pa.binary())
+                yield _batch([*own, pa.array(keys), pa.array(gap, pa.int32()), words], "id", "line", "hash", "key", "gap", "words")
+
+    return met.select("id", "line", "hash", "words").mapInArrow(run, f"id {key_type}, {_VARIANTS}")
 
 
 def _order() -> Column:
@@ -246,11 +307,12 @@ def _order() -> Column:
     return F.struct(F.col("id").isNotNull().alias("has"), "id", "line", "hash")
 
 
-def near_lines(docs: DataFrame, key_type: str, bits: int = FILTER_BITS) -> DataFrame:
-    """``hash`` of the lines of ``docs`` (id, text) within one edit of an earlier line."""
-    told = bit_filter(_shared(half_keys(docs)), bits)
-    shared = bit_filter(_shared(variant_keys(docs, told)), bits)
-    rows = staged(_variants(docs, key_type, told, shared).withColumn("order", _order()).drop("id", "line"), "variants")
+def near_lines(docs: DataFrame, lines: DataFrame, key_type: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``hash`` of the lines of ``docs`` (id, text) within one edit of an earlier line; ``lines`` holds their halves."""
+    told = bit_filter(_shared(lines.select(F.explode("halves").alias("key"), "code")), bits)
+    near = staged(_met(docs, key_type, told), "near")
+    shared = bit_filter(_shared(variant_keys(near)), bits)
+    rows = staged(_variants(near, key_type, shared).withColumn("order", _order()).drop("id", "line"), "variants")
     keys = rows.groupBy("key").agg(
         F.min("hash").alias("a"),
         F.max("hash").alias("b"),
@@ -285,7 +347,7 @@ def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     lines = staged(_lines(rows, key_type), "lines")
     order = F.struct(F.col("id").isNotNull().alias("has"), "id", "line", "place")
     first = lines.groupBy("hash").agg(F.min(order).alias("first"))
-    near = near_lines(rows, key_type, bits).withColumn("near", F.lit(True))
+    near = near_lines(rows, lines, key_type, bits).withColumn("near", F.lit(True))
     kept = first.join(near, "hash", "left")
     gone = lines.join(kept, "hash").where(F.col("near") | ~order.eqNullSafe(F.col("first")))
     return gone.groupBy("id", "place").agg(F.collect_set("line").alias("drops"))
@@ -307,10 +369,10 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", into: str
     def rebuilt(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         out = []
         for t, d in zip(texts.tolist(), gone.tolist()):
-            worded = [number for number, _ in line_words(t)]
+            worded = 0 if t is None else sum(1 for x in t.encode().split(b"\n") if x and not x.isspace())
             among = set() if d is None else set(d.tolist())
             left = t if not among else "\n".join([x for i, x in enumerate(t.split("\n")) if i not in among])
-            out.append((left, len(worded), len(among)))
+            out.append((left, worded, len(among)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
     joined = docs.join(found, docs[key].eqNullSafe(F.col(own)) & (F.xxhash64(docs[text]) == F.col(place)), "left")

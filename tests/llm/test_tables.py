@@ -8,6 +8,7 @@ import random
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,42 @@ def test_halves_of_lines_within_one_edit():
         assert set(line_dedup.halves(words, b" ".join(words))) & set(line_dedup.halves(other, b" ".join(other)))
 
 
+def test_texts_are_cut_into_lines_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    texts = F.concat(F.lit("the same line of more than eight words in all texts but for "), F.col("id").cast("string"))
+    found = line_dedup.repeated_lines(spark.range(50).select(F.col("id").alias("doc_id"), counted(texts).alias("text"))).collect()
+    assert len(found) == 49 and seen.value == 2 * 50
+
+
+@pytest.mark.parametrize("size", [1, 20, 1 << 20])
+def test_lines_and_hashes_do_not_depend_on_their_chunk(monkeypatch, size):
+    monkeypatch.setattr(line_dedup, "CHUNK_BYTES", size)
+    monkeypatch.setattr(line_dedup, "HASH_BYTES", max(size, line_dedup.SHORT_WORD))
+    texts = [None, "", " \n\t\n", "\n a  b\r\n\x0bc\x1cd\x85 e f \n\n é 漢字 🙂", f"{'x' * 3000} y a\n{'a b ' * 500}", f"y {'x' * 2999}\na b", "b a"] * 90
+    want = [(i, n, b" ".join(x.split()).decode()) for i, t in enumerate(texts) for n, x in enumerate((t or "").encode().split(b"\n")) if x.split()]
+    got, hashes, cut = [], {}, {}
+    for lines in line_dedup.lines_of(pa.array(texts)):
+        joined = lines.joined().to_pylist()
+        got += zip(lines.row.tolist(), lines.number.tolist(), joined)
+        for word, x in zip(lines.words.flatten().to_pylist(), line_dedup.word_hashes(lines.words.flatten()).tolist()):
+            assert hashes.setdefault(word, x) == x
+        keys, at, gap = lines.variants()
+        assert keys[gap < 0].tolist() == lines.codes().tolist()
+        for key, a, g in zip(keys.tolist(), at.tolist(), gap.tolist()):
+            words = joined[a].split(" ")
+            if len(words) < 20:
+                rest = " ".join(words if g < 0 else words[:g] + words[g + 1 :])
+                assert cut.setdefault(rest, key) == key
+    assert got == want and len(set(hashes.values())) == len(hashes) and len(set(cut.values())) == len(cut)
+    assert sum(len(x.n) for x in line_dedup.lines_of(pa.array(texts), 3)) == sum(len(w.split(" ")) >= 3 for _, _, w in want)
+
+
 def plain_edits(rows):
     rows = sorted(((k is None, -(k or 0), t or "") for k, t in rows))
     out = []
