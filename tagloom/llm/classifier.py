@@ -39,6 +39,8 @@ CUT = 6.0
 BIN = 1e-3
 #: Rows of the normal equations summed in one group.
 BLOCK = 64
+#: Texts scored at once.
+ROWS = 1000
 
 # Classes of bytes whose shares are statistics.
 CLASSES = {
@@ -98,13 +100,23 @@ def statistics(text: str | None) -> list[float]:
 
 
 def text_statistics(text: Column | str) -> Column:
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([statistics(t) for t in texts.tolist()], dtype=object)
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        width = len(STATISTICS)
+        values = pa.array(_statistics_of(texts).reshape(-1))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * width, pa.int32()), values)
 
     return run(text)
 
 
+def _statistics_of(texts: pa.Array) -> np.ndarray:
+    """A row for each text; one text at a time is a Python string."""
+    out = np.zeros((len(texts), len(STATISTICS)))
+    for i, t in enumerate(texts):
+        out[i] = statistics(t.as_py())
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """A fitted classifier: a few arrays whose sizes do not depend on the data."""
@@ -233,13 +245,21 @@ def fit(
 def score(text: Column | str, model: Model) -> Column:
     """The calibrated score of a text."""
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(_matrix([statistics(t) for t in texts.tolist()])))
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(scores(texts, model))
 
     return run(text)
 
 
+def scores(texts: pa.Array, model: Model) -> np.ndarray:
+    """The scores of texts, whose random features are held for ROWS texts at once."""
+    out = np.zeros(len(texts))
+    for at in range(0, len(texts), ROWS):
+        out[at : at + ROWS] = model.score(_statistics_of(texts.slice(at, ROWS)))
+    return out
+
+
 def fold(key: str = "doc_id") -> Column:
     """A row's fold: CRC-32 of the key as text, modulo 4.  Fold 2 is held out."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4))

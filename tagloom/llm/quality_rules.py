@@ -1,9 +1,11 @@
 """Quality rules from a suffix array: repeated text inside each document.
 
-Every document becomes a sequence of units, its words.  The suffixes of all
-documents of an Arrow batch are sorted together by prefix doubling; the first
-unit's key holds the document, so suffixes of two documents never compare equal
-and one vectorised sort serves the whole batch.  Neighbours in the order give
+Every document becomes a sequence of units, its words.  The suffixes of some
+documents, about BATCH_UNITS units, are sorted together by prefix doubling; the
+first unit's key holds the document, so suffixes of two documents never compare
+equal and one vectorised sort serves them all.  Texts leave their Arrow batch one
+by one, so a task holds its batch and the words of those documents, whatever the
+batch's size.  Neighbours in the order give
 the longest common prefixes, so for every position the length of the longest
 substring that starts there and occurs again.  The union of those maximal
 repeats is the covered part of the text; its fraction and the longest repeat are
@@ -22,10 +24,12 @@ results; an empty table gives an empty table; other columns are passed through.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +49,7 @@ SYMBOLS = b"#*$%&|<>"
 # The separators of words.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Units sorted together at most, unless one document is longer.
-BATCH_UNITS = 400_000
+BATCH_UNITS = 50_000
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -65,7 +69,7 @@ def longest_repeats(codes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     ends = np.searchsorted(docs, docs, side="right")
     first = docs.astype(np.int64) * (int(codes.max()) + 1) + codes
     order = np.argsort(first, kind="stable")
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)  # one is kept for each doubling
     ordered = first[order]
     starts = np.r_[True, ordered[1:] != ordered[:-1]]
     rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
@@ -150,7 +154,7 @@ def _long_characters(words: list[bytes]) -> list:
     return out
 
 
-def measure_texts(texts: list[str | None], min_repeat: int = MIN_REPEAT) -> pd.DataFrame:
+def measure_texts(texts: Iterable[str | None], min_repeat: int = MIN_REPEAT) -> pd.DataFrame:
     """The measures of some texts; see MEASURES."""
     parts, group, size = [], [], 0
     for text in texts:
@@ -160,7 +164,8 @@ def measure_texts(texts: list[str | None], min_repeat: int = MIN_REPEAT) -> pd.D
         if size > BATCH_UNITS:
             parts.append(_measure(group, min_repeat))
             group, size = [], 0
-    parts.append(_measure(group, min_repeat))
+    if group or not parts:
+        parts.append(_measure(group, min_repeat))
     return pd.concat(parts, ignore_index=True)
 
 
@@ -187,12 +192,19 @@ def _measure(raws: list[bytes], min_repeat: int) -> pd.DataFrame:
     return pd.DataFrame(columns)
 
 
+def measure_array(texts: pa.Array, min_repeat: int = MIN_REPEAT) -> pa.StructArray:
+    """The measures of an Arrow array of texts, of which one at a time is a Python string."""
+    measures = measure_texts((t.as_py() for t in texts), min_repeat)
+    columns = [pa.array(measures[f.split()[0]], {"long": pa.int64(), "double": pa.float64()}[f.split()[1]]) for f in MEASURES.split(", ")]
+    return pa.StructArray.from_arrays(columns, names=[f.split()[0] for f in MEASURES.split(", ")])
+
+
 def repetition_measures(text: Column | str, min_repeat: int = MIN_REPEAT) -> Column:
     """A struct of the measures of a text."""
 
-    @F.pandas_udf(MEASURES)
-    def measure(texts: pd.Series) -> pd.DataFrame:
-        return measure_texts(texts.tolist(), min_repeat)
+    @F.arrow_udf(MEASURES)
+    def measure(texts: pa.Array) -> pa.Array:
+        return measure_array(texts, min_repeat)
 
     return measure(text)
 

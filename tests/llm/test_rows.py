@@ -6,10 +6,12 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,6 +71,41 @@ def test_long_words_are_one_unit_of_clean_texts(spark):
     assert only.covered == 200 / 204 and only.longest_repeat == 0
 
 
+def many_texts(n: int, words: int) -> pa.Array:
+    rnd = random.Random(8)
+    return pa.array([None, "", *(" ".join(f"w{rnd.randrange(2000)}" for _ in range(words)) for _ in range(n))])
+
+
+def most_mb(work) -> float:
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_the_rules_hold_few_texts_of_a_batch_at_once():
+    texts = many_texts(1500, 400)
+    assert most_mb(lambda: qr.measure_texts(t.as_py() for t in texts)) < 20  # 600,000 words; 70 MB when 400,000 were sorted together
+    few = texts.slice(0, 300)
+    alone = [qr.measure_texts([t]).iloc[0].to_dict() for t in few.to_pylist()]
+    assert qr.measure_array(few).to_pylist() == alone
+    assert len(qr.measure_array(few.slice(0, 0))) == 0
+
+
+def test_scores_hold_the_features_of_few_texts_at_once():
+    rng, d = np.random.default_rng(3), len(classifier.STATISTICS)
+    model = classifier.Model(
+        np.zeros(d), np.ones(d), rng.normal(size=(d, 256)), rng.uniform(0, 6, 256), rng.normal(size=257), np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    )
+    texts = many_texts(8000, 12)
+    found = []
+    assert most_mb(lambda: found.append(classifier.scores(texts, model))) < 16  # one array of all features takes 16 MB
+    whole = model.score(np.array([classifier.statistics(t) for t in texts.to_pylist()]))
+    assert len(found[0]) == len(texts) and np.allclose(found[0], whole, rtol=0, atol=1e-12)
+    assert len(classifier.scores(texts.slice(0, 0), model)) == 0
+
+
 def reference_encoding():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
